@@ -47,6 +47,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def let(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """withColumn whose value is computed once a row: a generator keeps the optimizer from copying a costly expression into every place that uses it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def words(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+ of a text; empty for null or blank texts."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

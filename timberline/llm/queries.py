@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from timberline.llm import chat, mixing
+from timberline.llm import chat, licenses, linededup, mixing
 
 QUERIES = {
+    "op3_line_spread": linededup.query,
     "op6_chat_format": chat.query,
     "op7_mix_sources": mixing.query,
+    "op9_license_scan": licenses.query,
 }
 ORACLES = {
+    "op3_line_spread": linededup.ORACLE,
     "op6_chat_format": chat.ORACLE,
+    "op9_license_scan": licenses.ORACLE,
 }
