@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from timberline.llm import chat, licenses, linededup, mixing
+from timberline.llm import chat, decontam, licenses, linededup, mixing, tokencounts
 
 QUERIES = {
+    "op1_decontaminate": decontam.query,
     "op3_line_spread": linededup.query,
+    "op5_token_rollup": tokencounts.query,
     "op6_chat_format": chat.query,
     "op7_mix_sources": mixing.query,
     "op9_license_scan": licenses.query,
