@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from timberline.llm import chat, decontam, licenses, linededup, mixing, tokencounts
+from timberline.llm import chat, decontam, licenses, linededup, mixing, quality, tokencounts
 
 QUERIES = {
     "op1_decontaminate": decontam.query,
     "op3_line_spread": linededup.query,
+    "op4_quality": quality.query,
     "op5_token_rollup": tokencounts.query,
     "op6_chat_format": chat.query,
     "op7_mix_sources": mixing.query,
