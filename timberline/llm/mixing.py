@@ -68,7 +68,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     shares = shares.select("key", ((F.col("hi") - F.col("take")) / F.col("all")).alias("lo"), F.when(F.col("hi") == F.col("all"), F.lit(2.0)).otherwise(F.col("hi") / F.col("all")).alias("hi"))
     cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
     slots = sources.sparkSession.range(n).withColumn("u", F.pmod(F.pmod("id", F.lit(1 << 31)) * GOLDEN_31, F.lit(1 << 31)) / float(1 << 31)).withColumn("cell", F.floor(F.col("u") * CELLS))
-    slots = slots.join(small(cells), "cell").where("u >= lo and u < hi").select("key", F.col("id").alias("slot"), F.floor(F.col("id") / CELLS).alias("_b"))
+    slots = slots.join(small(cells), "cell").where("u >= lo and u < hi").select("key", F.col("id").alias("slot"), F.floor(F.col("id") / max(1, int(n**0.5))).alias("_b"))
     ranked = running_start(slots, "key", "_b", ["slot"], F.lit(1), "rank").select("key", "rank", "slot")
     have = ranked.groupBy("key").agg(F.count("*").alias("have"))
     # the sequence may leave a source a few slots short of its target; those follow at the end
