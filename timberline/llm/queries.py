@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timberline.llm import chat, decontam, licenses, linededup, mixing, quality, tokencounts
+from timberline.llm import chat, decontam, licenses, linededup, mixing, quality, substring, tokencounts
 
 QUERIES = {
     "op1_decontaminate": decontam.query,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_token_rollup": tokencounts.query,
     "op6_chat_format": chat.query,
     "op7_mix_sources": mixing.query,
+    "op8_substring_dedup": substring.query,
     "op9_license_scan": licenses.query,
 }
 ORACLES = {
     "op3_line_spread": linededup.ORACLE,
     "op6_chat_format": chat.ORACLE,
+    "op8_substring_dedup": substring.ORACLE,
     "op9_license_scan": licenses.ORACLE,
 }
