@@ -1 +1 @@
-
+"""Plans: the engine's queries over tables."""
