@@ -202,7 +202,14 @@ def feature_set_ops(spark, sf_dir):
     return s.intersect(c).withColumn("what", F.lit("both")).union(s.subtract(c).withColumn("what", F.lit("supplier"))).distinct()
 
 
-A, B = F.col("o_totalprice") > 100000, F.col("o_orderstatus") == "F"
+def dear():
+    return F.col("o_totalprice") > 100000
+
+
+def done():
+    return F.col("o_orderstatus") == "F"
+
+
 A_SQL, B_SQL = "o_totalprice > 100000", "o_orderstatus = 'F'"
 OPS = {"and": f"({A_SQL}) and ({B_SQL})", "or": f"({A_SQL}) or ({B_SQL})", "xor": f"({A_SQL}) <> ({B_SQL})", "and_not": f"({A_SQL}) and not ({B_SQL})"}
 
@@ -210,7 +217,7 @@ OPS = {"and": f"({A_SQL}) and ({B_SQL})", "or": f"({A_SQL}) or ({B_SQL})", "xor"
 def _bitmap(op: str, sql: str):
     @query(f"bitmap_{op}", f"select o_orderkey, {sql} bit from orders")
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "orders").select("o_orderkey", rowsets.combine(A, B, op).alias("bit"))
+        return table(spark, sf_dir, "orders").select("o_orderkey", rowsets.combine(dear(), done(), op).alias("bit"))
 
     return run
 
@@ -221,12 +228,12 @@ for _op, _sql in OPS.items():
 
 @query("bitmap_negate", f"select o_orderkey, not ({A_SQL}) bit from orders")
 def bitmap_negate(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", (~A).alias("bit"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", (~dear()).alias("bit"))
 
 
 @query("bitmap_true_rows", f"select o_orderkey from orders where {A_SQL}")
 def bitmap_true_rows(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where(A).select("o_orderkey")
+    return table(spark, sf_dir, "orders").where(dear()).select("o_orderkey")
 
 
 @query("bitmap_from_indexes", "select o_orderkey, o_custkey in (select c_custkey from customer where c_acctbal < 0) bit from orders")
@@ -241,12 +248,12 @@ k as (select b, n, t, case when t = 0 then '0' when t = n then '1' else 'm' end
 r as (select k, b - row_number() over (partition by k order by b) g from k where k <> 'm')
 select cast((select sum(n) from k) as bigint) length, cast((select sum(t) from k) as bigint) n_true, (select count(*) from k where k = 'm') literals, (select count(*) from (select distinct k, g from r) d) uniform_runs""")
 def bitmap_density(spark, sf_dir):
-    return rowsets.work(table(spark, sf_dir, "orders").withColumn("a", A), "o_orderkey", "a").select("length", "n_true", "literals", "uniform_runs")
+    return rowsets.work(table(spark, sf_dir, "orders").withColumn("a", dear()), "o_orderkey", "a").select("length", "n_true", "literals", "uniform_runs")
 
 
 @query("bitmap_packed_count", f"select count(*) n from orders where {A_SQL}")
 def bitmap_packed_count(spark, sf_dir):
-    return rowsets.packed(table(spark, sf_dir, "orders").withColumn("a", A), "o_orderkey", "a").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    return rowsets.packed(table(spark, sf_dir, "orders").withColumn("a", dear()), "o_orderkey", "a").agg(F.sum(F.bitmap_count("bits")).alias("n"))
 
 
 @query("merge_sorted_streams", "select o_orderdate ts, 'order' src from orders union all select ts, 'event' from events")

@@ -162,14 +162,17 @@ def split_stats_square(spark, sf_dir):
 
 
 HASH = "floor(((l_orderkey * 8 + l_linenumber) % 2147483648) * 2654435761 % 4294967296 / 65536)"
-KEY = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+
+
+def line_key():
+    return F.col("l_orderkey") * 8 + F.col("l_linenumber")
 
 
 @query("split_stats_half_of_fold", f"""
 with h as (select l_quantity x, cast({HASH} as bigint) % 3 fold, cast({HASH.replace('l_linenumber)', 'l_linenumber + 7919)')} as bigint) % 2 half from lineitem)
 select x, count(*) n from h where fold <> 0 and half = 0 group by x""")
 def split_stats_half_of_fold(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").withColumn("key", KEY)
+    li = table(spark, sf_dir, "lineitem").withColumn("key", line_key())
     li = targets.random_folds(li, "key", 3).where(F.col("fold") != 0).where(targets.half(F.col("key"), 1))
     return li.groupBy(F.col("l_quantity").alias("x")).agg(F.count("*").alias("n"))
 
@@ -258,7 +261,7 @@ def boost_3_trees_score(spark, sf_dir):
 
 @query("folds_random", f"select cast(cast({HASH} as bigint) % 3 as int) fold, count(*) n from lineitem group by 1")
 def folds_random(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").withColumn("key", KEY)
+    li = table(spark, sf_dir, "lineitem").withColumn("key", line_key())
     return targets.random_folds(li, "key", 3).groupBy("fold").agg(F.count("*").alias("n"))
 
 
@@ -297,13 +300,19 @@ def fold_metrics_square(spark, sf_dir):
     return metrics.fold_table(li, 0, "square").select("working", "n", F.round("mean_loss", 8).alias("mean_loss"))
 
 
-P = F.col("n_chars") / (F.col("n_chars") + 2000)
+
+
+def by_length():
+    """A made-up probability: longer is better."""
+    return F.col("n_chars") / (F.col("n_chars") + 2000)
+
+
 P_SQL = "(select quality y, cast(n_chars as double) / (n_chars + 2000) p from documents d join labels l on d.doc_id = l.doc_id)"
 
 
 @query("confusion_marginals", f"with c as (select y, case when p >= 0.5 then 1 else 0 end call from {P_SQL} t) select coalesce(y, -1) y, coalesce(call, -1) call, count(*) n, round(cast(count(*) as double) / (select count(*) from c), 6) share from c group by cube (y, call)")
 def confusion_marginals(spark, sf_dir):
-    return metrics.confusion(labelled(spark, sf_dir), F.col("quality"), P).select(F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("call", F.lit(-1)).alias("call"), "n", F.round("share", 6).alias("share"))
+    return metrics.confusion(labelled(spark, sf_dir), F.col("quality"), by_length()).select(F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("call", F.lit(-1)).alias("call"), "n", F.round("share", 6).alias("share"))
 
 
 @query("auc", f"""
@@ -311,12 +320,12 @@ with g as (select p, sum(case when y = 1 then cast(1 as double) else cast(0 as d
 w as (select p, tp, fp, sum(tp) over (order by p desc rows between unbounded preceding and current row) ctp from g)
 select round(sum(fp * (ctp - tp / 2)) / (sum(tp) * sum(fp)), 6) auc from w""")
 def auc(spark, sf_dir):
-    return metrics.auc(labelled(spark, sf_dir), F.col("quality"), P).select(F.round("auc", 6).alias("auc"))
+    return metrics.auc(labelled(spark, sf_dir), F.col("quality"), by_length()).select(F.round("auc", 6).alias("auc"))
 
 
 @query("log_loss", f"select round(avg(case when y = 1 then -ln(p) else -ln(1 - p) end), 6) log_loss, count(*) n from {P_SQL} t where p > 0")
 def log_loss(spark, sf_dir):
-    return metrics.log_loss(labelled(spark, sf_dir).where("n_chars > 0"), F.col("quality"), P).select(F.round("log_loss", 6).alias("log_loss"), "n")
+    return metrics.log_loss(labelled(spark, sf_dir).where("n_chars > 0"), F.col("quality"), by_length()).select(F.round("log_loss", 6).alias("log_loss"), "n")
 
 
 @query("convergence_ewma", """
