@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows (DataFrame functions only).
 
 Canonical form: words are lower-cased and stripped of outer punctuation; numbers, names and units become the typed
-placeholders <num>, <name> and <unit>. A number is a word with a digit first; a name is a capitalised word that does not
-start a sentence or line; a unit is a word of UNITS that follows a number. Windows of width canonical words with at least
+placeholders <num>, <name> and <unit>. A number is a word with a digit first; a name is a word with a capital followed by a small
+letter that does not start a sentence or line; a unit is a word of UNITS that follows a number. Windows of width canonical words with at least
 literals words that are no placeholders are hashed and hash-joined with the benchmark's windows.
 
 A document matches an item if it holds at least share of the item's distinct windows (items shorter than a window have
@@ -38,7 +38,7 @@ def canonical(df: DataFrame, width: int) -> DataFrame:
         starts = (i == 0) | before.rlike(r"[.!?:]['\")\]]*$")
         b = bare(x)
         return F.when(b.rlike(r"^\p{N}"), F.concat(F.lit("<num>:"), b)).when(
-            ~starts & b.rlike(r"^\p{Lu}"), F.concat(F.lit("<name>:"), b)).when(
+            ~starts & b.rlike(r"^\p{Lu}\p{Ll}"), F.concat(F.lit("<name>:"), b)).when(
             (i > 0) & F.lower(b).isin(UNITS) & before.rlike(r"^[^\p{L}]*\p{N}"), F.concat(F.lit("<unit>:"), F.lower(b))).otherwise(F.lower(b))
 
     df = let(df, "v", F.transform("raw", slot))
