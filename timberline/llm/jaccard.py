@@ -12,6 +12,10 @@ in the first |x| - ceil(t |x|) + l shingles of x (its probing prefix, t = num /
 minimises an estimated cost: the postings its prefix meets, plus VERIFY times the candidates left when l matches are
 required, about postings / l. A pair must then share min(l_x, l_y) prefix shingles before its texts are compared.
 
+Prefix shingles that no other node has cannot be shared: the rest, m = |x| - (those), bounds what x has in common with
+anything, so pairs with min(m_x, m_y) < o are no candidates. In a group of copies of one text with different edits, this
+leaves the pairs whose edits are few. Where a pair's last shared prefix shingle stands bounds its overlap once more.
+
 Groups. Components need a spanning set of links, not all pairs in a group. First, in some rounds, every node is compared
 with one hub of a shingle it shares, the node whose shingles are the most frequent, which is near the centre of a group of
 near copies. Then the join proper makes candidates only between different components, all of them, so no link that would
@@ -106,10 +110,10 @@ def merged_sketch(prints: DataFrame) -> np.ndarray:
 
 
 def prefix_rows(c: Chunk, k: int, num: int, den: int, sketch: np.ndarray, skip: set[int]) -> tuple[np.ndarray, ...]:
-    """token, node, n, l, index (whether in the index prefix), pop, salt of a chunk's prefixes; equal sets once."""
+    """token, node, n, l, idx (whether in the index prefix), pop, salt, p (length of the probing prefix), i (place in it) of a chunk's prefixes; equal sets once."""
     d, h = shingle_sets(c, k)
     if not len(h):
-        return (np.zeros(0, np.int64),) * 7
+        return (np.zeros(0, np.int64),) * 9
     size = np.bincount(d, minlength=len(c.rows)).astype(np.int64)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)))])
@@ -139,11 +143,11 @@ def prefix_rows(c: Chunk, k: int, num: int, den: int, sketch: np.ndarray, skip:
     at = d[take]
     spread = np.maximum(np.ceil(est[take] / HOT), 1).astype(np.int64)
     salt = np.where(spread > 1, 1 + (node[at].view(np.uint64) % spread.astype(np.uint64)).astype(np.int64), 0)
-    return h[take].view(np.int64), node[at], size[at], l[at], place[take] < index[at], pop[at], salt
+    return h[take].view(np.int64), node[at], size[at], l[at], place[take] < index[at], pop[at], salt, probe[at], place[take]
 
 
-ENTRY = "token long, node long, n int, l int, idx boolean, pop float, salt int"
-_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.float32(), pa.int32())
+ENTRY = "token long, node long, n int, l int, idx boolean, pop float, salt int, p int, i int"
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.float32(), pa.int32(), pa.int32(), pa.int32())
 
 
 def entries(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray, partitions: int) -> DataFrame:
@@ -230,6 +234,10 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles * 0.2 / 500_000) + 1)
     rows = docs.where("doc_id is not null")
     found = durable(entries(rows, k, num, den, sketch, partitions), "entries")
+    # m: what of a set some other node may have
+    held_by = found.groupBy("node").agg(F.count("*").alias("_c"))
+    found = found.join(small(held_by), "node").withColumn("m", F.col("n") - F.col("p") + F.col("_c").cast("int")).where(F.col("m") * den >= F.col("n") * num).drop("_c", "p", "salt")
+    found = durable(found, "live-entries")
     held = small(found.select("node").distinct().join(nodes, "node"))
     keyed = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").join(held, ["doc_id", "th"]).select("node", "text")
     texts = durable(keyed.dropDuplicates(["node"]), "texts")
@@ -240,14 +248,14 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     for r in range(ROUNDS + 1):
         # entries of tokens that still meet different components
         live = found.join(small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_tokens = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("pop", F.xxhash64("node", F.lit(r)).alias("_h"), "node", "comp", "n")).alias("hub")).where("x <> y")
-        open_tokens = durable(open_tokens.select("token", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n")), "open-tokens")
+        open_tokens = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("pop", F.xxhash64("node", F.lit(r)).alias("_h"), "node", "comp", "n", "m")).alias("hub")).where("x <> y")
+        open_tokens = durable(open_tokens.select("token", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"), F.col("hub.m").alias("hub_m")), "open-tokens")
         if r < ROUNDS:
-            near = live.join(open_tokens, "token").where((F.col("comp") != F.col("hub_comp")) & (F.col("n") * num <= F.col("hub_n") * den) & (F.col("hub_n") * num <= F.col("n") * den))
+            near = live.join(open_tokens, "token").where((F.col("comp") != F.col("hub_comp")) & enough("n", "m", "hub_n", "hub_m", num, den))
             near = near.select("node", "hub").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select("node", F.col("m.hub").alias("hub"))
             pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            live = durable(live.join(open_tokens.select("token"), "token", "left_semi").select("token", "node", "comp", "n", "l", "idx"), "live")
+            live = durable(live.join(open_tokens.select("token"), "token", "left_semi").select("token", "node", "comp", "n", "m", "l", "idx", "i"), "live")
             pairs = candidates(live, num, den)
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count() == 0 and r < ROUNDS:
@@ -263,14 +271,24 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def enough(nx: str, mx: str, ny: str, my: str, num: int, den: int) -> F.Column:
+    """Whether sets of sizes nx and ny can share enough if they have at most mx and my in common with others."""
+    return F.least(mx, my) * (num + den) >= (F.col(nx) + F.col(ny)) * num
+
+
 def candidates(live: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs a < b of different components that share enough prefix tokens. Components that meet at a token are paired first, so that a large component costs no pairs with itself."""
-    at = live.select("token", "comp").distinct()
-    meet = at.select("token", F.col("comp").alias("cx")).join(at.select("token", F.col("comp").alias("cy")), "token").where("cx <> cy")
-    x = live.select("token", F.col("comp").alias("cx"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"))
-    y = live.where("idx").select("token", F.col("comp").alias("cy"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("l").alias("ly"))
-    met = meet.join(x, ["token", "cx"]).join(y, ["token", "cy"]).where((F.col("ny") <= F.col("nx")) & (F.col("nx") * num <= F.col("ny") * den))
-    shared = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.least("lx", "ly")).alias("l")).where("c >= l")
+    sizes = (F.min("n").alias("n"), F.max("m").alias("m"))
+    cx = live.groupBy("token", "comp").agg(*sizes).select("token", F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("m").alias("mx"))
+    cy = live.where("idx").groupBy("token", "comp").agg(*sizes).select("token", F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("m").alias("my"))
+    meet = cx.join(cy, "token").where((F.col("cx") != F.col("cy")) & enough("nx", "mx", "ny", "my", num, den)).select("token", "cx", "cy")
+    x = live.select("token", F.col("comp").alias("cx"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.col("l").alias("lx"), F.col("i").alias("ix"))
+    y = live.where("idx").select("token", F.col("comp").alias("cy"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("l").alias("ly"), F.col("i").alias("iy"))
+    met = meet.join(x, ["token", "cx"]).join(y, ["token", "cy"]).where((F.col("ny") <= F.col("nx")) & enough("nx", "mx", "ny", "my", num, den))
+    # all that both have up to the last shared token is counted; after it they share at most what is left of the shorter rest
+    rest = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) - 1
+    shared = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.min(F.least("lx", "ly")).alias("l"), F.min(rest).alias("rest")).where("c >= l")
+    shared = shared.where((F.col("c") + F.col("rest")) * (num + den) >= (F.col("nx") + F.col("ny")) * num)
     return shared.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
