@@ -1,10 +1,13 @@
 """Benchmark decontamination by template windows (DataFrame functions only).
 
 Canonical form: words are lower-cased and stripped of outer punctuation; numbers, names and units become the typed
-placeholders <num>, <name> and <unit>. A number is a word with a digit first; a name is a word with a capital followed by a small
-letter that does not start a sentence or line; a unit is a word of UNITS that follows a number. Windows of width canonical words with at least
+placeholders <num>, <name> and <unit>. A number is a word with a digit first; a name is a word with a capital and a small
+letter first that stands in the same line after a word which ends in a letter, digit, comma or semicolon; a unit is a word
+of UNITS that follows a number. Windows of width canonical words with at least
 literals words that are no placeholders are hashed and hash-joined with the benchmark's windows.
 
+All this runs over every document; the slots' values are taken only from documents that hold enough windows of an item.
+
 A document matches an item if it holds at least share of the item's distinct windows (items shorter than a window have
 one window, the whole item) and the slots agree: a slot value of the item must stand for one and the same value of the
 document wherever it occurs in the matched windows, in at least consistency of the item's slot values. Equal values
@@ -24,27 +27,37 @@ from timberline.llm.common import durable, let, small
 WIDTH, LITERALS, SHARE, CONSISTENCY = 8, 4, 0.8, 0.8
 #: Units that may follow a number.
 UNITS = "% kg g mg km m cm mm mi ft in lb lbs oz l ml s sec min h hr hours minutes seconds days weeks years usd eur gbp dollars euros cents percent degrees celsius fahrenheit mph kmh watts volts joules".split()
-OUTER = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$"
+#: Marks in front of names and numbers while a text is taken apart; texts that hold these control characters lose them.
+NAME, NUMBER = "\u0001", "\u0002"
+INSIDE = rf"[^\p{{L}}\p{{N}}%\s{NAME}{NUMBER}]"
+
+
+def marked_words(text: Column) -> Column:
+    """Lower-cased words without outer punctuation, names and numbers with their mark in front. Whole-text expressions: much cheaper than looking at each word."""
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(F.contains(t, F.lit(NAME)) | F.contains(t, F.lit(NUMBER)), F.translate(t, NAME + NUMBER, "")).otherwise(t)
+    t = F.regexp_replace(t, r"([\p{L}\p{N},;])[ \t]+[\"'(\[]?(?=\p{Lu}\p{Ll})", f"$1 {NAME}")
+    t = F.regexp_replace(t, r"(^|[ \t-\r])[^\p{L}\p{N}\s]*(?=\p{N})", f"$1{NUMBER}")
+    t = F.concat(F.lit(" "), F.lower(t), F.lit(" "))
+    return F.array_remove(F.split(t, rf"{INSIDE}*[ \t-\r]+{INSIDE}*"), "")
 
 
 def canonical(df: DataFrame, width: int) -> DataFrame:
     """Adds c (canonical words), v (the same, but slots as their type, a colon and their value) and w (a hash for each window)."""
-    # a line break ends a sentence: it is kept as a mark on the word before it
-    df = let(df, "raw", F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\n\\r]", ". "), "[ \\t-\\r]+"), lambda x: x.rlike(r"[\p{L}\p{N}]")))
-    bare = lambda x: F.regexp_replace(x, OUTER, "")
-
-    def slot(x: Column, i: Column) -> Column:
-        before = F.get("raw", i - 1)
-        starts = (i == 0) | before.rlike(r"[.!?:]['\")\]]*$")
-        b = bare(x)
-        return F.when(b.rlike(r"^\p{N}"), F.concat(F.lit("<num>:"), b)).when(
-            ~starts & b.rlike(r"^\p{Lu}\p{Ll}"), F.concat(F.lit("<name>:"), b)).when(
-            (i > 0) & F.lower(b).isin(UNITS) & before.rlike(r"^[^\p{L}]*\p{N}"), F.concat(F.lit("<unit>:"), F.lower(b))).otherwise(F.lower(b))
-
-    df = let(df, "v", F.transform("raw", slot))
-    df = let(df, "c", F.transform("v", lambda x: F.substring_index(x, ":", 1)))
+    df = let(df, "raw", marked_words(F.col("text")))
+
+    def typed(value: bool) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            put = lambda kind, v: F.concat(F.lit(f"<{kind}>:"), v) if value else F.lit(f"<{kind}>")
+            unit = x.isin(UNITS) & F.startswith(F.coalesce(F.get("raw", i - 1), F.lit("")), F.lit(NUMBER))
+            return F.when(F.startswith(x, F.lit(NUMBER)), put("num", F.substring(x, 2, 1 << 30))).when(F.startswith(x, F.lit(NAME)), put("name", F.substring(x, 2, 1 << 30))).when(unit, put("unit", x)).otherwise(x)
+
+        some = F.exists("raw", lambda x: F.startswith(x, F.lit(NUMBER)) | F.startswith(x, F.lit(NAME)))
+        return F.when(some, F.transform("raw", one)).otherwise(F.col("raw"))
+
+    df = let(df, "c", typed(False))
     n = F.greatest(F.size("c") - (width - 1), F.least(F.size("c"), F.lit(1)))
-    return let(df, "w", F.transform(F.slice("c", 1, n), lambda x, i: F.xxhash64(F.slice("c", i + 1, width)))).drop("raw")
+    return let(df.withColumn("v", typed(True)), "w", F.transform(F.slice("c", 1, n), lambda x, i: F.xxhash64(F.slice("c", i + 1, width))))
 
 
 def slots_of(i: Column, width: int) -> Column:
@@ -60,13 +73,15 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: in
     # repeated rows and repeated windows of an item count once
     index = durable(index.groupBy("item_id", "h").agg(F.min("theirs").alias("theirs")), "benchmark-windows")
     sizes = index.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    rows = canonical(docs.select("doc_id", "text"), width)
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
     hashes = index.select("h").distinct()
-    found = rows.select("doc_id", "v", F.posexplode("w").alias("i", "h")).join(small(hashes), "h").select("doc_id", "h", slots_of(F.col("i"), width).alias("ours"))
-    found = durable(found.groupBy("doc_id", "h").agg(F.min("ours").alias("ours")), "document-windows")
-    hits = found.join(small(index), "h")
-    enough = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows")).join(small(sizes), "item_id").where(F.col("n_windows") >= F.ceil(F.col("item_windows") * share))
-    pairs = hits.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"]).select("doc_id", "item_id", F.explode(F.arrays_zip("theirs", "ours")).alias("s"))
+    found = canonical(texts, width).select("doc_id", F.explode("w").alias("h")).join(small(hashes), "h").distinct()
+    hits = found.join(small(index.select("item_id", "h")), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"))
+    enough = durable(hits.join(small(sizes), "item_id").where(F.col("n_windows") >= F.ceil(F.col("item_windows") * share)), "leak-candidates")
+    near = texts.join(small(enough.select("doc_id").distinct()), "doc_id", "left_semi")
+    ours = canonical(near, width).select("doc_id", "v", F.posexplode("w").alias("i", "h")).join(small(hashes), "h").select("doc_id", "h", slots_of(F.col("i"), width).alias("ours"))
+    ours = ours.groupBy("doc_id", "h").agg(F.min("ours").alias("ours"))
+    pairs = ours.join(small(index), "h").join(small(enough.select("doc_id", "item_id")), ["doc_id", "item_id"]).select("doc_id", "item_id", F.explode(F.arrays_zip("theirs", "ours")).alias("s"))
     pairs = pairs.select("doc_id", "item_id", F.col("s.theirs").alias("theirs"), F.col("s.ours").alias("ours")).where(F.startswith("theirs", F.lit("<")))
     slots = pairs.groupBy("doc_id", "item_id", "theirs").agg(F.min("ours").alias("a"), F.max("ours").alias("b"))
     slots = slots.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.count_if(F.col("a") == F.col("b")).alias("n_consistent"), F.count_if((F.col("a") == F.col("theirs")) & (F.col("b") == F.col("theirs"))).alias("n_same"))
