@@ -70,9 +70,11 @@ def test_components(spark, k, num, den):
     assert got == brute_components(rows, k, num, den)
 
 
-def test_components_without_a_hub_round(spark, monkeypatch):
-    rows = corpus(seed=9)
-    monkeypatch.setattr(jaccard, "ROUNDS", 0)  # candidates alone find every link
+@pytest.mark.parametrize(("rounds", "cold"), [(0, 32), (0, 1), (1, 1)])
+def test_candidates_find_every_link(spark, monkeypatch, rounds, cold):
+    rows = corpus(seed=9 + cold)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "COLD", cold)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(docs(spark, rows)).collect()}
     assert got == brute_components(rows, 4, 85, 100)
 

@@ -6,11 +6,11 @@ shingle). Sets x and y link when den * |x n y| >= num * |x u y|. Equal sets are
 Order. Shingles are ordered by an estimated frequency, rarest first, then by hash. The estimates come from a sketch of
 fixed size (SKETCH counters) filled from all documents; any order gives right results, this one makes few candidates.
 
-Prefixes. If |y| <= |x| link, they share o >= num / (num + den) * (|x| + |y|) shingles, and the first l shared ones lie
-in the first |x| - ceil(t |x|) + l shingles of x (its probing prefix, t = num / den) and in the first
-|y| - ceil(2 num / (num + den) |y|) + l of y (its index prefix). Each document lengthens its prefixes by the l that
-minimises an estimated cost: the postings its prefix meets, plus VERIFY times the candidates left when l matches are
-required, about postings / l. A pair must then share min(l_x, l_y) prefix shingles before its texts are compared.
+Prefixes. If x and y link, they share o >= num / (num + den) * (|x| + |y|) shingles, and the first l shared ones lie in
+the first |x| - o + l of x and the first |y| - o + l of y, so in their first |x| - ceil(t |x|) + l (t = num / den). Each
+document lengthens its prefix by the l that minimises an estimated cost: the postings its prefix meets, plus VERIFY times
+the candidates left when l matches are required, about postings / l. A pair must then share min(l_x, l_y) prefix shingles
+before its texts are compared.
 
 Prefix shingles that no other node has cannot be shared: the rest, m = |x| - (those), bounds what x has in common with
 anything, so pairs with min(m_x, m_y) < o are no candidates. In a group of copies of one text with different edits, this
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from timberline.llm.common import Chunk, chunks, durable, mix, small
 
 SKETCH, SLICES = 1 << 20, 64
-MOST_MATCHES, VERIFY, HOT, ROUNDS = 6, 50.0, 2_000, 3
+MOST_MATCHES, VERIFY, HOT, COLD, ROUNDS = 6, 50.0, 2_000, 32, 3
 
 
 def shingle_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +110,10 @@ def merged_sketch(prints: DataFrame) -> np.ndarray:
 
 
 def prefix_rows(c: Chunk, k: int, num: int, den: int, sketch: np.ndarray, skip: set[int]) -> tuple[np.ndarray, ...]:
-    """token, node, n, l, idx (whether in the index prefix), pop, salt, p (length of the probing prefix), i (place in it) of a chunk's prefixes; equal sets once."""
+    """token, node, n, l, pop, salt, p (length of the probing prefix), i (place in it) of a chunk's prefixes; equal sets once."""
     d, h = shingle_sets(c, k)
     if not len(h):
-        return (np.zeros(0, np.int64),) * 9
+        return (np.zeros(0, np.int64),) * 8
     size = np.bincount(d, minlength=len(c.rows)).astype(np.int64)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)))])
@@ -128,7 +128,7 @@ def prefix_rows(c: Chunk, k: int, num: int, den: int, sketch: np.ndarray, skip:
     order = np.lexsort((h, est, d))  # documents stay together: rarest shingles first
     h, est = h[order], est[order]
     start = ends - size
-    need, need_index = -(-num * size // den), -(-2 * num * size // (num + den))
+    need = -(-num * size // den)
     run = np.concatenate([[0], np.cumsum(est, dtype=np.float64)])
     best, l = np.full(len(size), np.inf), np.ones(len(size), np.int64)
     for m in range(1, MOST_MATCHES + 1):
@@ -136,18 +136,18 @@ def prefix_rows(c: Chunk, k: int, num: int, den: int, sketch: np.ndarray, skip:
         cost = met * (1 + VERIFY / m)
         better = (cost < best) & ((m <= need) | (m == 1))
         best[better], l[better] = cost[better], m
-    probe, index = np.minimum(size - need + l, size), np.minimum(size - need_index + l, size)
+    probe = np.minimum(size - need + l, size)
     pop = (run[start + probe] - run[start]) / np.maximum(probe, 1)
     place = np.arange(len(h)) - np.repeat(start, size)
     take = (place < np.repeat(probe, size)) & np.repeat(use, size)
     at = d[take]
     spread = np.maximum(np.ceil(est[take] / HOT), 1).astype(np.int64)
     salt = np.where(spread > 1, 1 + (node[at].view(np.uint64) % spread.astype(np.uint64)).astype(np.int64), 0)
-    return h[take].view(np.int64), node[at], size[at], l[at], place[take] < index[at], pop[at], salt, probe[at], place[take]
+    return h[take].view(np.int64), node[at], size[at], l[at], pop[at], salt, probe[at], place[take]
 
 
-ENTRY = "token long, node long, n int, l int, idx boolean, pop float, salt int, p int, i int"
-_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.float32(), pa.int32(), pa.int32(), pa.int32())
+ENTRY = "token long, node long, n int, l int, pop float, salt int, p int, i int"
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.int32(), pa.int32(), pa.int32())
 
 
 def entries(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray, partitions: int) -> DataFrame:
@@ -255,7 +255,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
             near = near.select("node", "hub").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select("node", F.col("m.hub").alias("hub"))
             pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            live = durable(live.join(open_tokens.select("token"), "token", "left_semi").select("token", "node", "comp", "n", "m", "l", "idx", "i"), "live")
+            live = durable(live.join(open_tokens.select("token"), "token", "left_semi").select("token", "node", "comp", "n", "m", "l", "i"), "live")
             pairs = candidates(live, num, den)
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count() == 0 and r < ROUNDS:
@@ -276,20 +276,66 @@ def enough(nx: str, mx: str, ny: str, my: str, num: int, den: int) -> F.Column:
     return F.least(mx, my) * (num + den) >= (F.col(nx) + F.col(ny)) * num
 
 
+def overlap_room(x: str, y: str, num: int, den: int) -> F.Column:
+    """Whether the prefixes of two nodes leave room for a link: they share min(l) tokens at least, and, as all is counted up
+    to the last token they share there, at most what follows it in common besides. x, y: structs of n, m, l, tokens, places."""
+    a, b = F.col(x), F.col(y)
+    both = F.array_intersect(a["tokens"], b["tokens"])
+    last = F.element_at(both, -1)
+    place = lambda s: F.element_at(s["places"], F.array_position(s["tokens"], last).cast("int"))
+    most = F.size(both) + F.least(a["n"] - place(a), b["n"] - place(b)) - 1
+    return (F.size(both) >= F.least(a["l"], b["l"])) & (most * (num + den) >= (a["n"] + b["n"]) * num)
+
+
+def first_here(nx: F.Column, rx: F.Column, ny: F.Column, ry: F.Column, num: int, den: int) -> F.Column:
+    """Whether a token with rx and ry tokens from it on can be the first that is shared: with o the overlap a link needs, both must be o at least."""
+    return F.least(rx, ry) * (num + den) >= (nx + ny) * num
+
+
 def candidates(live: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs a < b of different components that share enough prefix tokens. Components that meet at a token are paired first, so that a large component costs no pairs with itself."""
-    sizes = (F.min("n").alias("n"), F.max("m").alias("m"))
-    cx = live.groupBy("token", "comp").agg(*sizes).select("token", F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("m").alias("mx"))
-    cy = live.where("idx").groupBy("token", "comp").agg(*sizes).select("token", F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("m").alias("my"))
-    meet = cx.join(cy, "token").where((F.col("cx") != F.col("cy")) & enough("nx", "mx", "ny", "my", num, den)).select("token", "cx", "cy")
-    x = live.select("token", F.col("comp").alias("cx"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.col("l").alias("lx"), F.col("i").alias("ix"))
-    y = live.where("idx").select("token", F.col("comp").alias("cy"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("l").alias("ly"), F.col("i").alias("iy"))
-    met = meet.join(x, ["token", "cx"]).join(y, ["token", "cy"]).where((F.col("ny") <= F.col("nx")) & enough("nx", "mx", "ny", "my", num, den))
-    # all that both have up to the last shared token is counted; after it they share at most what is left of the shorter rest
-    rest = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) - 1
-    shared = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.min(F.least("lx", "ly")).alias("l"), F.min(rest).alias("rest")).where("c >= l")
-    shared = shared.where((F.col("c") + F.col("rest")) * (num + den) >= (F.col("nx") + F.col("ny")) * num)
-    return shared.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """All pairs a < b of nodes of different components that may link by their prefixes.
+
+    A pair is found at the first token it shares. Tokens of at most COLD nodes are simply joined. At the others, components
+    meet first, with bounds over their nodes there (a component with one node there is tested as that node), and are then
+    expanded, the smaller one first, so a large component costs no pairs with itself; prefixes travel along, and a pair is
+    made only at its first token and only if there is room for a link.
+    """
+    col = F.col
+    lists = live.groupBy("node", "n", "m", "l").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("p"))
+    prefix = durable(lists.select("node", F.struct("node", "n", "m", "l", col("p.token").alias("tokens"), col("p.i").alias("places")).alias("x")), "prefixes")
+    hot = durable(live.groupBy("token").agg(F.count("*").alias("k")).where(col("k") > COLD).select("token"), "hot-tokens")
+    # a first shared token is in the part of a prefix that one match needs
+    live = live.where((col("n") - col("i")) * den >= col("n") * num)
+    cold = live.join(small(hot), "token", "left_anti")
+    a = cold.select("token", col("comp").alias("c"), col("node").alias("x"), col("n").alias("nx"), col("m").alias("mx"), col("i").alias("ix"))
+    b = cold.select("token", col("comp").alias("d"), col("node").alias("y"), col("n").alias("ny"), col("m").alias("my"), col("i").alias("iy"))
+    few = a.join(b, "token").where((col("c") < col("d")) & enough("nx", "mx", "ny", "my", num, den) & first_here(col("nx"), col("nx") - col("ix"), col("ny"), col("ny") - col("iy"), num, den)).select(col("x").alias("node"), "y").distinct()
+    few = few.join(prefix, "node").select(col("y").alias("node"), "x").join(prefix.withColumnRenamed("x", "y"), "node").where(overlap_room("x", "y", num, den))
+    pairs = [few.select(col("x.node").alias("a"), col("y.node").alias("b"))]
+
+    rows = durable(live.join(small(hot), "token").select("token", "comp", "node", "i").join(prefix, "node").drop("node"), "hot-rows")
+    at = rows.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min("x.n").alias("n"), F.max("x.m").alias("m"), F.max(col("x.n") - col("i")).alias("r"))
+    at = durable(at, "hot-groups")
+    single = rows.join(at.where("k = 1").select("token", "comp"), ["token", "comp"], "left_semi").withColumnRenamed("comp", "c")
+    groups = at.where("k > 1").withColumnRenamed("comp", "d")
+    other = rows.select("token", col("comp").alias("d"), col("x").alias("y"), col("i").alias("j"))
+
+    def meets(d: DataFrame) -> DataFrame:
+        """Pairs of rows that meet at their first shared token."""
+        here = first_here(col("x.n"), col("x.n") - col("i"), col("y.n"), col("y.n") - col("j"), num, den) & (F.least("x.m", "y.m") * (num + den) >= (col("x.n") + col("y.n")) * num)
+        return d.where(here & (F.element_at(F.array_intersect("x.tokens", "y.tokens"), 1) == col("token")) & overlap_room("x", "y", num, den)).select(col("x.node").alias("a"), col("y.node").alias("b"))
+
+    pairs.append(meets(single.join(single.select("token", col("c").alias("d"), col("x").alias("y"), col("i").alias("j")), "token").where("c < d")))
+    # one node against a group
+    bounds = groups.select("token", "d", "n", "m", "r")
+    room = first_here(col("x.n"), col("x.n") - col("i"), col("n"), col("r"), num, den) & (F.least("x.m", "m") * (num + den) >= (col("x.n") + col("n")) * num)
+    pairs.append(meets(single.join(bounds, "token").where((col("c") != col("d")) & room).select("token", "d", "x", "i").join(other, ["token", "d"])))
+    # two groups
+    g = groups.select("token", col("d").alias("c"), col("k").alias("k1"), col("n").alias("n1"), col("m").alias("m1"), col("r").alias("r1"))
+    both = g.join(groups, "token").where((col("c") != col("d")) & (F.struct("k1", "c") < F.struct("k", "d")) & enough("n1", "m1", "n", "m", num, den) & first_here(col("n1"), col("r1"), col("n"), col("r"), num, den)).select("token", "c", "d")
+    pairs.append(meets(both.join(rows.withColumnRenamed("comp", "c"), ["token", "c"]).select("token", "d", "x", "i").join(other, ["token", "d"])))
+    found = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).unionByName(pairs[3])
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
