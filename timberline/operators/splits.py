@@ -55,12 +55,9 @@ def cumulative(st: DataFrame) -> DataFrame:
     """Adds sums at and before each position (l*) and after it (r*), and the position, inside (node, fid)."""
     part = Window.partitionBy("node", "fid")
     upto = part.orderBy("k", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = st.withColumn("pos", F.row_number().over(part.orderBy("k", "x")) - 1)
-    for c in "nzwl":
-        out = out.withColumn(f"l{c}", F.sum(c).over(upto)).withColumn(f"t{c}", F.sum(c).over(part))
-    for c in "nzwl":
-        out = out.withColumn(f"r{c}", F.col(f"t{c}") - F.col(f"l{c}"))
-    return out
+    order = F.row_number().over(part.orderBy("k", "x")) - 1
+    out = st.select("*", order.alias("pos"), *[F.sum(c).over(upto).alias(f"l{c}") for c in "nzwl"], *[F.sum(c).over(part).alias(f"t{c}") for c in "nzwl"])
+    return out.select("*", *[(F.col(f"t{c}") - F.col(f"l{c}")).alias(f"r{c}") for c in "nzwl"])
 
 
 def candidates(cum: DataFrame, s: Search) -> DataFrame:
