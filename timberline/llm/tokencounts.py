@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.common import durable, shared_dir
+from timberline.llm.common import durable, let, shared_dir, small, words
 
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed value: the split pattern that belongs to byte-level BPE vocabularies of this family.
@@ -117,12 +117,14 @@ class Store:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """All documents come in; then toxic ones are deleted and those of low quality come back with runs of one word squeezed; each batch is sent twice."""
+    """All documents come in; then toxic ones are deleted and those of low quality come back with runs of one word squeezed to one; each batch is sent twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     store = Store(spark, f"{shared_dir(spark)}/timberline/token-store-{uuid.uuid4().hex}", ["byte_bpe_50k", "words"])
-    squeezed = docs.withColumn("text", F.regexp_replace("text", r"(?<![^\s])(\S+)(?:\s+\1(?![^\s]))+", "$1"))
+    bad, toxic = (labels.where(f"{c} = {v}").select("doc_id").distinct() for c, v in (("quality", 0), ("toxic", 1)))
+    squeezed = let(docs.join(small(bad), "doc_id", "left_semi"), "w", words(F.col("text")))
+    squeezed = squeezed.withColumn("text", F.array_join(F.filter("w", lambda x, i: (i == 0) | (x != F.get("w", i - 1))), " ")).drop("w")
     for _ in range(2):
         store.commit("0001-all", docs)
-        store.commit("0002-labelled", squeezed.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi"), labels.where("toxic = 1").select("doc_id"))
+        store.commit("0002-labelled", squeezed, toxic)
     return store.totals()
