@@ -17,7 +17,7 @@ SPACES = " \t\n\u000b\f\r"
 #: Rows that may be broadcast; wider tables go through a shuffled join.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that one vectorised pass handles at a time.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,9 +12,8 @@ document lengthens its prefix by the l that minimises an estimated cost: the pos
 the candidates left when l matches are required, about postings / l. A pair must then share min(l_x, l_y) prefix shingles
 before its texts are compared.
 
-Prefix shingles that no other node has cannot be shared: the rest, m = |x| - (those), bounds what x has in common with
-anything, so pairs with min(m_x, m_y) < o are no candidates. In a group of copies of one text with different edits, this
-leaves the pairs whose edits are few. Where a pair's last shared prefix shingle stands bounds its overlap once more.
+A pair is a candidate where it shares its first shingle, if that leaves o shingles in both, and if what it shares up to its
+last shared prefix shingle and the shorter rest after that are o or more.
 
 Groups. Components need a spanning set of links, not all pairs in a group. First, in some rounds, every node is compared
 with one hub of a shingle it shares, the node whose shingles are the most frequent, which is near the centre of a group of
@@ -110,10 +109,10 @@ def merged_sketch(prints: DataFrame) -> np.ndarray:
 
 
 def prefix_rows(c: Chunk, k: int, num: int, den: int, sketch: np.ndarray, skip: set[int]) -> tuple[np.ndarray, ...]:
-    """token, node, n, l, pop, salt, p (length of the probing prefix), i (place in it) of a chunk's prefixes; equal sets once."""
+    """token, node, n, l, pop, salt, i (place in the prefix) of a chunk's prefixes; equal sets once."""
     d, h = shingle_sets(c, k)
     if not len(h):
-        return (np.zeros(0, np.int64),) * 8
+        return (np.zeros(0, np.int64),) * 7
     size = np.bincount(d, minlength=len(c.rows)).astype(np.int64)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)))])
@@ -143,11 +142,11 @@ def prefix_rows(c: Chunk, k: int, num: int, den: int, sketch: np.ndarray, skip:
     at = d[take]
     spread = np.maximum(np.ceil(est[take] / HOT), 1).astype(np.int64)
     salt = np.where(spread > 1, 1 + (node[at].view(np.uint64) % spread.astype(np.uint64)).astype(np.int64), 0)
-    return h[take].view(np.int64), node[at], size[at], l[at], pop[at], salt, probe[at], place[take]
+    return h[take].view(np.int64), node[at], size[at], l[at], pop[at], salt, place[take]
 
 
-ENTRY = "token long, node long, n int, l int, pop float, salt int, p int, i int"
-_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.int32(), pa.int32(), pa.int32())
+ENTRY = "token long, node long, n int, l int, pop float, salt int, i int"
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.int32(), pa.int32())
 
 
 def entries(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray, partitions: int) -> DataFrame:
@@ -234,10 +233,6 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles * 0.2 / 500_000) + 1)
     rows = docs.where("doc_id is not null")
     found = durable(entries(rows, k, num, den, sketch, partitions), "entries")
-    # m: what of a set some other node may have
-    held_by = found.groupBy("node").agg(F.count("*").alias("_c"))
-    found = found.join(small(held_by), "node").withColumn("m", F.col("n") - F.col("p") + F.col("_c").cast("int")).where(F.col("m") * den >= F.col("n") * num).drop("_c", "p", "salt")
-    found = durable(found, "live-entries")
     held = small(found.select("node").distinct().join(nodes, "node"))
     keyed = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").join(held, ["doc_id", "th"]).select("node", "text")
     texts = durable(keyed.dropDuplicates(["node"]), "texts")
@@ -248,14 +243,14 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     for r in range(ROUNDS + 1):
         # entries of tokens that still meet different components
         live = found.join(small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_tokens = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("pop", F.xxhash64("node", F.lit(r)).alias("_h"), "node", "comp", "n", "m")).alias("hub")).where("x <> y")
-        open_tokens = durable(open_tokens.select("token", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n"), F.col("hub.m").alias("hub_m")), "open-tokens")
+        open_tokens = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("pop", F.xxhash64("node", F.lit(r)).alias("_h"), "node", "comp", "n")).alias("hub")).where("x <> y")
+        open_tokens = durable(open_tokens.select("token", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n")), "open-tokens")
         if r < ROUNDS:
-            near = live.join(open_tokens, "token").where((F.col("comp") != F.col("hub_comp")) & enough("n", "m", "hub_n", "hub_m", num, den))
+            near = live.join(open_tokens, "token").where((F.col("comp") != F.col("hub_comp")) & (F.col("n") * num <= F.col("hub_n") * den) & (F.col("hub_n") * num <= F.col("n") * den))
             near = near.select("node", "hub").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select("node", F.col("m.hub").alias("hub"))
             pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            live = durable(live.join(open_tokens.select("token"), "token", "left_semi").select("token", "node", "comp", "n", "m", "l", "i"), "live")
+            live = durable(live.join(open_tokens.select("token"), "token", "left_semi").select("token", "node", "comp", "n", "l", "i"), "live")
             pairs = candidates(live, num, den)
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count() == 0 and r < ROUNDS:
@@ -271,14 +266,9 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def enough(nx: str, mx: str, ny: str, my: str, num: int, den: int) -> F.Column:
-    """Whether sets of sizes nx and ny can share enough if they have at most mx and my in common with others."""
-    return F.least(mx, my) * (num + den) >= (F.col(nx) + F.col(ny)) * num
-
-
 def overlap_room(x: str, y: str, num: int, den: int) -> F.Column:
     """Whether the prefixes of two nodes leave room for a link: they share min(l) tokens at least, and, as all is counted up
-    to the last token they share there, at most what follows it in common besides. x, y: structs of n, m, l, tokens, places."""
+    to the last token they share there, at most what follows it in common besides. x, y: structs of n, l, tokens, places."""
     a, b = F.col(x), F.col(y)
     both = F.array_intersect(a["tokens"], b["tokens"])
     last = F.element_at(both, -1)
@@ -301,20 +291,20 @@ def candidates(live: DataFrame, num: int, den: int) -> DataFrame:
     made only at its first token and only if there is room for a link.
     """
     col = F.col
-    lists = live.groupBy("node", "n", "m", "l").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("p"))
-    prefix = durable(lists.select("node", F.struct("node", "n", "m", "l", col("p.token").alias("tokens"), col("p.i").alias("places")).alias("x")), "prefixes")
+    lists = live.groupBy("node", "n", "l").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("p"))
+    prefix = durable(lists.select("node", F.struct("node", "n", "l", col("p.token").alias("tokens"), col("p.i").alias("places")).alias("x")), "prefixes")
     hot = durable(live.groupBy("token").agg(F.count("*").alias("k")).where(col("k") > COLD).select("token"), "hot-tokens")
     # a first shared token is in the part of a prefix that one match needs
     live = live.where((col("n") - col("i")) * den >= col("n") * num)
     cold = live.join(small(hot), "token", "left_anti")
-    a = cold.select("token", col("comp").alias("c"), col("node").alias("x"), col("n").alias("nx"), col("m").alias("mx"), col("i").alias("ix"))
-    b = cold.select("token", col("comp").alias("d"), col("node").alias("y"), col("n").alias("ny"), col("m").alias("my"), col("i").alias("iy"))
-    few = a.join(b, "token").where((col("c") < col("d")) & enough("nx", "mx", "ny", "my", num, den) & first_here(col("nx"), col("nx") - col("ix"), col("ny"), col("ny") - col("iy"), num, den)).select(col("x").alias("node"), "y").distinct()
+    a = cold.select("token", col("comp").alias("c"), col("node").alias("x"), col("n").alias("nx"), col("i").alias("ix"))
+    b = cold.select("token", col("comp").alias("d"), col("node").alias("y"), col("n").alias("ny"), col("i").alias("iy"))
+    few = a.join(b, "token").where((col("c") < col("d")) & first_here(col("nx"), col("nx") - col("ix"), col("ny"), col("ny") - col("iy"), num, den)).select(col("x").alias("node"), "y").distinct()
     few = few.join(prefix, "node").select(col("y").alias("node"), "x").join(prefix.withColumnRenamed("x", "y"), "node").where(overlap_room("x", "y", num, den))
     pairs = [few.select(col("x.node").alias("a"), col("y.node").alias("b"))]
 
     rows = durable(live.join(small(hot), "token").select("token", "comp", "node", "i").join(prefix, "node").drop("node"), "hot-rows")
-    at = rows.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min("x.n").alias("n"), F.max("x.m").alias("m"), F.max(col("x.n") - col("i")).alias("r"))
+    at = rows.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min("x.n").alias("n"), F.max(col("x.n") - col("i")).alias("r"))
     at = durable(at, "hot-groups")
     single = rows.join(at.where("k = 1").select("token", "comp"), ["token", "comp"], "left_semi").withColumnRenamed("comp", "c")
     groups = at.where("k > 1").withColumnRenamed("comp", "d")
@@ -322,17 +312,17 @@ def candidates(live: DataFrame, num: int, den: int) -> DataFrame:
 
     def meets(d: DataFrame) -> DataFrame:
         """Pairs of rows that meet at their first shared token."""
-        here = first_here(col("x.n"), col("x.n") - col("i"), col("y.n"), col("y.n") - col("j"), num, den) & (F.least("x.m", "y.m") * (num + den) >= (col("x.n") + col("y.n")) * num)
+        here = first_here(col("x.n"), col("x.n") - col("i"), col("y.n"), col("y.n") - col("j"), num, den)
         return d.where(here & (F.element_at(F.array_intersect("x.tokens", "y.tokens"), 1) == col("token")) & overlap_room("x", "y", num, den)).select(col("x.node").alias("a"), col("y.node").alias("b"))
 
     pairs.append(meets(single.join(single.select("token", col("c").alias("d"), col("x").alias("y"), col("i").alias("j")), "token").where("c < d")))
     # one node against a group
-    bounds = groups.select("token", "d", "n", "m", "r")
-    room = first_here(col("x.n"), col("x.n") - col("i"), col("n"), col("r"), num, den) & (F.least("x.m", "m") * (num + den) >= (col("x.n") + col("n")) * num)
+    bounds = groups.select("token", "d", "n", "r")
+    room = first_here(col("x.n"), col("x.n") - col("i"), col("n"), col("r"), num, den)
     pairs.append(meets(single.join(bounds, "token").where((col("c") != col("d")) & room).select("token", "d", "x", "i").join(other, ["token", "d"])))
     # two groups
-    g = groups.select("token", col("d").alias("c"), col("k").alias("k1"), col("n").alias("n1"), col("m").alias("m1"), col("r").alias("r1"))
-    both = g.join(groups, "token").where((col("c") != col("d")) & (F.struct("k1", "c") < F.struct("k", "d")) & enough("n1", "m1", "n", "m", num, den) & first_here(col("n1"), col("r1"), col("n"), col("r"), num, den)).select("token", "c", "d")
+    g = groups.select("token", col("d").alias("c"), col("k").alias("k1"), col("n").alias("n1"), col("r").alias("r1"))
+    both = g.join(groups, "token").where((col("c") != col("d")) & (F.struct("k1", "c") < F.struct("k", "d")) & first_here(col("n1"), col("r1"), col("n"), col("r"), num, den)).select("token", "c", "d")
     pairs.append(meets(both.join(rows.withColumnRenamed("comp", "c"), ["token", "c"]).select("token", "d", "x", "i").join(other, ["token", "d"])))
     found = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).unionByName(pairs[3])
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
