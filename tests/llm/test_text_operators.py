@@ -207,6 +207,26 @@ def test_leaks_against_brute_force(spark):
     assert {i for i, _ in got} <= {i for i in range(80) if i % 4 == 0}
 
 
+def leaked(spark, rows, items):
+    return {(r["doc_id"], r["item_id"]) for r in decontam.find(docs(spark, rows), benchmark(spark, items)).collect()}
+
+
+def test_edited_and_partial_passages(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{k}x" for k in range(400)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(n) for n in (10, 11, 15, 20, 37, 59)]
+    rows, want = [], set()
+    for k, w in enumerate(items):
+        n = len(w)
+        kinds = [(w[:at] + ["other"] + w[at + 1 :], True) for at in (0, n // 2, n - 1)] + [(w[: n // 2] + ["one"] + w[n // 2 :], True), (w[: n // 3], False)]
+        kinds += [(w[: (7 * n + 9) // 10], True), (w[(3 * n) // 10 :], True)] if n >= 20 else []
+        for text, leak in kinds:
+            want |= {(len(rows), k)} if leak else set()
+            rows.append((len(rows), " ".join([*some(30), *text, *some(30)])))
+    assert leaked(spark, rows, [(k, " ".join(w)) for k, w in enumerate(items)]) == want
+
+
 # ---- licences ----
 
 

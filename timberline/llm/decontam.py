@@ -8,10 +8,13 @@ literals words that are no placeholders are hashed and hash-joined with the benc
 
 All this runs over every document; the slots' values are taken only from documents that hold enough windows of an item.
 
-A document matches an item if it holds at least share of the item's distinct windows (items shorter than a window have
-one window, the whole item) and the slots agree: a slot value of the item must stand for one and the same value of the
-document wherever it occurs in the matched windows, in at least consistency of the item's slot values. Equal values
-everywhere mean a verbatim copy, other values a re-parameterised question.
+Windows of SHORT words and, where these hold too few literals, of width words are the seeds. Documents whose seeds cover SEEDED of an
+item's words are compared with it word by word, each seed at its own offset: a word of the item counts if it is the same
+canonical word there and stands within SHORT words of a seed. A document matches if share of the item's words count, or
+part of them and at least PART_WORDS words (a long partial quote), so a changed word costs one word; and if the slots
+agree: a slot value of the item must stand for one and the same value of the document in all words that count, in at
+least consistency of the item's slot values. All words and equal values everywhere mean a verbatim copy, other values a
+re-parameterised question. An edit that leaves no run of SHORT words is not seen: in items of 8 and 9 words, one in the middle.
 
 Defined cases: null and blank texts and items have no windows and match nothing; very long texts are used whole; repeated
 rows of a document or an item count once; ties are all reported; empty tables give no rows; other columns are ignored.
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from timberline.llm.common import durable, let, small
 
 WIDTH, LITERALS, SHARE, CONSISTENCY = 8, 4, 0.8, 0.8
+SHORT, SEEDED, PART, PART_WORDS = 5, 0.3, 0.6, 13
 #: Units that may follow a number.
 UNITS = "% kg g mg km m cm mm mi ft in lb lbs oz l ml s sec min h hr hours minutes seconds days weeks years usd eur gbp dollars euros cents percent degrees celsius fahrenheit mph kmh watts volts joules".split()
 #: Marks in front of names and numbers while a text is taken apart; texts that hold these control characters lose them.
@@ -42,8 +46,8 @@ def marked_words(text: Column) -> Column:
     return F.array_remove(F.split(t, rf"{INSIDE}*[ \t-\r]+{INSIDE}*"), "")
 
 
-def canonical(df: DataFrame, width: int) -> DataFrame:
-    """Adds c (canonical words), v (the same, but slots as their type, a colon and their value) and w (a hash for each window)."""
+def canonical(df: DataFrame) -> DataFrame:
+    """Adds c (canonical words) and v (the same, but slots as their type, a colon and their value)."""
     df = let(df, "raw", marked_words(F.col("text")))
 
     def typed(value: bool) -> Column:
@@ -55,38 +59,69 @@ def canonical(df: DataFrame, width: int) -> DataFrame:
         some = F.exists("raw", lambda x: F.startswith(x, F.lit(NUMBER)) | F.startswith(x, F.lit(NAME)))
         return F.when(some, F.transform("raw", one)).otherwise(F.col("raw"))
 
-    df = let(df, "c", typed(False))
-    n = F.greatest(F.size("c") - (width - 1), F.least(F.size("c"), F.lit(1)))
-    return let(df.withColumn("v", typed(True)), "w", F.transform(F.slice("c", 1, n), lambda x, i: F.xxhash64(F.slice("c", i + 1, width))))
+    return let(df, "c", typed(False)).withColumn("v", typed(True))
 
 
-def slots_of(i: Column, width: int) -> Column:
-    return F.slice("v", i + 1, width)
+def windows(k: int, width: int) -> Column:
+    """Hashes of all windows of k words, in order; a text shorter than width is one window of that width."""
+    n = F.size("c") - (k - 1)
+    n = F.greatest(n, F.least(F.size("c"), F.lit(1))) if k == width else F.greatest(n, F.lit(0))
+    return F.transform(F.slice("c", 1, n), lambda x, i: F.xxhash64(F.slice("c", i + 1, k)))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, share: float = SHARE, consistency: float = CONSISTENCY) -> DataFrame:
-    """doc_id, item_id, n_windows (distinct windows matched), item_windows, n_slots, n_same (slot values consistent; of those, equal), verbatim."""
-    items = canonical(benchmark.select("item_id", "text").where("item_id is not null").distinct(), width)
-    index = items.select("item_id", "c", "v", F.posexplode("w").alias("i", "h"))
-    # a document's window with the hash of one of these has as many literals
-    index = index.where(F.size(F.filter(F.slice("c", F.col("i") + 1, width), lambda t: ~F.startswith(t, F.lit("<")))) >= literals).select("item_id", "h", slots_of(F.col("i"), width).alias("theirs"))
-    # repeated rows and repeated windows of an item count once
-    index = durable(index.groupBy("item_id", "h").agg(F.min("theirs").alias("theirs")), "benchmark-windows")
-    sizes = index.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+def literal(i: Column, k: int) -> Column:
+    """Words of window i that are no placeholders."""
+    return F.size(F.filter(F.slice("c", i + 1, k), lambda t: ~F.startswith(t, F.lit("<"))))
+
+
+def seeds(items: DataFrame, width: int, literals: int) -> DataFrame:
+    """item_id, part, n (words of the item), i, k, h: windows with literals enough; of width words only where no shorter window in them has."""
+    short = min(SHORT, width)
+    at = items.select("item_id", "part", "c", F.size("c").alias("n"))
+    few = at.where(F.col("n") >= width).withColumn("k", F.lit(short)).select("*", F.posexplode(windows(short, width)).alias("i", "h")).where(literal(F.col("i"), short) >= literals)
+    wide = at.withColumn("k", F.lit(width)).select("*", F.posexplode(windows(width, width)).alias("i", "h")).where(literal(F.col("i"), width) >= literals)
+    inside = F.exists(F.sequence(F.lit(0), F.lit(width - short)), lambda j: literal(F.col("i") + j, short) >= literals)
+    return few.unionByName(wide.where((F.col("n") < width) | ~inside)).drop("c")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, share: float = SHARE, consistency: float = CONSISTENCY, part: float = PART) -> DataFrame:
+    """doc_id, item_id, n_windows (distinct seeds matched), item_windows, n_words (words of the item that count), item_words, n_slots, n_consistent, n_same (slot values; of those, consistent; equal), verbatim."""
+    key = ["doc_id", "item_id", "part"]
+    # items of one item_id with different texts are matched each for itself
+    items = canonical(benchmark.select("item_id", "text").where("item_id is not null").distinct()).withColumn("part", F.xxhash64("text"))
+    items = durable(items.select("item_id", "part", "c", "v"), "benchmark-words")
+    index = durable(seeds(items, width, literals), "benchmark-windows")
+    widths = sorted(r["k"] for r in index.select("k").distinct().collect())  # of a few values
+    all_windows = F.concat(F.array().cast("array<bigint>"), *[windows(k, width) for k in widths])
+    sizes = index.groupBy("item_id", "part").agg(F.count_distinct("h").alias("item_windows"))
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     hashes = index.select("h").distinct()
-    found = canonical(texts, width).select("doc_id", F.explode("w").alias("h")).join(small(hashes), "h").distinct()
-    hits = found.join(small(index.select("item_id", "h")), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"))
-    enough = durable(hits.join(small(sizes), "item_id").where(F.col("n_windows") >= F.ceil(F.col("item_windows") * share)), "leak-candidates")
+    found = canonical(texts).select("doc_id", F.explode(all_windows).alias("h")).join(small(hashes), "h").distinct()
+    hits = found.join(small(index), "h").groupBy(*key, "n").agg(F.count_distinct("h").alias("n_windows"), F.flatten(F.collect_list(F.expr("sequence(i, least(i + k, n) - 1)"))).alias("at"))
+    enough = durable(hits.where(F.size(F.array_distinct("at")) >= F.ceil(F.col("n") * SEEDED)).select(*key, "n_windows"), "leak-candidates")
+
     near = texts.join(small(enough.select("doc_id").distinct()), "doc_id", "left_semi")
-    ours = canonical(near, width).select("doc_id", "v", F.posexplode("w").alias("i", "h")).join(small(hashes), "h").select("doc_id", "h", slots_of(F.col("i"), width).alias("ours"))
-    ours = ours.groupBy("doc_id", "h").agg(F.min("ours").alias("ours"))
-    pairs = ours.join(small(index), "h").join(small(enough.select("doc_id", "item_id")), ["doc_id", "item_id"]).select("doc_id", "item_id", F.explode(F.arrays_zip("theirs", "ours")).alias("s"))
-    pairs = pairs.select("doc_id", "item_id", F.col("s.theirs").alias("theirs"), F.col("s.ours").alias("ours")).where(F.startswith("theirs", F.lit("<")))
-    slots = pairs.groupBy("doc_id", "item_id", "theirs").agg(F.min("ours").alias("a"), F.max("ours").alias("b"))
-    slots = slots.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.count_if(F.col("a") == F.col("b")).alias("n_consistent"), F.count_if((F.col("a") == F.col("theirs")) & (F.col("b") == F.col("theirs"))).alias("n_same"))
-    out = enough.join(slots, ["doc_id", "item_id"], "left").fillna(0, ["n_slots", "n_consistent", "n_same"])
-    return out.where(F.col("n_consistent") >= F.col("n_slots") * consistency).withColumn("verbatim", F.col("n_same") == F.col("n_slots"))
+    placed = F.concat(F.array().cast("array<struct<j:int,h:bigint>>"), *[F.transform(windows(k, width), lambda h, j: F.struct(j.alias("j"), h.alias("h"))) for k in widths])
+    ours = canonical(near).select("doc_id", "c", "v", F.explode(placed).alias("w")).select("doc_id", "c", "v", "w.*").join(small(index), "h").join(small(enough.select(*key)), key)
+    ours = ours.withColumn("offset", F.col("j") - F.col("i")).withColumn("skip", F.greatest(-F.col("offset"), F.lit(0)))
+    ours = ours.withColumns({x: F.slice(x, F.col("offset") + F.col("skip") + 1, F.col("n") - F.col("skip")) for x in ("c", "v")})
+    ours = ours.groupBy(*key, "offset", "skip").agg(F.max(F.struct("c", "v")).alias("d"), F.collect_set(F.struct("i", "k")).alias("seeds"))
+    rows = ours.join(small(items.withColumnsRenamed({"c": "ic", "v": "iv"})), ["item_id", "part"])
+    reached = lambda p: F.exists("seeds", lambda s: (p >= s["i"] - SHORT) & (p < s["i"] + s["k"] + SHORT))
+    cells = F.transform("ic", lambda x, p: F.struct(p.alias("p"), ((F.get("d.c", p - F.col("skip")) == x) & reached(p)).alias("same"), F.get("iv", p).alias("theirs"), F.get("d.v", p - F.col("skip")).alias("ours")))
+    rows = let(rows, "cells", F.filter(cells, lambda x: x["same"])).withColumn("rank", F.struct(F.size("cells"), F.size(F.filter("cells", lambda x: x["theirs"] == x["ours"])), -F.col("offset")))
+    # a word of the item is taken at the offset where most of the item is
+    words = rows.select(*key, "rank", F.explode("cells").alias("x")).groupBy(*key, "x.p").agg(F.max_by(F.struct("x.theirs", "x.ours"), "rank").alias("x")).select(*key, "x.*")
+    words = durable(words, "leak-words")
+    counts = words.groupBy(*key).agg(F.count("*").alias("n_words"))
+    slots = words.where(F.startswith("theirs", F.lit("<"))).groupBy(*key, "theirs").agg(F.min("ours").alias("a"), F.max("ours").alias("b"))
+    slots = slots.groupBy(*key).agg(F.count("*").alias("n_slots"), F.count_if(F.col("a") == F.col("b")).alias("n_consistent"), F.count_if((F.col("a") == F.col("theirs")) & (F.col("b") == F.col("theirs"))).alias("n_same"))
+    out = enough.join(small(sizes.join(items.select("item_id", "part", F.size("c").alias("item_words")), ["item_id", "part"])), ["item_id", "part"]).join(counts, key).join(slots, key, "left").fillna(0, ["n_slots", "n_consistent", "n_same"])
+    whole = F.col("n_words") >= F.ceil(F.col("item_words") * share)
+    quote = (F.col("n_words") >= PART_WORDS) & (F.col("n_words") >= F.ceil(F.col("item_words") * part))
+    out = out.where((whole | quote) & (F.col("n_consistent") >= F.col("n_slots") * consistency)).withColumn("verbatim", (F.col("n_same") == F.col("n_slots")) & (F.col("n_words") == F.col("item_words")))
+    names = ["n_windows", "item_windows", "n_words", "item_words", "n_slots", "n_consistent", "n_same", "verbatim"]
+    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*names), F.struct("n_words", "n_same", "part")).alias("m")).select("doc_id", "item_id", "m.*")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
