@@ -227,6 +227,13 @@ def test_edited_and_partial_passages(spark):
     assert leaked(spark, rows, [(k, " ".join(w)) for k, w in enumerate(items)]) == want
 
 
+def test_short_items(spark):
+    items = [(1, "What is the capital of France?"), (2, "Compute 12 + 45 * 3 - 7 / 2 + 9"), (3, "Which gas do plants absorb from the air?"), (4, "Which gas do most green plants absorb from the air?"), (5, "Define entropy."), (6, " ".join(str(k) for k in range(30)))]
+    rows = [(1, "He asked: What is the capital of France? Nobody knew it."), (2, "Now Compute 12 + 45 * 3 - 7 / 2 + 9 by hand, please"), (3, "Question 3 Which gas do plants absorb from the air?"), (4, "Question 3 Which gas do most green plants absorb from the air?"), (5, "First define entropy. Then use it."), (6, f"Numbers: {items[5][1]} and more")]
+    rows += [(7, "Compute 12 + 45 * 3 - 7 / 2 + 8 by hand"), (8, "What is the use of a capital in this case?"), (9, "0 1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (10, "entropy")]
+    assert leaked(spark, rows, items) == {(k, k) for k in range(1, 7)}
+
+
 # ---- licences ----
 
 

@@ -8,7 +8,9 @@ literals words that are no placeholders are hashed and hash-joined with the benc
 
 All this runs over every document; the slots' values are taken only from documents that hold enough windows of an item.
 
-Windows of SHORT words and, where these hold too few literals, of width words are the seeds. Documents whose seeds cover SEEDED of an
+Windows of SHORT words and, where these hold too few literals, of width words are the seeds; a window's first word counts
+as a word whatever precedes it. An item under width words is one seed. An item without a literal-rich window has windows of
+its plain words as seeds and matches only as a whole and with equal values. Documents whose seeds cover SEEDED of an
 item's words are compared with it word by word, each seed at its own offset: a word of the item counts if it is the same
 canonical word there and stands within SHORT words of a seed. A document matches if share of the item's words count, or
 part of them and at least PART_WORDS words (a long partial quote), so a changed word costs one word; and if the slots
@@ -16,7 +18,7 @@ agree: a slot value of the item must stand for one and the same value of the doc
 least consistency of the item's slot values. All words and equal values everywhere mean a verbatim copy, other values a
 re-parameterised question. An edit that leaves no run of SHORT words is not seen: in items of 8 and 9 words, one in the middle.
 
-Defined cases: null and blank texts and items have no windows and match nothing; very long texts are used whole; repeated
+Defined cases: null and blank texts and items have no windows and match nothing; an item of a word or two is found wherever it stands; very long texts are used whole; repeated
 rows of a document or an item count once; ties are all reported; empty tables give no rows; other columns are ignored.
 """
 
@@ -47,41 +49,59 @@ def marked_words(text: Column) -> Column:
 
 
 def canonical(df: DataFrame) -> DataFrame:
-    """Adds c (canonical words) and v (the same, but slots as their type, a colon and their value)."""
+    """Adds c (canonical words), v (the same, but slots as their type, a colon and their value), p (plain words) and l (plain words, but <num>: a window's first word, as it counts whatever precedes it)."""
     df = let(df, "raw", marked_words(F.col("text")))
+    number, name = (lambda x: F.startswith(x, F.lit(NUMBER))), (lambda x: F.startswith(x, F.lit(NAME)))
+    bare = lambda x: F.translate(x, NAME + NUMBER, "")
 
     def typed(value: bool) -> Column:
         def one(x: Column, i: Column) -> Column:
             put = lambda kind, v: F.concat(F.lit(f"<{kind}>:"), v) if value else F.lit(f"<{kind}>")
-            unit = x.isin(UNITS) & F.startswith(F.coalesce(F.get("raw", i - 1), F.lit("")), F.lit(NUMBER))
-            return F.when(F.startswith(x, F.lit(NUMBER)), put("num", F.substring(x, 2, 1 << 30))).when(F.startswith(x, F.lit(NAME)), put("name", F.substring(x, 2, 1 << 30))).when(unit, put("unit", x)).otherwise(x)
+            unit = x.isin(UNITS) & number(F.coalesce(F.get("raw", i - 1), F.lit("")))
+            return F.when(number(x), put("num", bare(x))).when(name(x), put("name", bare(x))).when(unit, put("unit", x)).otherwise(x)
 
-        some = F.exists("raw", lambda x: F.startswith(x, F.lit(NUMBER)) | F.startswith(x, F.lit(NAME)))
-        return F.when(some, F.transform("raw", one)).otherwise(F.col("raw"))
+        return F.transform("raw", one)
 
-    return let(df, "c", typed(False)).withColumn("v", typed(True))
+    some = F.exists("raw", lambda x: number(x) | name(x))
+    forms = {"c": typed(False), "v": typed(True), "p": F.transform("raw", bare), "l": F.transform("raw", lambda x: F.when(number(x), "<num>").otherwise(bare(x)))}
+    df = let(df, "c", F.when(some, forms["c"]).otherwise(F.col("raw")))
+    df = let(df, "l", F.when(some, forms["l"]).otherwise(F.col("raw")))
+    return df.withColumns({x: F.when(some, forms[x]).otherwise(F.col("raw")) for x in ("v", "p")})
 
 
-def windows(k: int, width: int) -> Column:
-    """Hashes of all windows of k words, in order; a text shorter than width is one window of that width."""
-    n = F.size("c") - (k - 1)
-    n = F.greatest(n, F.least(F.size("c"), F.lit(1))) if k == width else F.greatest(n, F.lit(0))
-    return F.transform(F.slice("c", 1, n), lambda x, i: F.xxhash64(F.slice("c", i + 1, k)))
+def windows(k: int, exact: bool = False) -> Column:
+    """Hashes of all windows of k words, in order; exact: of the plain words."""
+    n = F.greatest(F.size("c") - (k - 1), F.lit(0))
+    if exact:
+        return F.transform(F.slice("p", 1, n), lambda x, i: F.xxhash64(F.lit("exact"), F.slice("p", i + 1, k)))
+    return F.transform(F.slice("l", 1, n), lambda x, i: F.xxhash64(x, F.slice("c", i + 2, k - 1)))
 
 
-def literal(i: Column, k: int) -> Column:
-    """Words of window i that are no placeholders."""
-    return F.size(F.filter(F.slice("c", i + 1, k), lambda t: ~F.startswith(t, F.lit("<"))))
+def literal(words: Column) -> Column:
+    """Words that are no placeholders."""
+    return F.size(F.filter(words, lambda t: ~F.startswith(t, F.lit("<"))))
 
 
 def seeds(items: DataFrame, width: int, literals: int) -> DataFrame:
-    """item_id, part, n (words of the item), i, k, h: windows with literals enough; of width words only where no shorter window in them has."""
+    """item_id, part, n (words of the item), exact, i, k, h. Windows with literals enough; of width words only where no shorter
+    window in them has. An item under width words is one window; one without a literal-rich window has exact ones."""
     short = min(SHORT, width)
-    at = items.select("item_id", "part", "c", F.size("c").alias("n"))
-    few = at.where(F.col("n") >= width).withColumn("k", F.lit(short)).select("*", F.posexplode(windows(short, width)).alias("i", "h")).where(literal(F.col("i"), short) >= literals)
-    wide = at.withColumn("k", F.lit(width)).select("*", F.posexplode(windows(width, width)).alias("i", "h")).where(literal(F.col("i"), width) >= literals)
-    inside = F.exists(F.sequence(F.lit(0), F.lit(width - short)), lambda j: literal(F.col("i") + j, short) >= literals)
-    return few.unionByName(wide.where((F.col("n") < width) | ~inside)).drop("c")
+    at = items.select("item_id", "part", "c", "l", "p", F.size("c").alias("n")).where("n > 0")
+    rich = lambda k: literal(F.concat(F.slice("l", F.col("i") + 1, 1), F.slice("c", F.col("i") + 2, F.lit(k) - 1))) >= literals
+
+    def placed(some: DataFrame, k: int, exact: bool = False) -> DataFrame:
+        return some.select("*", F.lit(exact).alias("exact"), F.lit(k).alias("k"), F.posexplode(windows(k, exact)).alias("i", "h"))
+
+    # a shorter window does for a longer one if its first word is the same in both forms
+    inner = lambda j: F.slice("c", F.col("i") + j + 1, short)
+    inside = F.exists(F.sequence(F.lit(0), F.lit(width - short)), lambda j: (literal(inner(j)) >= literals) & (F.element_at(inner(j), 1) == F.get("l", F.col("i") + j)))
+    few = placed(at.where(F.col("n") >= width), short).where(rich(short)).unionByName(placed(at, width).where(rich(width) & ~inside))
+    for k in range(1, width):
+        few = few.unionByName(placed(at.where(F.col("n") == k), k).where(rich(k)))
+    poor = at.join(few.select("item_id", "part").distinct(), ["item_id", "part"], "left_anti")
+    for k in range(1, width + 1):
+        few = few.unionByName(placed(poor.where(F.least("n", F.lit(width)) == k), k, True))
+    return few.drop("c", "l", "p")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, share: float = SHARE, consistency: float = CONSISTENCY, part: float = PART) -> DataFrame:
@@ -89,11 +109,11 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: in
     key = ["doc_id", "item_id", "part"]
     # items of one item_id with different texts are matched each for itself
     items = canonical(benchmark.select("item_id", "text").where("item_id is not null").distinct()).withColumn("part", F.xxhash64("text"))
-    items = durable(items.select("item_id", "part", "c", "v"), "benchmark-words")
+    items = durable(items.select("item_id", "part", "c", "v", "p", "l"), "benchmark-words")
     index = durable(seeds(items, width, literals), "benchmark-windows")
-    widths = sorted(r["k"] for r in index.select("k").distinct().collect())  # of a few values
-    all_windows = F.concat(F.array().cast("array<bigint>"), *[windows(k, width) for k in widths])
-    sizes = index.groupBy("item_id", "part").agg(F.count_distinct("h").alias("item_windows"))
+    kinds = sorted((r["k"], r["exact"]) for r in index.select("k", "exact").distinct().collect())  # of a few values
+    all_windows = F.concat(F.array().cast("array<bigint>"), *[windows(*x) for x in kinds])
+    sizes = index.groupBy("item_id", "part", "exact").agg(F.count_distinct("h").alias("item_windows"))
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     hashes = index.select("h").distinct()
     found = canonical(texts).select("doc_id", F.explode(all_windows).alias("h")).join(small(hashes), "h").distinct()
@@ -101,14 +121,21 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: in
     enough = durable(hits.where(F.size(F.array_distinct("at")) >= F.ceil(F.col("n") * SEEDED)).select(*key, "n_windows"), "leak-candidates")
 
     near = texts.join(small(enough.select("doc_id").distinct()), "doc_id", "left_semi")
-    placed = F.concat(F.array().cast("array<struct<j:int,h:bigint>>"), *[F.transform(windows(k, width), lambda h, j: F.struct(j.alias("j"), h.alias("h"))) for k in widths])
-    ours = canonical(near).select("doc_id", "c", "v", F.explode(placed).alias("w")).select("doc_id", "c", "v", "w.*").join(small(index), "h").join(small(enough.select(*key)), key)
+    placed = F.concat(F.array().cast("array<struct<j:int,h:bigint>>"), *[F.transform(windows(*x), lambda h, j: F.struct(j.alias("j"), h.alias("h"))) for x in kinds])
+    ours = canonical(near).select("doc_id", "c", "v", "p", F.explode(placed).alias("w")).select("doc_id", "c", "v", "p", "w.*").join(small(index), "h").join(small(enough.select(*key)), key)
     ours = ours.withColumn("offset", F.col("j") - F.col("i")).withColumn("skip", F.greatest(-F.col("offset"), F.lit(0)))
-    ours = ours.withColumns({x: F.slice(x, F.col("offset") + F.col("skip") + 1, F.col("n") - F.col("skip")) for x in ("c", "v")})
-    ours = ours.groupBy(*key, "offset", "skip").agg(F.max(F.struct("c", "v")).alias("d"), F.collect_set(F.struct("i", "k")).alias("seeds"))
-    rows = ours.join(small(items.withColumnsRenamed({"c": "ic", "v": "iv"})), ["item_id", "part"])
+    ours = ours.withColumns({x: F.slice(x, F.col("offset") + F.col("skip") + 1, F.col("n") - F.col("skip")) for x in ("c", "v", "p")})
+    ours = ours.groupBy(*key, "offset", "skip").agg(F.max(F.struct("c", "v", "p")).alias("d"), F.collect_set(F.struct("i", "k")).alias("seeds"))
+    rows = ours.join(small(items.select("item_id", "part", F.col("c").alias("ic"), F.col("v").alias("iv"), F.col("p").alias("ip"))), ["item_id", "part"])
     reached = lambda p: F.exists("seeds", lambda s: (p >= s["i"] - SHORT) & (p < s["i"] + s["k"] + SHORT))
-    cells = F.transform("ic", lambda x, p: F.struct(p.alias("p"), ((F.get("d.c", p - F.col("skip")) == x) & reached(p)).alias("same"), F.get("iv", p).alias("theirs"), F.get("d.v", p - F.col("skip")).alias("ours")))
+    ours_at = lambda x, p: F.get(f"d.{x}", p - F.col("skip"))
+
+    def cell(x: Column, p: Column) -> Column:
+        """A word is the same as typed, or as it stands: what precedes it may have made it a slot on one side only."""
+        typed, theirs = F.coalesce(ours_at("c", p) == x, F.lit(False)), F.get("iv", p)
+        return F.struct(p.alias("p"), ((typed | F.coalesce(ours_at("p", p) == F.get("ip", p), F.lit(False))) & reached(p)).alias("same"), theirs.alias("theirs"), F.when(typed, ours_at("v", p)).otherwise(theirs).alias("ours"))
+
+    cells = F.transform("ic", cell)
     rows = let(rows, "cells", F.filter(cells, lambda x: x["same"])).withColumn("rank", F.struct(F.size("cells"), F.size(F.filter("cells", lambda x: x["theirs"] == x["ours"])), -F.col("offset")))
     # a word of the item is taken at the offset where most of the item is
     words = rows.select(*key, "rank", F.explode("cells").alias("x")).groupBy(*key, "x.p").agg(F.max_by(F.struct("x.theirs", "x.ours"), "rank").alias("x")).select(*key, "x.*")
@@ -119,7 +146,8 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: in
     out = enough.join(small(sizes.join(items.select("item_id", "part", F.size("c").alias("item_words")), ["item_id", "part"])), ["item_id", "part"]).join(counts, key).join(slots, key, "left").fillna(0, ["n_slots", "n_consistent", "n_same"])
     whole = F.col("n_words") >= F.ceil(F.col("item_words") * share)
     quote = (F.col("n_words") >= PART_WORDS) & (F.col("n_words") >= F.ceil(F.col("item_words") * part))
-    out = out.where((whole | quote) & (F.col("n_consistent") >= F.col("n_slots") * consistency)).withColumn("verbatim", (F.col("n_same") == F.col("n_slots")) & (F.col("n_words") == F.col("item_words")))
+    exact = F.col("exact") & ((F.col("n_words") < F.col("item_words")) | (F.col("n_same") < F.col("n_slots")))
+    out = out.where((whole | quote) & ~exact & (F.col("n_consistent") >= F.col("n_slots") * consistency)).withColumn("verbatim", (F.col("n_same") == F.col("n_slots")) & (F.col("n_words") == F.col("item_words")))
     names = ["n_windows", "item_windows", "n_words", "item_words", "n_slots", "n_consistent", "n_same", "verbatim"]
     return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*names), F.struct("n_words", "n_same", "part")).alias("m")).select("doc_id", "item_id", "m.*")
 
