@@ -234,6 +234,16 @@ def test_short_items(spark):
     assert leaked(spark, rows, items) == {(k, k) for k in range(1, 7)}
 
 
+def test_case_lines_and_names(spark):
+    item = "Every morning the baker Sarah Miller brings fresh bread to the old market, where Paul and Sarah sell it to people from the town. On Monday it rained. Sarah went home before noon and Paul stayed"
+    other = item.replace("Sarah", "Judith").replace("Paul", "Henry").replace("Miller", "Stone")
+    rows = [(1, item.title()), (2, item.lower()), (3, item.upper()), (4, item.replace(" Sarah", "\nSarah").replace(" Paul", "\nPaul")), (5, other), (6, f"He read: {other}. The end."), (7, "The baker went home, and Sarah stayed with Paul in the town before noon")]
+    got = {r["doc_id"]: r for r in decontam.find(docs(spark, rows), benchmark(spark, [(1, item)])).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    assert [got[k]["verbatim"] for k in range(1, 7)] == [True, True, True, True, False, False]
+    assert got[5]["n_words"] == got[6]["n_words"] == got[5]["item_words"]
+
+
 # ---- licences ----
 
 

@@ -2,14 +2,16 @@
 
 Canonical form: words are lower-cased and stripped of outer punctuation; numbers, names and units become the typed
 placeholders <num>, <name> and <unit>. A number is a word with a digit first; a name is a word with a capital and a small
-letter first that stands in the same line after a word which ends in a letter, digit, comma or semicolon; a unit is a word
+letter first that stands in the same line after a word which ends in a letter, digit, comma or semicolon, or starts a sentence or
+line of a text that has it as a name elsewhere, and never in small letters; a unit is a word
 of UNITS that follows a number. Windows of width canonical words with at least
 literals words that are no placeholders are hashed and hash-joined with the benchmark's windows.
 
 All this runs over every document; the slots' values are taken only from documents that hold enough windows of an item.
 
 Windows of SHORT words and, where these hold too few literals, of width words are the seeds; a window's first word counts
-as a word whatever precedes it. An item under width words is one seed. An item without a literal-rich window has windows of
+as a word whatever precedes it. Seeds are hashed with names as slots
+and, so that case, lines and marks make no difference, with names as words. An item under width words is one seed. An item without a literal-rich window has windows of
 its plain words as seeds and matches only as a whole and with equal values. Documents whose seeds cover SEEDED of an
 item's words are compared with it word by word, each seed at its own offset: a word of the item counts if it is the same
 canonical word there and stands within SHORT words of a seed. A document matches if share of the item's words count, or
@@ -33,24 +35,37 @@ WIDTH, LITERALS, SHARE, CONSISTENCY = 8, 4, 0.8, 0.8
 SHORT, SEEDED, PART, PART_WORDS = 5, 0.3, 0.6, 13
 #: Units that may follow a number.
 UNITS = "% kg g mg km m cm mm mi ft in lb lbs oz l ml s sec min h hr hours minutes seconds days weeks years usd eur gbp dollars euros cents percent degrees celsius fahrenheit mph kmh watts volts joules".split()
-#: Marks in front of names and numbers while a text is taken apart; texts that hold these control characters lose them.
-NAME, NUMBER = "\u0001", "\u0002"
-INSIDE = rf"[^\p{{L}}\p{{N}}%\s{NAME}{NUMBER}]"
+#: Marks in front of names, numbers and words with a capital that start a sentence or line while a text is taken apart; texts that hold these control characters lose them.
+NAME, NUMBER, START = "\u0001", "\u0002", "\u0003"
+INSIDE = rf"[^\p{{L}}\p{{N}}%\s{NAME}{NUMBER}{START}]"
 
 
-def marked_words(text: Column) -> Column:
-    """Lower-cased words without outer punctuation, names and numbers with their mark in front. Whole-text expressions: much cheaper than looking at each word."""
+def marked(text: Column) -> Column:
+    """The text in lower case with names, numbers and other words with a capital with their mark in front of them. Whole-text expressions: much cheaper than looking at each word."""
     t = F.coalesce(text, F.lit(""))
-    t = F.when(F.contains(t, F.lit(NAME)) | F.contains(t, F.lit(NUMBER)), F.translate(t, NAME + NUMBER, "")).otherwise(t)
+    t = F.when(F.contains(t, F.lit(NAME)) | F.contains(t, F.lit(NUMBER)) | F.contains(t, F.lit(START)), F.translate(t, NAME + NUMBER + START, "")).otherwise(t)
     t = F.regexp_replace(t, r"([\p{L}\p{N},;])[ \t]+[\"'(\[]?(?=\p{Lu}\p{Ll})", f"$1 {NAME}")
+    # other words with a capital may be names only where the text has names
+    t = F.when(F.contains(t, F.lit(NAME)), F.regexp_replace(t, r"(^|[ \t-\r])[\"'(\[]?(?=\p{Lu}\p{Ll})", f"$1{START}")).otherwise(t)
     t = F.regexp_replace(t, r"(^|[ \t-\r])[^\p{L}\p{N}\s]*(?=\p{N})", f"$1{NUMBER}")
-    t = F.concat(F.lit(" "), F.lower(t), F.lit(" "))
+    return F.concat(F.lit(" "), F.lower(t), F.lit(" "))
+
+
+def split_words(t: Column) -> Column:
+    """Words without outer punctuation."""
     return F.array_remove(F.split(t, rf"{INSIDE}*[ \t-\r]+{INSIDE}*"), "")
 
 
 def canonical(df: DataFrame) -> DataFrame:
-    """Adds c (canonical words), v (the same, but slots as their type, a colon and their value), p (plain words) and l (plain words, but <num>: a window's first word, as it counts whatever precedes it)."""
-    df = let(df, "raw", marked_words(F.col("text")))
+    """Adds c (canonical words), b (the same, but names as words), v (as c, but slots as their type, a colon and their value), p (plain words) and l (plain words, but <num>: a window's first word, as it counts whatever precedes it)."""
+    df = let(df, "marked", marked(F.col("text")))
+    df = let(df, "raw", split_words(F.col("marked")))
+    starts = lambda x: F.startswith(x, F.lit(START))
+    # names of the text that it has in no other way than with a capital
+    names = F.transform(F.filter("raw", lambda x: F.startswith(x, F.lit(NAME))), lambda x: F.substring(x, 2, 1 << 30))
+    df = let(df, "names", F.when(F.contains("marked", F.lit(START)), F.array_except(names, F.col("raw"))).otherwise(F.array().cast("array<string>")))
+    again = lambda x: F.when(starts(x), F.concat(F.when(F.array_contains("names", F.substring(x, 2, 1 << 30)), NAME).otherwise(""), F.substring(x, 2, 1 << 30))).otherwise(x)
+    df = let(df, "raw", F.when(F.contains("marked", F.lit(START)), F.transform("raw", again)).otherwise(F.col("raw"))).drop("names")
     number, name = (lambda x: F.startswith(x, F.lit(NUMBER))), (lambda x: F.startswith(x, F.lit(NAME)))
     bare = lambda x: F.translate(x, NAME + NUMBER, "")
 
@@ -62,19 +77,28 @@ def canonical(df: DataFrame) -> DataFrame:
 
         return F.transform("raw", one)
 
-    some = F.exists("raw", lambda x: number(x) | name(x))
-    forms = {"c": typed(False), "v": typed(True), "p": F.transform("raw", bare), "l": F.transform("raw", lambda x: F.when(number(x), "<num>").otherwise(bare(x)))}
+    some = F.contains("marked", F.lit(NUMBER)) | F.contains("marked", F.lit(NAME))
+    forms = {"c": typed(False), "b": F.transform("c", lambda x, i: F.when(x == "<name>", F.get("l", i)).otherwise(x)), "v": typed(True), "p": F.transform("raw", bare), "l": F.transform("raw", lambda x: F.when(number(x), "<num>").otherwise(bare(x)))}
     df = let(df, "c", F.when(some, forms["c"]).otherwise(F.col("raw")))
     df = let(df, "l", F.when(some, forms["l"]).otherwise(F.col("raw")))
-    return df.withColumns({x: F.when(some, forms[x]).otherwise(F.col("raw")) for x in ("v", "p")})
+    df = let(df, "b", F.when(F.contains("marked", F.lit(NAME)), forms["b"]))
+    return df.withColumns({x: F.when(some, forms[x]).otherwise(F.col("raw")) for x in ("v", "p")}).drop("marked")
 
 
-def windows(k: int, exact: bool = False) -> Column:
-    """Hashes of all windows of k words, in order; exact: of the plain words."""
-    n = F.greatest(F.size("c") - (k - 1), F.lit(0))
+def windows(k: int | Column, exact: bool = False, form: str = "c") -> Column:
+    """Hashes of all windows of k words, in order; exact: of the plain words. Form b is null for a text without names, and has no windows then."""
+    n = F.greatest(F.size(form) - (k - 1), F.lit(0))
     if exact:
         return F.transform(F.slice("p", 1, n), lambda x, i: F.xxhash64(F.lit("exact"), F.slice("p", i + 1, k)))
-    return F.transform(F.slice("l", 1, n), lambda x, i: F.xxhash64(x, F.slice("c", i + 2, k - 1)))
+    # the same hash either way; single words are cheaper than slices
+    rest = lambda i: [F.get(form, i + j) for j in range(1, k)] if isinstance(k, int) else [F.slice(form, i + 2, k - 1)]
+    return F.transform(F.slice("l", 1, n), lambda x, i: F.xxhash64(x, *rest(i)))
+
+
+def both_forms(kinds: list[tuple[int, bool]], place) -> list[Column]:
+    """Windows of each kind, in the form with names as slots and in the one without names."""
+    nothing = F.array().cast("array<bigint>")
+    return [place(x) for k, exact in kinds for x in ([windows(k, True)] if exact else [windows(k), F.coalesce(windows(k, form="b"), nothing)])]
 
 
 def literal(words: Column) -> Column:
@@ -87,21 +111,20 @@ def seeds(items: DataFrame, width: int, literals: int) -> DataFrame:
     window in them has. An item under width words is one window; one without a literal-rich window has exact ones."""
     short = min(SHORT, width)
     at = items.select("item_id", "part", "c", "l", "p", F.size("c").alias("n")).where("n > 0")
-    rich = lambda k: literal(F.concat(F.slice("l", F.col("i") + 1, 1), F.slice("c", F.col("i") + 2, F.lit(k) - 1))) >= literals
+    at = at.unionByName(items.where("b is not null").select("item_id", "part", F.col("b").alias("c"), "l", "p", F.size("c").alias("n")))
+    rich = lambda k: literal(F.concat(F.slice("l", F.col("i") + 1, 1), F.slice("c", F.col("i") + 2, k - 1))) >= literals
 
-    def placed(some: DataFrame, k: int, exact: bool = False) -> DataFrame:
-        return some.select("*", F.lit(exact).alias("exact"), F.lit(k).alias("k"), F.posexplode(windows(k, exact)).alias("i", "h"))
+    def placed(some: DataFrame, k: Column, exact: bool = False) -> DataFrame:
+        return some.select("*", F.lit(exact).alias("exact"), k.alias("k"), F.posexplode(windows(k, exact)).alias("i", "h"))
 
     # a shorter window does for a longer one if its first word is the same in both forms
     inner = lambda j: F.slice("c", F.col("i") + j + 1, short)
     inside = F.exists(F.sequence(F.lit(0), F.lit(width - short)), lambda j: (literal(inner(j)) >= literals) & (F.element_at(inner(j), 1) == F.get("l", F.col("i") + j)))
-    few = placed(at.where(F.col("n") >= width), short).where(rich(short)).unionByName(placed(at, width).where(rich(width) & ~inside))
-    for k in range(1, width):
-        few = few.unionByName(placed(at.where(F.col("n") == k), k).where(rich(k)))
+    most = F.least("n", F.lit(width))
+    few = placed(at.where(F.col("n") >= width), F.lit(short)).unionByName(placed(at, most).where((F.col("n") < width) | ~inside)).where(rich(F.col("k")))
     poor = at.join(few.select("item_id", "part").distinct(), ["item_id", "part"], "left_anti")
-    for k in range(1, width + 1):
-        few = few.unionByName(placed(poor.where(F.least("n", F.lit(width)) == k), k, True))
-    return few.drop("c", "l", "p")
+    few = few.unionByName(placed(poor, most, True))
+    return few.drop("c", "l", "p").distinct()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, share: float = SHARE, consistency: float = CONSISTENCY, part: float = PART) -> DataFrame:
@@ -109,10 +132,10 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: in
     key = ["doc_id", "item_id", "part"]
     # items of one item_id with different texts are matched each for itself
     items = canonical(benchmark.select("item_id", "text").where("item_id is not null").distinct()).withColumn("part", F.xxhash64("text"))
-    items = durable(items.select("item_id", "part", "c", "v", "p", "l"), "benchmark-words")
+    items = durable(items.select("item_id", "part", "c", "b", "v", "p", "l"), "benchmark-words")
     index = durable(seeds(items, width, literals), "benchmark-windows")
     kinds = sorted((r["k"], r["exact"]) for r in index.select("k", "exact").distinct().collect())  # of a few values
-    all_windows = F.concat(F.array().cast("array<bigint>"), *[windows(*x) for x in kinds])
+    all_windows = F.concat(F.array().cast("array<bigint>"), *both_forms(kinds, lambda x: x))
     sizes = index.groupBy("item_id", "part", "exact").agg(F.count_distinct("h").alias("item_windows"))
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     hashes = index.select("h").distinct()
@@ -121,7 +144,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: in
     enough = durable(hits.where(F.size(F.array_distinct("at")) >= F.ceil(F.col("n") * SEEDED)).select(*key, "n_windows"), "leak-candidates")
 
     near = texts.join(small(enough.select("doc_id").distinct()), "doc_id", "left_semi")
-    placed = F.concat(F.array().cast("array<struct<j:int,h:bigint>>"), *[F.transform(windows(*x), lambda h, j: F.struct(j.alias("j"), h.alias("h"))) for x in kinds])
+    placed = F.concat(F.array().cast("array<struct<j:int,h:bigint>>"), *both_forms(kinds, lambda x: F.transform(x, lambda h, j: F.struct(j.alias("j"), h.alias("h")))))
     ours = canonical(near).select("doc_id", "c", "v", "p", F.explode(placed).alias("w")).select("doc_id", "c", "v", "p", "w.*").join(small(index), "h").join(small(enough.select(*key)), key)
     ours = ours.withColumn("offset", F.col("j") - F.col("i")).withColumn("skip", F.greatest(-F.col("offset"), F.lit(0)))
     ours = ours.withColumns({x: F.slice(x, F.col("offset") + F.col("skip") + 1, F.col("n") - F.col("skip")) for x in ("c", "v", "p")})
