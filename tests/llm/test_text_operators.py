@@ -254,6 +254,15 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_whole_licences_and_paragraphs(spark):
+    wrap = lambda x: re.sub(r"(.{50,70}) ", r"# \1\n", x)
+    mit, apache = [t for k, t in licenses.WHOLE if k == "MIT"], [t for k, t in licenses.WHOLE if k == "Apache-2.0"]
+    code = "\n".join(f"x{k} = f{k}(y{k}, z{k})" for k in range(80))
+    rows = [(1, mit[0]), (2, apache[1]), (3, f"{code}\n\n{wrap(mit[0])}\n\n{code}"), (4, f"{wrap(apache[1])}\n#\n{code}"), (5, f"{code}\n\n{code}"), (6, wrap(mit[1]))]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert got == {(1, "MIT"), (2, "Apache-2.0"), (3, "MIT"), (4, "Apache-2.0"), (6, "MIT")}
+
+
 def test_dice_against_brute_force(spark):
     rng = random.Random(2)
     templates = [(f"L{k}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))) for k in range(6)]

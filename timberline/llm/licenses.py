@@ -1,6 +1,6 @@
 """License scans: normalised lines and whole texts against licence templates by the Dice coefficient over word bigrams (DataFrame functions only).
 
-A unit is a line of a document, or its whole text. Its set of word bigrams A matches a template with set B if
+A unit is a line of a document, a paragraph of it, or its whole text. Its set of word bigrams A matches a template with set B if
 2 |A n B| / (|A| + |B|) >= t. Then |A n B| >= t / (2 - t) * |A|, so a unit of whose bigrams a smaller share is in the
 vocabulary of all templates is dropped without loss before any join, and only templates with
 t / (2 - t) * |A| <= |B| <= (2 - t) / t * |A| are candidates.
@@ -45,6 +45,17 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 THRESHOLD = 0.8
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+)
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+)
+#: Whole paragraphs and texts; the SQL has TEMPLATES only.
+WHOLE = [("MIT", _MIT[0]), ("MIT", " ".join(_MIT)), ("Apache-2.0", _APACHE[1]), ("Apache-2.0", " ".join(_APACHE))]
 
 
 def normal_words(text: Column) -> Column:
@@ -64,8 +75,8 @@ def template_bigrams(spark, templates: list[tuple[str, str]]) -> DataFrame:
     return t.select("template", "license", F.size("b").alias("grams"), F.explode("b").alias("bigram"))
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, unit (line number from 1; 0: the whole text), template, license, dice: each matching unit's best template. templates is a short list and is broadcast."""
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + WHOLE, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, unit (line number from 1; 0: the whole text; -k: the paragraph k of several lines), template, license, dice: each matching unit's best template. templates is a short list and is broadcast."""
     ratio = threshold / (2 - threshold)
     known = template_bigrams(docs.sparkSession, templates)
     rows = known.collect()  # a parameter's bigrams, not the documents'
@@ -76,7 +87,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     # a whole text of one line is that line
     whole = docs.where(F.contains(text, F.lit("\n"))).select("doc_id", F.lit(0).alias("unit"), text.alias("line"))
     # a unit within the size bound has few distinct words, but any number of repeated ones; so only sets are bounded
-    units = lines.unionByName(whole).where(F.length("line") > 2)
+    # paragraphs end at lines without letters and digits; one of one line, or that is the whole text, is a unit already
+    blocks = F.split(text, r"\n([^\p{L}\p{N}\n]*\n)+")
+    blocks = docs.where(text.rlike(r"\n[^\p{L}\p{N}\n]*\n")).select("doc_id", F.posexplode(blocks).alias("at", "line")).where(F.contains(F.trim("line", F.lit("\n")), F.lit("\n")))
+    blocks = blocks.select("doc_id", (-F.col("at") - 1).alias("unit"), "line")
+    units = lines.unionByName(whole).unionByName(blocks).where(F.length("line") > 2)
     units = let(let(units, "w", normal_words(F.col("line"))), "b", bigrams("w")).select("doc_id", "unit", "b")
     units = units.withColumn("n", F.size("b")).where((F.col("n") > 0) & (F.col("n") <= most)).where(F.size(F.array_intersect("b", vocabulary)) >= F.ceil(F.col("n") * ratio - 1e-9))
     pairs = units.select("doc_id", "unit", "n", F.explode("b").alias("bigram")).join(F.broadcast(known), "bigram").where((F.col("grams") >= F.col("n") * ratio - 1e-9) & (F.col("grams") <= F.col("n") / ratio + 1e-9))
