@@ -14,7 +14,7 @@ from timberline.operators.metrics import fold_metrics
 from timberline.operators.splits import Feature, Search
 from timberline.operators.targets import half
 from timberline.operators.tree import Node, Tree, grow
-from timberline.plans.durable import durable
+from timberline.plans.durable import discard, durable
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def learn_fold(obs: DataFrame, fold: int, features: list[Feature], conf: Config,
     while True:
         fit, cut = Fit([], [], rate), False
         fit.trees.append(Tree({1: Node(float(base))}))
-        state = obs.withColumn("f", F.lit(float(base)))
+        state, old, kept = obs.withColumn("f", F.lit(float(base))), None, None
         last = fold_metrics(state, fold, conf.loss)["val_loss"]
         i = 1
         while not cut:
@@ -92,8 +92,11 @@ def learn_fold(obs: DataFrame, fold: int, features: list[Feature], conf: Config,
             tree = tree.shrink(rate)
             state = state.withColumn("f", F.col("f") + tree.column())
             if i % every == 0:
-                state = durable(state, "boost-state")
+                old, kept = kept, durable(state, "boost-state")
+                state = kept
             m = fold_metrics(state, fold, conf.loss)
+            if old is not None:
+                old = discard(old)
             if m.get("val_wrong") == 0:
                 fit.trees.append(tree)
                 fit.stopped = "no errors"

@@ -1,4 +1,4 @@
-"""Cutting lineage with tables in the folder that driver and executors share."""
+"""Cutting lineage with tables in the folder that driver and executors share, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
@@ -6,18 +6,59 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows and bytes that may be broadcast; larger tables go through a shuffled join.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (local runs)."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own if everything runs in one process, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="timberline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system of path, path as an object of it)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/timberline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, so a lost executor costs no
+    recomputation of what is upstream. Shuffle files of the write go when it is done; the table goes with discard, or when
+    the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/timberline/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that durable wrote; nothing may read them any more."""
+    for t in tables:
+        fs, p = file_system(t.sparkSession, t.durable_path)
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df for broadcast if it is within rows and size (bytes of its rows as text, which are counted first); beyond that
+    Spark shuffles both sides. df should be a durable table or otherwise cheap to run twice."""
+    n, width = df.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*")))) if df.columns else F.lit(0)).first()
+    return F.broadcast(df) if n <= rows and (width or 0) <= size else df
