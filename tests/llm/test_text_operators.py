@@ -84,9 +84,9 @@ def test_components_of_odd_tables(spark):
     rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (2, "a b c d e"), (4, None)]
     got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.link(docs(spark, rows)).collect()), key=str)
     assert got == sorted([(None, None), (3, 2), (3, 2), (2, 2), (4, 4)], key=str)
-    kept = jaccard.keep_one(docs(spark, rows))
+    kept = jaccard.keep_one(docs(spark, [*rows, (2, "a b c d e"), (2, "something else"), (9, "something else"), (4, None)]))
     assert kept.columns == ["doc_id", "text", "source", "extra"]
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [2, 4]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(None, "a b c d e"), (2, "a b c d e"), (2, "something else"), (4, None), (4, None)], key=str)
 
 
 # ---- repeated windows ----
@@ -138,6 +138,48 @@ def test_windows_that_share_a_key_are_told_apart(monkeypatch):
     assert [(r["doc_id"], r["lo"], r["hi"]) for r in out] == [(3, 0, 4)]
 
 
+def two_words():
+    """Two words of 1,024 letters whose polynomial hashes modulo 2**64 are equal for every odd multiplier."""
+    return ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(1024)) for flip in (0, 1)]
+
+
+def test_words_with_equal_polynomial_hashes(spark):
+    x, y = two_words()
+    assert [(r["doc_id"], r["component_id"]) for r in jaccard.link(docs(spark, [(1, x), (2, y)])).orderBy("doc_id").collect()] == [(1, 1), (2, 2)]
+    some = " ".join(f"w{k}" for k in range(12))
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs(spark, [(1, f"{some} {x}"), (2, f"{some} {y}"), (3, f"{some} {x}")])).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_equal_word_hashes_do_not_link(spark, monkeypatch):
+    """Hashes may collide as they like: texts decide."""
+    import numpy as np
+
+    from timberline.llm.common import Chunk
+
+    real = Chunk.__init__
+
+    def dull(self, rows, split):
+        real(self, rows, split)
+        self.hash = (self.hash % np.uint64(2)).astype(np.uint64)
+
+    monkeypatch.setattr(Chunk, "__init__", dull)
+    text = [bytes(f"{a} b c d e f g h i j k l {m}", "ascii") for a, m in (("x", "m"), ("y", "m"), ("x", "m"), ("x", "n"))]
+    import pyarrow as pa
+
+    p = substring.Packer(1)
+    c = Chunk([0, 1, 2, 3], [t.split() for t in text])
+    p.add(c, np.array([1, 2, 3, 4]), np.zeros(4, np.int64), 12, 3)
+    out = substring.judge(pa.Table.from_batches([p.flush()]), 12).to_pylist()
+    assert sorted((r["doc_id"], r["lo"], r["hi"]) for r in out) == [(2, 1, 13), (3, 0, 13), (4, 0, 12)]
+
+
+def test_digests_that_share_a_half(spark):
+    prints = spark.createDataFrame([(1, "p", 3, 5, 7), (2, "q", 3, 5, 8), (3, "r", 3, 6, 7)], "doc_id long, th string, n long, node long, alt long")
+    nodes = {r["node"]: (r["doc_id"], r["lo"] == r["hi"]) for r in jaccard.named_nodes(prints).collect()}
+    assert nodes == {5: (1, False), 6: (3, True)}
+
+
 # ---- lines ----
 
 

@@ -1,55 +1,43 @@
-"""Shared helpers of the corpus operators: durable intermediate tables, checked broadcasts, vectorised word hashing."""
+"""Shared helpers of the corpus operators: words, column names, vectorised word hashing."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.plans.durable import discard, durable, shared_dir, small  # noqa: F401
+
 #: White space that separates words, as a Java character class and as a list for trim functions.
 SPACE_CLASS = "[ \\t-\\r]+"
 SPACES = " \t\n\u000b\f\r"
-#: Rows that may be broadcast; wider tables go through a shuffled join.
-BROADCAST_ROWS = 1_000_000
-#: Bytes of text that one vectorised pass handles at a time.
-CHUNK_BYTES = 1 << 20
-
+#: Bytes of text that one vectorised pass handles at a time, and bytes of a word that it hashes.
+CHUNK_BYTES, LONG_WORD = 1 << 20, 64
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="timberline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
 
+def let(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """withColumn whose value is computed once a row: a generator keeps the optimizer from copying a costly expression into every place that uses it."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation of what is upstream.
 
-    Shuffle files of the finished stage are handed to Spark's cleaner right away.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/timberline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+def free(name: str, df: DataFrame) -> str:
+    """name, with underscores behind it while df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if it has at most limit rows, which is counted first; beyond that Spark shuffles both sides. Narrow rows only."""
-    return F.broadcast(df) if df.count() <= limit else df
+def own(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever marks are in their names."""
+    return [quoted(c) for c in df.columns]
 
 
-def let(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """withColumn whose value is computed once a row: a generator keeps the optimizer from copying a costly expression into every place that uses it."""
-    return df.withColumn(name, F.explode(F.array(value)))
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def words(text: Column) -> Column:
@@ -65,18 +53,8 @@ def n_words(text: Column) -> Column:
 
 # ---- vectorised hashing of words (numpy, 64 bit) ----
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_pow: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier and of its inverse modulo 2**64."""
-    if not _pow or len(_pow[0]) < n:
-        n = max(n, CHUNK_BYTES + (1 << 18))
-        inv = np.uint64(pow(int(_P), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            _pow[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, p, np.uint64)])) for p in (_P, inv)]
-    return _pow[0], _pow[1]
+#: What of eight bytes belongs to a word with 0 to 8 of them left.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,6 +65,24 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words buf[start:end]. Words of up to seven bytes have different hashes; longer ones are folded eight bytes
+    at a time, very long ones by a cryptographic hash. Whoever needs equality of words compares their bytes."""
+    size = ends - starts
+    at8 = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]).data, strides=(1,))  # eight bytes from each place on
+    h = mix((at8[starts] & _MASK[np.minimum(size, 7)]) | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56)))
+    more = np.flatnonzero((size > 7) & (size <= LONG_WORD))
+    done = 7
+    while len(more):
+        left = size[more] - done
+        h[more] = mix(h[more] ^ mix((at8[starts[more] + done] & _MASK[np.minimum(left, 8)]) + np.uint64(done)))
+        done += 8
+        more = more[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
 class Chunk:
     """Some documents' words in one buffer: bytes of words with one space between, word starts and ends, words per document, 64-bit word hashes."""
 
@@ -99,10 +95,7 @@ class Chunk:
         self.ends = np.concatenate([gaps, [len(buf)]]) if len(buf) else np.zeros(0, np.int64)
         self.doc = np.repeat(np.arange(len(rows)), self.counts)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        up, down = _powers(len(buf) + 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)])])
-            self.hash = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hash = word_hashes(buf, self.starts, self.ends)
         self.buf = buf
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and its connected components.
 
-A document's set holds the distinct hashes of its k-word shingles (lower-cased A-Z; fewer words: the whole sequence as one
-shingle). Sets x and y link when den * |x n y| >= num * |x u y|. Equal sets are one node; only nodes are joined.
+A document's set holds its distinct k-word shingles (lower-cased A-Z; fewer words: the whole sequence as one shingle).
+Sets x and y link when den * |x n y| >= num * |x u y|. Documents of one sequence of words are one node, named by half of a
+128-bit BLAKE2 digest of it (by the other half where two digests share the first); only nodes are joined.
 
 Order. Shingles are ordered by an estimated frequency, rarest first, then by hash. The estimates come from a sketch of
 fixed size (SKETCH counters) filled from all documents; any order gives right results, this one makes few candidates.
@@ -15,12 +16,14 @@ before its texts are compared.
 A pair is a candidate where it shares its first shingle, if that leaves o shingles in both, and if what it shares up to its
 last shared prefix shingle and the shorter rest after that are o or more.
 
-Groups. Components need a spanning set of links, not all pairs in a group. First, in some rounds, every node is compared
+Groups. Components need a spanning set of links, not all pairs in a group. First, in some rounds, every node is paired
 with one hub of a shingle it shares, the node whose shingles are the most frequent, which is near the centre of a group of
-near copies. Then the join proper makes candidates only between different components, all of them, so no link that would
-join two components is lost. Texts decide exactly (on 64-bit shingle hashes).
+near copies; these pairs, too, need min(l_x, l_y) shared prefix shingles and room for a link. Then the join proper makes
+candidates only between different components, all of them, so no link that would join two components is lost. Candidates
+are counted on 64-bit shingle hashes; pairs that link by these are compared shingle by shingle.
 
-Skew. Shingles with many estimated postings are spread over several partitions by node; a task sends equal sets once.
+Skew. Shingles with many estimated postings are spread over several partitions by node; a task sends equal texts once.
+Joins on a hot shingle split one side by node and send the other to every part.
 
 Defined cases: null and blank texts have no shingles, link with nothing and are their own component; rows without doc_id
 come back with a null component and join nothing; repeated rows of a doc_id are documents with equal id; long texts are
@@ -29,6 +32,7 @@ used whole; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +41,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import Chunk, chunks, durable, mix, small
+from timberline.llm import common
+from timberline.llm.common import Chunk, chunks, discard, durable, free, mix, own
 
 SKETCH, SLICES = 1 << 20, 64
 MOST_MATCHES, VERIFY, HOT, COLD, ROUNDS = 6, 50.0, 2_000, 32, 3
+#: Rows of a hot shingle that one part of a split join gets; bytes (as text) of a table that is broadcast.
+SPREAD, SMALL = 5_000, 4 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    return common.small(df, size=SMALL)
+
+
+def digests(c: Chunk) -> np.ndarray:
+    """Two 64-bit halves of the digest of each document's words (rows x 2)."""
+    out = np.zeros((len(c.rows), 2), np.int64)
+    for i in np.flatnonzero(c.counts).tolist():
+        a, b = c.first[i], c.first[i + 1] - 1
+        out[i] = np.frombuffer(hashlib.blake2b(c.text[c.starts[a] : c.ends[b]], digest_size=16).digest(), "<i8")
+    return out
 
 
 def shingle_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,33 +82,28 @@ def shingle_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """One row a document: doc_id, th (hash of the text), n (set size), node (fingerprint of the set); and rows with slice and sketch."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    """One row a document: doc_id, th (MD5 of the text), n (set size), node and alt (halves of the digest of its words); and rows with slice and sketch."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.md5(F.col("text").cast("binary")).alias("th"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.uint32)
-        names = ["doc_id", "th", "n", "node", "slice", "sketch"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "th", "n", "node", "alt", "slice", "sketch"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for b in batches:
-            n, node = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64)
+            n, node = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, 2), np.int64)
             for c in chunks(b.column("text").to_pylist(), lower=True):
                 d, h = shingle_sets(c, k)
                 counts += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-                size = np.bincount(d, minlength=len(c.rows))
-                n[c.rows] = size
-                if len(h):
-                    with np.errstate(over="ignore"):
-                        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)))])
-                        ends = np.cumsum(size)
-                        node[c.rows] = mix(total[ends] - total[ends - size] + size.astype(np.uint64))
-            none = [pa.nulls(b.num_rows, t) for t in kinds[4:]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n), pa.array(node.view(np.int64)), *none], names=names)
+                n[c.rows] = np.bincount(d, minlength=len(c.rows))
+                node[c.rows] = digests(c)
+            none = [pa.nulls(b.num_rows, t) for t in kinds[5:]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n), pa.array(node[:, 0]), pa.array(node[:, 1]), *none], names=names)
         z = zstandard.ZstdCompressor(level=1)
         parts = [z.compress(x.tobytes()) for x in np.split(counts, SLICES)] if counts.any() else []
         if parts:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, t) for t in kinds[:4]), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, t) for t in kinds[:5]), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, th long, n long, node long, slice int, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, th string, n long, node long, alt long, slice int, sketch binary")
 
 
 def merged_sketch(prints: DataFrame) -> np.ndarray:
@@ -108,16 +123,17 @@ def merged_sketch(prints: DataFrame) -> np.ndarray:
     return np.maximum(counts - counts.mean(), 0).astype(np.float32)
 
 
-def prefix_rows(c: Chunk, k: int, num: int, den: int, sketch: np.ndarray, skip: set[int]) -> tuple[np.ndarray, ...]:
-    """token, node, n, l, pop, salt, i (place in the prefix) of a chunk's prefixes; equal sets once."""
+def prefix_rows(c: Chunk, k: int, num: int, den: int, sketch: np.ndarray, skip: set[int], others: set[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """token, node, n, l, pop, salt, i (place in the prefix) of a chunk's prefixes; equal texts once. Digests in others name their node by the second half."""
     d, h = shingle_sets(c, k)
     if not len(h):
         return (np.zeros(0, np.int64),) * 7
     size = np.bincount(d, minlength=len(c.rows)).astype(np.int64)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)))])
-        ends = np.cumsum(size)
-        node = mix(total[ends] - total[ends - size] + size.astype(np.uint64)).view(np.int64)
+    ends = np.cumsum(size)
+    both = digests(c)
+    node = both[:, 0]
+    if others:
+        node = np.array([y if (x, y) in others else x for x, y in both.tolist()], np.int64)
     use = np.zeros(len(size), bool)
     for i, x in enumerate(node.tolist()):
         if size[i] and x not in skip:
@@ -149,7 +165,7 @@ ENTRY = "token long, node long, n int, l int, pop float, salt int, i int"
 _KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32(), pa.int32(), pa.int32())
 
 
-def entries(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray, partitions: int) -> DataFrame:
+def entries(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray, partitions: int, others: set[tuple[int, int]]) -> DataFrame:
     """Prefix entries whose token occurs in at least two nodes."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -157,7 +173,7 @@ def entries(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray, par
         skip: set[int] = set()
         for b in batches:
             for c in chunks(b.column("text").to_pylist(), lower=True):
-                cols = prefix_rows(c, k, num, den, shared.value, skip)
+                cols = prefix_rows(c, k, num, den, shared.value, skip, others)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, _KINDS, strict=True)], names=[f.split()[0] for f in ENTRY.split(", ")])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,19 +195,28 @@ def entries(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray, par
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node it is connected with) of all nodes of edges a, b: smallest labels spread over the edges, then labels of labels are followed, until nothing changes."""
+    """node, comp (smallest node it is connected with), old of all nodes of edges a, b: smallest labels spread over the edges, then labels of labels are followed, until nothing changes."""
     both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"), F.col("node").alias("old")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = durable(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "labels")
+        now = labels.select("node", "comp")
+        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+        step = durable(now.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "labels")
         up = step.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = durable(step.join(up, "comp").select("node", "old", F.least("comp", "up").alias("comp")), "labels")
-        labels = new.select("node", "comp")
+        new = durable(step.join(up, "comp").select("node", F.least("comp", "up").alias("comp"), "old"), "labels")
+        discard(labels, step)
+        labels = new
         if new.where("old <> comp").limit(1).count() == 0:
+            discard(both)
             return labels
 
 
+def shingles(text: str, k: int) -> set[bytes]:
+    """A text's set, word for word."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set()
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """a, b of the pairs whose texts link."""
     p = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -216,30 +241,41 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
                 r, h = r[o], h[o]
                 both = np.bincount(r[1:][(r[1:] == r[:-1]) & (h[1:] == h[:-1])], minlength=b.num_rows)
                 ok = (den * both >= num * (na + nb - both)) & (both > 0)
+                for i in np.flatnonzero(ok).tolist():
+                    x, y = (shingles(b.column(t)[i].as_py(), k) for t in ("ta", "tb"))
+                    ok[i] = den * len(x & y) >= num * len(x | y)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     return p.mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id of every row, with th (MD5 of the text) and comp (a node of the component)."""
     spark = docs.sparkSession
     everything = durable(fingerprints(docs, k), "fingerprints")
-    prints = everything.where("slice is null").select("doc_id", "th", "n", "node")
-    named = prints.where("n > 0 and doc_id is not null")
-    nodes = durable(named.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("m")).select("node", "m.doc_id", "m.th"), "nodes")
-    shingles = prints.agg(F.sum("n")).first()[0] or 0
+    prints = everything.where("slice is null").select("doc_id", "th", "n", "node", "alt")
+    nodes = durable(named_nodes(prints), "nodes")
+    others: set[tuple[int, int]] = set()
+    if nodes.where("lo <> hi").limit(1).count():  # two digests share their first half: hardly ever, and then a few
+        clash = prints.join(nodes.where("lo <> hi").select("node", "lo"), "node").where("alt <> lo").select("node", "alt").distinct()
+        others = {(r["node"], r["alt"]) for r in clash.collect()}
+        prints = prints.join(F.broadcast(clash.withColumn("o", F.lit(True))), ["node", "alt"], "left").withColumn("node", F.when(F.col("o"), F.col("alt")).otherwise(F.col("node")))
+        nodes = durable(named_nodes(prints), "nodes")
+        if nodes.where("lo <> hi").limit(1).count():
+            raise ValueError("two digests share both halves with others")
+    sizes = prints.agg(F.sum("n")).first()[0] or 0
     sketch = merged_sketch(everything)
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles * 0.2 / 500_000) + 1)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sizes * 0.2 / 500_000) + 1)
     rows = docs.where("doc_id is not null")
-    found = durable(entries(rows, k, num, den, sketch, partitions), "entries")
-    held = small(found.select("node").distinct().join(nodes, "node"))
-    keyed = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").join(held, ["doc_id", "th"]).select("node", "text")
+    found = durable(entries(rows, k, num, den, sketch, partitions, others), "entries")
+    held = durable(found.select("node").distinct().join(nodes.select("node", "doc_id", "th"), "node"), "held")
+    keyed = rows.select(F.col("doc_id").cast("long"), F.md5(F.col("text").cast("binary")).alias("th"), "text").join(small(held), ["doc_id", "th"]).select("node", "text")
     texts = durable(keyed.dropDuplicates(["node"]), "texts")
+    lists = durable(prefixes(found), "prefixes")
 
     comp = spark.createDataFrame([], "node long, comp long")
     tested = spark.createDataFrame([], "a long, b long")
-    links = tested
+    links, done = tested, [found, held, texts, lists]
     for r in range(ROUNDS + 1):
         # entries of tokens that still meet different components
         live = found.join(small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -247,23 +283,44 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
         open_tokens = durable(open_tokens.select("token", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n")), "open-tokens")
         if r < ROUNDS:
             near = live.join(open_tokens, "token").where((F.col("comp") != F.col("hub_comp")) & (F.col("n") * num <= F.col("hub_n") * den) & (F.col("hub_n") * num <= F.col("n") * den))
-            near = near.select("node", "hub").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select("node", F.col("m.hub").alias("hub"))
-            pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            near = near.select("node", "hub").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select("node", F.col("m.hub").alias("y"))
+            near = near.join(lists, "node").select(F.col("y").alias("node"), "x").join(lists.withColumnRenamed("x", "y"), "node").where(overlap_room("x", "y", num, den))
+            pairs = near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            mine = [open_tokens]
         else:
             live = durable(live.join(open_tokens.select("token"), "token", "left_semi").select("token", "node", "comp", "n", "l", "i"), "live")
-            pairs = candidates(live, num, den)
+            mine = [open_tokens, live]
+            pairs = candidates(live, num, den, mine)
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        discard(*mine)
+        done.append(pairs)
         if pairs.limit(1).count() == 0 and r < ROUNDS:
             continue
         new = durable(verify(pairs, texts, k, num, den), "links")
         tested, links = tested.unionByName(pairs), links.unionByName(new)
-        comp = components(links)
+        done.append(new)
+        labels = components(links)
+        comp = labels.select("node", "comp")
+        done.append(labels)
     ids = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named_comp = durable(ids.join(least, "comp").select("node", "component_id"), "component-ids")
+    named_comp = durable(ids.join(least, "comp").select("node", "comp", "component_id"), "component-ids")
+    discard(*done)
     out = prints.join(named_comp, "node", "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    own_id = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), "th", "comp")
+
+
+def named_nodes(prints: DataFrame) -> DataFrame:
+    """node, doc_id and th of its smallest document, lo and hi of the other half of the digest."""
+    named = prints.where("n > 0 and doc_id is not null")
+    return named.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.min("alt").alias("lo"), F.max("alt").alias("hi")).select("node", "m.doc_id", "m.th", "lo", "hi")
+
+
+def prefixes(entries: DataFrame) -> DataFrame:
+    """node, x: struct of node, n, l, tokens, places."""
+    lists = entries.groupBy("node", "n", "l").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("p"))
+    return lists.select("node", F.struct("node", "n", "l", F.col("p.token").alias("tokens"), F.col("p.i").alias("places")).alias("x"))
 
 
 def overlap_room(x: str, y: str, num: int, den: int) -> F.Column:
@@ -282,8 +339,8 @@ def first_here(nx: F.Column, rx: F.Column, ny: F.Column, ry: F.Column, num: int,
     return F.least(rx, ry) * (num + den) >= (nx + ny) * num
 
 
-def candidates(live: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs a < b of nodes of different components that may link by their prefixes.
+def candidates(live: DataFrame, num: int, den: int, made: list[DataFrame]) -> DataFrame:
+    """Adds the tables it writes to made. All pairs a < b of nodes of different components that may link by their prefixes.
 
     A pair is found at the first token it shares. Tokens of at most COLD nodes are simply joined. At the others, components
     meet first, with bounds over their nodes there (a component with one node there is tested as that node), and are then
@@ -291,9 +348,8 @@ def candidates(live: DataFrame, num: int, den: int) -> DataFrame:
     made only at its first token and only if there is room for a link.
     """
     col = F.col
-    lists = live.groupBy("node", "n", "l").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("p"))
-    prefix = durable(lists.select("node", F.struct("node", "n", "l", col("p.token").alias("tokens"), col("p.i").alias("places")).alias("x")), "prefixes")
-    hot = durable(live.groupBy("token").agg(F.count("*").alias("k")).where(col("k") > COLD).select("token"), "hot-tokens")
+    prefix = durable(prefixes(live), "prefixes")
+    hot = durable(live.groupBy("token").agg(F.count("*").alias("k")).where(col("k") > COLD).select("token", F.ceil(col("k") / SPREAD).cast("int").alias("parts")), "hot-tokens")
     # a first shared token is in the part of a prefix that one match needs
     live = live.where((col("n") - col("i")) * den >= col("n") * num)
     cold = live.join(small(hot), "token", "left_anti")
@@ -303,9 +359,19 @@ def candidates(live: DataFrame, num: int, den: int) -> DataFrame:
     few = few.join(prefix, "node").select(col("y").alias("node"), "x").join(prefix.withColumnRenamed("x", "y"), "node").where(overlap_room("x", "y", num, den))
     pairs = [few.select(col("x.node").alias("a"), col("y.node").alias("b"))]
 
-    rows = durable(live.join(small(hot), "token").select("token", "comp", "node", "i").join(prefix, "node").drop("node"), "hot-rows")
-    at = rows.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min("x.n").alias("n"), F.max(col("x.n") - col("i")).alias("r"))
+    rows = durable(live.join(small(hot), "token").select("token", "parts", "comp", "node", "i").join(prefix, "node").drop("node"), "hot-rows")
+    at = rows.groupBy("token", "comp", "parts").agg(F.count("*").alias("k"), F.min("x.n").alias("n"), F.max(col("x.n") - col("i")).alias("r"))
     at = durable(at, "hot-groups")
+    made += [prefix, hot, rows, at]
+
+    def dealt(x: DataFrame, by: str) -> DataFrame:
+        """x with the part of its token that a row belongs to."""
+        return x.withColumn("part", F.pmod(F.xxhash64(by), col("parts"))).drop("parts")
+
+    def copied(x: DataFrame) -> DataFrame:
+        """x with a row for each part of its token."""
+        return x.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (col("parts") - 1).cast("long")))).drop("parts")
+
     single = rows.join(at.where("k = 1").select("token", "comp"), ["token", "comp"], "left_semi").withColumnRenamed("comp", "c")
     groups = at.where("k > 1").withColumnRenamed("comp", "d")
     other = rows.select("token", col("comp").alias("d"), col("x").alias("y"), col("i").alias("j"))
@@ -315,28 +381,41 @@ def candidates(live: DataFrame, num: int, den: int) -> DataFrame:
         here = first_here(col("x.n"), col("x.n") - col("i"), col("y.n"), col("y.n") - col("j"), num, den)
         return d.where(here & (F.element_at(F.array_intersect("x.tokens", "y.tokens"), 1) == col("token")) & overlap_room("x", "y", num, den)).select(col("x.node").alias("a"), col("y.node").alias("b"))
 
-    pairs.append(meets(single.join(single.select("token", col("c").alias("d"), col("x").alias("y"), col("i").alias("j")), "token").where("c < d")))
+    partner = copied(single.select("token", "parts", col("c").alias("d"), col("x").alias("y"), col("i").alias("j")))
+    pairs.append(meets(dealt(single, "c").join(partner, ["token", "part"]).where("c < d")))
     # one node against a group
-    bounds = groups.select("token", "d", "n", "r")
+    bounds = copied(groups.select("token", "parts", "d", "n", "r"))
     room = first_here(col("x.n"), col("x.n") - col("i"), col("n"), col("r"), num, den)
-    pairs.append(meets(single.join(bounds, "token").where((col("c") != col("d")) & room).select("token", "d", "x", "i").join(other, ["token", "d"])))
+    pairs.append(meets(dealt(single, "c").join(bounds, ["token", "part"]).where((col("c") != col("d")) & room).select("token", "d", "x", "i").join(other, ["token", "d"])))
     # two groups
-    g = groups.select("token", col("d").alias("c"), col("k").alias("k1"), col("n").alias("n1"), col("r").alias("r1"))
-    both = g.join(groups, "token").where((col("c") != col("d")) & (F.struct("k1", "c") < F.struct("k", "d")) & first_here(col("n1"), col("r1"), col("n"), col("r"), num, den)).select("token", "c", "d")
+    g = dealt(groups.select("token", "parts", col("d").alias("c"), col("k").alias("k1"), col("n").alias("n1"), col("r").alias("r1")), "c")
+    both = g.join(copied(groups), ["token", "part"]).where((col("c") != col("d")) & (F.struct("k1", "c") < F.struct("k", "d")) & first_here(col("n1"), col("r1"), col("n"), col("r"), num, den)).select("token", "c", "d")
     pairs.append(meets(both.join(rows.withColumnRenamed("comp", "c"), ["token", "c"]).select("token", "d", "x", "i").join(other, ["token", "d"])))
     found = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).unionByName(pairs[3])
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; rows without doc_id and without words stay."""
-    found = durable(link(docs, k, num, den), "components")
-    gone = durable(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each component, the one with the smallest doc_id (of rows that repeat it, the smallest MD5 of the
+    text, then any one); rows without doc_id and without words stay, these once for each row."""
+    key = [free("_id", docs), free("_th", docs)]
+    keyed = docs.withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: F.md5(F.col("text").cast("binary"))})
+    found = link(docs.select("doc_id", "text"), k, num, den).where("n_shingles > 0 and doc_id is not null")
+    found = durable(found.groupBy("comp", "doc_id", "th").agg(F.count("*").alias("n")), "components")
+    first = found.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("m"))
+    ranked = found.join(first, "comp").withColumn("gone", F.struct("doc_id", "th") > F.col("m"))
+    ranked = durable(ranked.select(F.col("doc_id").alias(key[0]), F.col("th").alias(key[1]), "gone", "n"), "copies")
+    discard(found)
+    out = keyed.join(small(ranked.where("gone").select(*key)), key, "left_anti")
+    again = ranked.where("not gone and n > 1").select(*key)
+    if again.limit(1).count():
+        twice = out.join(small(again), key, "left_semi").dropDuplicates(key)
+        out = out.join(small(again), key, "left_anti").unionByName(twice)
+    return out.select(own(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return link(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return link(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("th", "comp")
 
 
 ORACLE = r"""

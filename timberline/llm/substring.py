@@ -5,12 +5,12 @@ document with a smaller doc_id are removed; windows are judged on the input.
 
 Each window's minimiser is the smallest hash of its `inner`-word grams. Consecutive windows that share it are one
 super-k-mer: their words travel once, as one packed string, to the bucket of the minimiser, where windows are sorted and
-equal ones (compared word by word, on 64-bit word hashes) are counted exactly. Every task packs its super-k-mers of a
+equal ones (sorted by a hash, then compared byte by byte) are counted exactly. Every task packs its super-k-mers of a
 bucket together and compresses them, and sends equal strings once: an equal string in a larger doc_id is decided on the
 spot and only its place travels, to a bucket of its document, so a passage in very many documents makes no large bucket.
 
-Defined cases: null and blank texts have no words; fewer words than a window are kept; documents without doc_id come after
-all others and do not judge each other; rows that repeat a doc_id do not judge each other either (their words go only for
+Defined cases: null and blank texts have no words; fewer words than a window are kept; documents without doc_id (and
+one of 2**63 - 1) come after all others and do not judge each other; rows that repeat a doc_id do not judge each other either (their words go only for
 a smaller doc_id); long texts are cut like any other; empty tables give no rows; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import Chunk, chunks, mix
+from timberline.llm.common import Chunk, chunks, mix, small
 
 WIDTH, INNER = 13, 3
 NO_ID = (1 << 63) - 1
@@ -32,18 +32,18 @@ NO_ID = (1 << 63) - 1
 FLUSH, BUCKET = 24 << 20, 4 << 20
 
 PACKED = "bucket int, meta binary, body binary, gone binary"
-SPAN = "doc_id long, mark int, lo int, hi int"
+SPAN = "doc_id long, mark long, lo int, hi int"
 
 
 def _pack(cols: list[np.ndarray], z: zstandard.ZstdCompressor) -> bytes:
-    """Columns doc_id (int64), mark (uint16), first and count (int32)."""
-    return z.compress(b"".join(c.astype(t).tobytes() for c, t in zip(cols, ("<i8", "<u2", "<i4", "<i4"), strict=True)))
+    """Columns doc_id and mark (int64), first and count (int32)."""
+    return z.compress(b"".join(c.astype(t).tobytes() for c, t in zip(cols, ("<i8", "<i8", "<i4", "<i4"), strict=True)))
 
 
 def _unpack(raw: bytes, z: zstandard.ZstdDecompressor) -> list[np.ndarray]:
     b = z.decompress(raw)
-    n, out, at = len(b) // 18, [], 0
-    for t in ("<i8", "<u2", "<i4", "<i4"):
+    n, out, at = len(b) // 24, [], 0
+    for t in ("<i8", "<i8", "<i4", "<i4"):
         size = n * np.dtype(t).itemsize
         out.append(np.frombuffer(b, t, n, at))
         at += size
@@ -124,14 +124,45 @@ class Packer:
 
 
 def _spans(doc: np.ndarray, mark: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "mark": pa.array(mark, pa.int32()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
+    return pa.table({"doc_id": pa.array(doc, pa.int64()), "mark": pa.array(mark, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
+
+
+def equal_windows(c: Chunk, key: np.ndarray, at: np.ndarray, piece: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order that puts equal windows side by side, where a new sequence of words begins in it). Windows are sorted by a hash;
+    then the bytes of every window are compared with the first one's of its hash, neighbours in one go, and hashes that
+    stand for several sequences are taken apart."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    group = np.cumsum(new) - 1
+    again, head = order[~new], order[np.flatnonzero(new)][group[~new]]
+    o = np.argsort(again)
+    again, head = again[o], head[o]
+    follows = lambda x: (x[1:] == x[:-1] + 1) & (piece[x[1:]] == piece[x[:-1]])
+    cut = np.flatnonzero(np.concatenate([[True], ~(follows(again) & follows(head))])) if len(again) else np.zeros(0, np.int64)
+    lo, hi = c.starts[at], c.ends[at + width - 1]
+    ends = np.concatenate([cut[1:], [len(again)]]) - 1 if len(cut) else cut
+    differs = []
+    for i, (a, b, x, y) in enumerate(zip(lo[again[cut]].tolist(), hi[again[ends]].tolist(), lo[head[cut]].tolist(), hi[head[ends]].tolist(), strict=True)):
+        if c.text[a:b] != c.text[x:y]:
+            differs.append(i)
+    if not differs:
+        return order, new
+    of = np.empty(len(order), np.int64)
+    of[order] = group
+    apart = np.isin(of, np.unique(of[np.concatenate([again[cut[i] : ends[i] + 1] for i in differs])]))
+    exact: dict[tuple[int, bytes], int] = {}
+    for i in np.flatnonzero(apart).tolist():
+        of[i] = exact.setdefault((int(of[i]), c.text[lo[i] : hi[i]]), len(order) + len(exact))
+    order = np.argsort(of, kind="stable")
+    return order, np.concatenate([[True], of[order][1:] != of[order][:-1]])
 
 
 def judge(table: pa.Table, width: int) -> pa.Table:
     """Spans of words to remove, from all super-k-mers of one bucket."""
     z = zstandard.ZstdDecompressor()
     out: list[pa.Table] = [_spans(*(np.zeros(0, np.int64),) * 4)]
-    hashes: list[np.ndarray] = []
+    split: list[bytes] = []
     metas: list[list[np.ndarray]] = []
     for meta, body, gone in zip(*(table.column(x).to_pylist() for x in ("meta", "body", "gone")), strict=True):
         if gone is not None:
@@ -139,34 +170,21 @@ def judge(table: pa.Table, width: int) -> pa.Table:
             out.append(_spans(doc, mark, first, first + count + (width - 1)))
         if meta is not None:
             metas.append(_unpack(meta, z))
-            hashes.append(Chunk([0], [z.decompress(body).split()]).hash)
+            split += z.decompress(body).split()
     if not metas:
         return pa.concat_tables(out)
     doc, mark, first, count = (np.concatenate(x) for x in zip(*metas, strict=True))
-    h = np.concatenate(hashes)
+    c = Chunk([0], [split])
+    del split
     start = np.concatenate([[0], np.cumsum(count + (width - 1))])[:-1]  # of each piece, in words
     piece = np.repeat(np.arange(len(count)), count)
     inside = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
     at = start[piece] + inside
-    key = np.zeros(len(h) - width + 1, np.uint64)
+    key = np.zeros(len(c.hash) - width + 1, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(width):
-            key += h[j : j + len(key)] * mix(np.array([j + 1], np.uint64))[0]
-    key = key[at]
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    group = np.cumsum(new) - 1
-    head = order[np.flatnonzero(new)][group]
-    differs = np.zeros(len(order), bool)
-    for j in range(width):
-        differs |= h[at[order] + j] != h[at[head] + j]
-    if differs.any():  # two window sequences under one key: group by all words
-        rows = np.stack([h[at + j] for j in range(width)], 1)
-        _, group_of = np.unique(rows, axis=0, return_inverse=True)
-        order = np.argsort(group_of.ravel(), kind="stable")
-        group = group_of.ravel()[order]
-        new = np.concatenate([[True], group[1:] != group[:-1]])
+            key += c.hash[j : j + len(key)] * mix(np.array([j + 1], np.uint64))[0]
+    order, new = equal_windows(c, key[at], at, piece, width)
     owner = doc[piece]
     first_doc = np.minimum.reduceat(owner[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     bad = np.zeros(len(order), bool)
@@ -181,15 +199,15 @@ def judge(table: pa.Table, width: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
-    """doc_id (NO_ID: none), mark (of the text, tells rows of one doc_id apart), lo, hi: words lo to hi - 1 are to go."""
-    raw = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def repeated_spans(rows: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
+    """doc_id (NO_ID: none), mark, lo, hi: words lo to hi - 1 of that row of marked() are to go."""
+    raw = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(3 * raw / BUCKET))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Packer(buckets)
         for b in batches:
-            ids, marks = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("mark").to_numpy(zero_copy_only=False)
+            ids, marks = b.column("id").to_numpy(zero_copy_only=False), b.column("mark").to_numpy(zero_copy_only=False)
             for c in chunks(b.column("text").to_pylist()):
                 p.add(c, ids[c.rows], marks[c.rows], width, inner)
                 if p.size > FLUSH and (out := p.flush()) is not None:
@@ -197,18 +215,23 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> D
         if (out := p.flush()) is not None:
             yield out
 
-    packed = marked(docs).mapInArrow(pack, PACKED)
+    packed = rows.select("id", "mark", "text").mapInArrow(pack, PACKED)
     return packed.groupBy("bucket").applyInArrow(lambda t: judge(t, width), SPAN)
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << 16)), F.lit(0)).cast("int").alias("mark"), "text")
+    """id (NO_ID: none), mark (0; where a doc_id repeats, 60 bits of the text's MD5, which tell its rows apart), doc_id, text."""
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again"))
+    text_mark = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    return named.join(small(again), "id", "left").select("id", F.when(F.col("again"), text_mark).otherwise(F.lit(0)).cast("long").alias("mark"), "doc_id", "text")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
     """doc_id, text (kept words joined by one space), n_words, n_removed."""
-    spans = repeated_spans(docs, width, inner).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("s"))
-    rows = marked(docs).join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
+    rows = marked(docs)
+    spans = repeated_spans(rows, width, inner).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("s")).withColumnRenamed("doc_id", "id")
+    rows = rows.join(spans, ["id", "mark"], "left").select("doc_id", "text", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,7 +251,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER) -> D
                 kept.append(b" ".join(w).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
-    return rows.mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long").withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return rows.mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
