@@ -5,8 +5,8 @@ with control strings escaped; image, audio and document parts give an ordered pl
 expanded token count (units * the type's rate, at least one unit; any other type has rate 1 and the placeholder
 <|attachment|>). Text counts its words as tokens.
 
-Escaping is reversible: each "<|" inside a text becomes "<||", so "<|" before anything but "|" is always the template's.
-A line break in a role becomes "<|nl|>".
+Escaping is reversible and goes letter by letter, so it does not matter how a text is cut into parts: each "<" inside a
+text becomes "<||", so "<|" before anything but "|" is always the template's. A line break in a role becomes "<|nl|>".
 
 Defined cases: null text, role or parts are empty; a null conv_id is a conversation of its own; turns that tie are ordered
 by role, then content; repeated rows are repeated turns; other columns are ignored; an empty table gives no rows.
@@ -26,11 +26,11 @@ PART = "array<struct<type:string,text:string,ref:string,units:bigint>>"
 
 
 def escape(text: Column) -> Column:
-    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<||"))
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("<"), F.lit("<||"))
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(text, F.lit("<||"), F.lit("<|"))
+    return F.replace(text, F.lit("<||"), F.lit("<"))
 
 
 def escape_role(role: Column) -> Column:
@@ -41,8 +41,9 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit(NEW_LINE), F.lit("\n")))
 
 
-def text_parts(text: Column) -> Column:
-    return F.array(F.struct(F.lit("text").alias("type"), text.cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units"))).cast(PART)
+def text_parts(*texts: Column) -> Column:
+    part = lambda t: F.struct(F.lit("text").alias("type"), t.cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units"))
+    return F.array(*map(part, texts)).cast(PART)
 
 
 def visit(part: Column) -> Column:
@@ -93,9 +94,13 @@ def digests(chats: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Each text is formatted as two adjacent parts, cut in the middle, which must read back as the one text."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"select cast(-1 as bigint) conv_id, cast(t as bigint) turn, r role, '{CONTROL}' text from values (0, 'user'), (1, 'assistant') v(t, r)")
-    return digests(format_chats(rows.unionByName(probe)))
+    rows = rows.unionByName(probe)
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = text_parts(F.substr("text", F.lit(1), half), F.substr("text", half + 1))
+    return digests(format_chats(rows.select("conv_id", "turn", "role", parts.alias("parts"))))
 
 
 ORACLE = f"""
@@ -106,5 +111,5 @@ select conv_id, count(*) n_turns,
   sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) turns_sha256,
   cast(coalesce(sum(length(t)) filter (where r = 'assistant'), 0) as bigint) loss_chars,
   sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (where r = 'assistant'), '')) loss_sha256,
-  cast(sum({len(START)} + length(replace(replace(r, '<|', '<||'), chr(10), '{NEW_LINE}')) + 1 + length(replace(t, '<|', '<||')) + {len(END) + 1}) as bigint) formatted_chars
+  cast(sum({len(START)} + length(replace(replace(r, '<', '<||'), chr(10), '{NEW_LINE}')) + 1 + length(replace(t, '<', '<||')) + {len(END) + 1}) as bigint) formatted_chars
 from c group by conv_id"""
