@@ -54,7 +54,9 @@ def test_mix_meets_targets(spark, block):
         assert abs(sum(r["taken"] for r in own) - want[s]) <= 0.5
     assert all(r["taken"] <= 2 * r["size"] for r in got)
     again = mixing.taken(df.repartition(5), block=block).collect()
-    assert sorted(map(str, got)) == sorted(map(str, again))
+    plain = lambda rows: sorted(str(tuple(r)[1:]) for r in rows)
+    assert plain(got) == plain(again)
+    assert all((r["taken"] > 0) == (r["first_slot"] is not None) and (r["first_slot"] or 0) <= (r["last_slot"] or 0) for r in got)
 
 
 def test_mix_pieces_cover_blocks(spark):
@@ -64,7 +66,9 @@ def test_mix_pieces_cover_blocks(spark):
     n = sum(r["slots"] for r in sources.collect())
     ends = [r["slot"] for r in rows]
     assert len({(r["key"], r["slot"]) for r in rows if r["slot"] < n}) >= 0.9 * n
-    assert max(ends) <= n
+    # slots beyond the sequence, which no source was left short of in the first place, have numbers of their own
+    assert len({(r["key"], r["slot"]) for r in rows}) == len({r["slot"] for r in rows}) == n
+    assert max(ends) < n + len({r["slot"] for r in rows if r["slot"] >= n}) + 1
     # every tenth of the schedule has each source near its share
     share = {r["key"]: r["slots"] / n for r in sources.collect()}
     for k, s in share.items():
@@ -80,7 +84,10 @@ def test_mix_of_odd_tables(spark):
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [r["taken"] for r in mixing.taken(blank).collect()] == [0, 0]
     twice = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s")], "doc_id long, text string, source string")
-    assert [(r["size"], r["taken"]) for r in mixing.taken(twice).collect()] == [(4, 6)]
+    assert sorted((r["size"], r["source_size"], r["taken"]) for r in mixing.taken(twice).collect()) == [(2, 4, 2), (2, 4, 4)]
+    clash = twice.withColumns({"size": F.lit("x"), "Taken": F.lit("y"), "_row": F.lit("z"), "a.b": F.lit(1)})
+    got = mixing.mixed(clash).collect()
+    assert sorted((r["size"], r["Taken"], r["_row"], r["a.b"], r["size_"], r["taken_"], r["source_size"]) for r in got) == [("x", "y", "z", 1, 2, 2, 4), ("x", "y", "z", 1, 2, 4, 4)]
 
 
 # ---- quality ----
@@ -157,6 +164,41 @@ def test_rollups_follow_changes(spark, tmp_path):
     assert store.batches() == ["1", "2", "3", "4"]
 
 
+def test_rows_of_one_document_count_as_one(spark, tmp_path):
+    store = tokencounts.Store(spark, str(tmp_path / "s"), ["byte_bpe_50k", "words"])
+    rows = [(1, "a b c d e", "x", "en"), (1, "internationalisation of", "y", "de")]
+    store.commit("1", spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
+    assert {(r["source"], r["lang"]) for r in store.totals().collect()} == {("y", "de")}
+
+
+def test_writers_at_once(spark, tmp_path, monkeypatch):
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    a, b = (tokencounts.Store(spark, str(tmp_path / "s"), ["words"]) for _ in range(2))
+    a.commit("0", docs((1, "one two three", "x", "en"), (2, "four", "x", "en")))
+    write, raced = a._write, []
+
+    def late(delta):
+        name = write(delta)
+        if not raced:  # another writer deletes the document, and sends the same batch, before a has committed
+            raced.append(b.commit("other", deletes=docs((1, "", "", ""))))
+        return name
+
+    monkeypatch.setattr(a, "_write", late)
+    assert a.commit("mine", docs((1, "five six", "x", "en")))
+    assert raced == [True] and a.batches() == ["0", "mine", "other"]
+    assert [(r["n_docs"], r["n_tokens"]) for r in a.totals().collect()] == [(2, 3)]
+    raced.clear()
+    monkeypatch.setattr(b, "commit", lambda *x, **y: tokencounts.Store.commit(b, "same", docs((3, "seven", "x", "en"))))
+    assert not a.commit("same", docs((3, "seven", "x", "en")))
+    assert [(r["n_docs"], r["n_tokens"]) for r in a.totals().collect()] == [(3, 4)]
+    (tmp_path / "s" / "data" / "crashed").mkdir()
+    assert a.compact() and len(a.log()) == 1 and a.batches() == ["0", "mine", "other", "same"]
+    assert a.clean() == 5
+    assert not a.commit("0", docs((9, "no", "x", "en")))
+    assert a.commit("last", deletes=docs((3, "", "", "")))
+    assert [(r["n_docs"], r["n_tokens"]) for r in a.totals().collect()] == [(2, 3)]
+
+
 def test_rollups_equal_a_recount(spark):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     lab = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}

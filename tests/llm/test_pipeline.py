@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_other_operators import plain_targets
 from tests.llm.test_text_operators import brute_components
@@ -85,3 +87,31 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), DATA).columns == docs.columns
     assert corpus_pipeline.mixed(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Extra columns of any name come through every stage with their values, and repeated rows leave as one."""
+    names = ["size", "source_size", "target", "taken", "n_lines", "n_removed", "score", "predicted", "_row", "_id", "_th", "_drop", "h", "node", "comp", "item_id", "key", "row", "a.b", "first_slot"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    first = docs.orderBy("doc_id").limit(40)
+    docs = first.unionByName(first.limit(3)).withColumns({n: F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")) for n in names})
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        rows = out.collect()
+        assert rows and out.columns[: len(docs.columns)] == docs.columns
+        assert all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in names)
+    kept = corpus_pipeline.one_of_copies(spark, docs, DATA).collect()
+    assert len({r["doc_id"] for r in kept}) == len(kept)
+    mixed = {}
+    for r in rows:
+        assert 0 < r["taken_"] <= 2 * r["size_"] == 2 * len(r["text"].split())
+        mixed.setdefault(r["source"], []).append((r["taken_"], r["target_"]))
+    for own in mixed.values():
+        assert abs(sum(t for t, _ in own) - own[0][1]) <= 0.5
+
+
+def test_stages_take_nulls(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(5)
+    nulls = docs.select(*[F.lit(None).cast(t).alias(n) for n, t in docs.dtypes])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.unionByName(nulls), DATA).count() >= 0

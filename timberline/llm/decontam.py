@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import durable, let, small
+from timberline.llm.common import durable, let, own, small
 
 WIDTH, LITERALS, SHARE, CONSISTENCY = 8, 4, 0.8, 0.8
 SHORT, SEEDED, PART, PART_WORDS = 5, 0.3, 0.6, 13
@@ -178,7 +178,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: in
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that match an item; null doc_ids stay."""
     bad = durable(find(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return docs.join(small(bad), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(bad), "doc_id", "left_anti").select(own(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ t / (2 - t) * |A| <= |B| <= (2 - t) / t * |A| are candidates.
 Normalising: lower case; everything but letters, digits and dots becomes a space; dots at a word's end go.
 
 Defined cases: null, blank and one-word units have no bigrams and match nothing; ties of a unit go to the first template
-id; repeated rows of a doc_id count as one document; an empty table gives no rows; other columns are ignored.
+id; rows that repeat a doc_id, or have none, are documents of their own, each with its units; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,22 +83,23 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + WHOLE,
     vocabulary = F.array(*[F.lit(b) for b in sorted({r["bigram"] for r in rows})])
     most = max([r["grams"] for r in rows], default=0) / ratio
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("unit", "line")).select("doc_id", (F.col("unit") + 1).alias("unit"), "line")
+    # row tells rows apart; lines, texts and paragraphs may number them differently, as their units differ
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    lines = docs.select("row", "doc_id", F.posexplode(F.split(text, "\n")).alias("unit", "line")).select("row", "doc_id", (F.col("unit") + 1).alias("unit"), "line")
     # a whole text of one line is that line
-    whole = docs.where(F.contains(text, F.lit("\n"))).select("doc_id", F.lit(0).alias("unit"), text.alias("line"))
+    whole = docs.where(F.contains(text, F.lit("\n"))).select("row", "doc_id", F.lit(0).alias("unit"), text.alias("line"))
     # a unit within the size bound has few distinct words, but any number of repeated ones; so only sets are bounded
     # paragraphs end at lines without letters and digits; one of one line, or that is the whole text, is a unit already
     blocks = F.split(text, r"\n([^\p{L}\p{N}\n]*\n)+")
-    blocks = docs.where(text.rlike(r"\n[^\p{L}\p{N}\n]*\n")).select("doc_id", F.posexplode(blocks).alias("at", "line")).where(F.contains(F.trim("line", F.lit("\n")), F.lit("\n")))
-    blocks = blocks.select("doc_id", (-F.col("at") - 1).alias("unit"), "line")
+    blocks = docs.where(text.rlike(r"\n[^\p{L}\p{N}\n]*\n")).select("row", "doc_id", F.posexplode(blocks).alias("at", "line")).where(F.contains(F.trim("line", F.lit("\n")), F.lit("\n")))
+    blocks = blocks.select("row", "doc_id", (-F.col("at") - 1).alias("unit"), "line")
     units = lines.unionByName(whole).unionByName(blocks).where(F.length("line") > 2)
-    units = let(let(units, "w", normal_words(F.col("line"))), "b", bigrams("w")).select("doc_id", "unit", "b")
+    units = let(let(units, "w", normal_words(F.col("line"))), "b", bigrams("w")).select("row", "doc_id", "unit", "b")
     units = units.withColumn("n", F.size("b")).where((F.col("n") > 0) & (F.col("n") <= most)).where(F.size(F.array_intersect("b", vocabulary)) >= F.ceil(F.col("n") * ratio - 1e-9))
-    pairs = units.select("doc_id", "unit", "n", F.explode("b").alias("bigram")).join(F.broadcast(known), "bigram").where((F.col("grams") >= F.col("n") * ratio - 1e-9) & (F.col("grams") <= F.col("n") / ratio + 1e-9))
-    # repeated rows of a document may repeat a unit: a shared bigram counts once
-    both = pairs.groupBy("doc_id", "unit", "n", "template", "license", "grams").agg(F.count_distinct("bigram").alias("both"))
+    pairs = units.select("row", "doc_id", "unit", "n", F.explode("b").alias("bigram")).join(F.broadcast(known), "bigram").where((F.col("grams") >= F.col("n") * ratio - 1e-9) & (F.col("grams") <= F.col("n") / ratio + 1e-9))
+    both = pairs.groupBy("row", "doc_id", "unit", "n", "template", "license", "grams").agg(F.count("*").alias("both"))
     dice = both.withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("grams"))).where(F.col("dice") >= threshold)
-    best = dice.groupBy("doc_id", "unit").agg(F.max_by(F.struct("template", "license", "dice"), F.struct("dice", -F.col("template"))).alias("m"))
+    best = dice.groupBy("row", "doc_id", "unit").agg(F.max_by(F.struct("template", "license", "dice"), F.struct("dice", -F.col("template"))).alias("m"))
     return best.select("doc_id", "unit", "m.*")
 
 
@@ -114,13 +115,13 @@ def _sql() -> str:
     return f"""
 with t0 as (select * from (values {values}) v(template, license, text)),
 t as (select template, license, {grams('w')} b from (select *, {norm('text')} w from t0)),
-u0 as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls, text from documents),
-u1 as (select doc_id, unnest(range(1, len(ls) + 1)) unit, unnest(ls) line from u0
-  union all select doc_id, 0, text from u0 where contains(text, chr(10))),
-u as (select doc_id, unit, {grams('w')} b from (select *, {norm('line')} w from u1)),
-p as (select doc_id, unit, template, license, 2.0 * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) dice from u join t on list_has_any(u.b, t.b)),
-r as (select *, row_number() over (partition by doc_id, unit order by dice desc, template) k from p where dice >= {THRESHOLD})
-select doc_id, license, count(*) n_units, round(cast(max(dice) as double), 6) dice from r where k = 1 group by doc_id, license"""
+u0 as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) ls, text from documents),
+u1 as (select r, doc_id, unnest(range(1, len(ls) + 1)) unit, unnest(ls) line from u0
+  union all select r, doc_id, 0, text from u0 where contains(text, chr(10))),
+u as (select r, doc_id, unit, {grams('w')} b from (select *, {norm('line')} w from u1)),
+p as (select r, doc_id, unit, template, license, 2.0 * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) dice from u join t on list_has_any(u.b, t.b)),
+k as (select *, row_number() over (partition by r, unit order by dice desc, template) k from p where dice >= {THRESHOLD})
+select doc_id, license, count(*) n_units, round(cast(max(dice) as double), 6) dice from k where k = 1 group by doc_id, license"""
 
 
 ORACLE = _sql()

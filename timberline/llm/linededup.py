@@ -11,7 +11,8 @@ the factor 1 +- band (25 %, over ten standard errors) and at least two sites eit
 Lines are compared without white space at their ends; blank lines and lines under min_chars characters are never removed.
 
 Defined cases: null texts have no lines and come back null; a null source is no site; null doc_ids count as larger than
-any other and lose boilerplate; repeated rows are treated alike; an empty table gives no rows; other columns pass through.
+any other and lose boilerplate; rows of one doc_id are treated alike, as one document; an empty table gives no rows; other
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import SPACES, durable, small
+from timberline.llm.common import SPACES, durable, free, small
 
 MIN_SITES, MIN_CHARS = 10, 10
 
@@ -52,18 +53,19 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
 
 
 def remove_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs with text after removal, and n_lines and n_removed."""
+    """docs with text after removal, and n_lines and n_removed (free() names them where docs has such columns)."""
     min_chars = options.get("min_chars", MIN_CHARS)
     gone = durable(boilerplate(docs, **options), "line-boilerplate")
     lines = candidate_lines(docs, min_chars)
+    hashes, key, left, n_lines, n_removed = (free(x, docs) for x in ("_drop", "_doc", "_kept", "n_lines", "n_removed"))
     drop = lines.join(small(gone), "h").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first_doc")))
-    drop = drop.groupBy("doc_id").agg(F.collect_set("h").alias("_drop")).withColumnRenamed("doc_id", "_d")
-    out = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+    drop = drop.groupBy("doc_id").agg(F.collect_set("h").alias(hashes)).withColumnRenamed("doc_id", key)
+    out = docs.join(drop, F.col("doc_id").eqNullSafe(F.col(key)), "left").drop(key)
     split = F.split("text", "\n")
-    kept = F.when(F.col("_drop").isNull(), split).otherwise(F.filter(split, lambda x: (F.length(bare(x)) < min_chars) | ~F.array_contains("_drop", line_hash(x))))
-    out = out.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long"))
-    n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.size("_kept"))
-    return out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_removed", (F.col("n_lines") - n_kept).cast("long")).withColumn("text", F.array_join("_kept", "\n")).drop("_kept", "_drop")
+    kept = F.when(F.col(hashes).isNull(), split).otherwise(F.filter(split, lambda x: (F.length(bare(x)) < min_chars) | ~F.array_contains(hashes, line_hash(x))))
+    count = lambda x: F.when(F.col("text").isNull(), 0).otherwise(F.size(x)).cast("long")
+    out = out.withColumn(left, kept).withColumn(n_lines, count(split)).withColumn(n_removed, F.col(n_lines) - count(F.col(left)))
+    return out.withColumn("text", F.array_join(left, "\n")).drop(left, hashes)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

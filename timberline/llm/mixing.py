@@ -6,8 +6,8 @@ takes the r-th block of that source, starting over when the source is used up. A
 needs, and its last block is cut where the target ends, so what is taken equals the target rounded to a word.
 
 Defined cases: null or blank texts have size 0 and are never taken; a null source is a source of its own and sorts last;
-rows that repeat a (doc_id, source) are one document with the summed size; an empty table gives an empty mix; other
-columns are ignored. The order depends on doc_id and seed alone, so reruns agree.
+rows that repeat a doc_id, or have none, are documents of their own; an empty table gives an empty mix; other columns are
+ignored. The order depends on doc_id, seed and text alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import durable, n_words, small
+from timberline.llm.common import durable, free, n_words, small
 
 #: 2**31 / golden ratio, rounded to an odd number: i * this modulo 2**31 is a golden-ratio sequence with period 2**31.
 GOLDEN_31 = 1327217885
-CELLS = 4096
+CELLS = 1 << 12
 
 
 def source_key(source: Column) -> Column:
@@ -27,8 +27,10 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size")).withColumn("key", source_key(F.col("source")))
+def sized_documents(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """row (the column of that name, or numbers that hold once this is written), doc_id, source, size, th (hash of the text), key."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(number.alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th"), source_key(F.col("source")).alias("key"))
 
 
 def targets(sized: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -62,48 +64,58 @@ def running_start(df: DataFrame, key: str, bucket: str, order: list[str], value:
 
 def schedule(sources: DataFrame, block: int) -> DataFrame:
     """Slots of the mix: key, rank (of the slot in its source), slot. Sources have key, take (words) and slots (blocks)."""
-    n = int(sources.agg(F.sum("slots")).first()[0] or 0)
+    n, catalogue = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).cast("long"), F.count("*")).first()
+    parts = max(CELLS, 1 << (4 * catalogue).bit_length())  # cells meet few sources each, however many there are
     cum = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shares = sources.where("take > 0").select("key", "slots", F.sum("take").over(cum).alias("hi"), "take", F.sum("take").over(Window.partitionBy()).alias("all"))
     shares = shares.select("key", ((F.col("hi") - F.col("take")) / F.col("all")).alias("lo"), F.when(F.col("hi") == F.col("all"), F.lit(2.0)).otherwise(F.col("hi") / F.col("all")).alias("hi"))
-    cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
-    slots = sources.sparkSession.range(n).withColumn("u", F.pmod(F.pmod("id", F.lit(1 << 31)) * GOLDEN_31, F.lit(1 << 31)) / float(1 << 31)).withColumn("cell", F.floor(F.col("u") * CELLS))
+    cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * parts), F.least(F.floor(F.col("hi") * parts), F.lit(parts - 1)))))
+    slots = sources.sparkSession.range(n).withColumn("u", F.pmod(F.pmod("id", F.lit(1 << 31)) * GOLDEN_31, F.lit(1 << 31)) / float(1 << 31)).withColumn("cell", F.floor(F.col("u") * parts))
     slots = slots.join(small(cells), "cell").where("u >= lo and u < hi").select("key", F.col("id").alias("slot"), F.floor(F.col("id") / max(1, int(n**0.5))).alias("_b"))
     ranked = running_start(slots, "key", "_b", ["slot"], F.lit(1), "rank").select("key", "rank", "slot")
     have = ranked.groupBy("key").agg(F.count("*").alias("have"))
     # the sequence may leave a source a few slots short of its target; those follow at the end
     rest = sources.where("slots > 0").join(have, "key", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < slots")
-    rest = rest.select("key", F.explode(F.sequence(F.col("have"), F.col("slots") - 1)).alias("rank")).withColumn("slot", F.lit(n))
-    return ranked.unionByName(rest)
+    rest = rest.withColumn("at", F.lit(n) + F.sum(F.col("slots") - F.col("have")).over(cum) - (F.col("slots") - F.col("have")))
+    rest = rest.select("key", F.explode(F.sequence(F.col("have"), F.col("slots") - 1)).alias("rank"), "have", "at")
+    return ranked.unionByName(rest.select("key", "rank", (F.col("at") + F.col("rank") - F.col("have")).alias("slot")))
 
 
-def mix(docs: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, block: int = 4096, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with key and size, sources with source_size, target and take, mix). The mix has a row for each piece of a
-    document in a block: slot, key, doc_id, first_word, n_words; slot gives the order."""
-    sized = durable(sized_documents(docs), "mix-sizes")
+def mix(docs: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, block: int = 4096, seed: int = 7, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with row, key and size, sources with source_size, target and take, mix). The mix has a row for each piece of
+    a document in a block: slot, key, row, doc_id, first_word, n_words; slot gives the order."""
+    sized = durable(sized_documents(docs, row), "mix-sizes")
     sources = targets(sized, pattern, total, most)
     sources = sources.withColumn("take", F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(float(most)))).cast("long"))
     sources = durable(sources.withColumn("slots", F.ceil(F.col("take") / block)), "mix-sources")
     buckets = max(1, int(sized.count() ** 0.5))
     h = sized.where("size > 0").withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_b", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
-    placed = running_start(h, "key", "_b", ["h", "doc_id"], F.col("size"), "start").join(small(sources), "key")
+    placed = running_start(h, "key", "_b", ["h", "doc_id", "th", "row"], F.col("size"), "start").join(small(sources), "key")
     rounds = F.explode(F.sequence(F.lit(0), F.floor((F.col("take") - 1 - F.col("start")) / F.col("source_size"))))
     pieces = placed.where("start < take").withColumn("round", rounds).withColumn("from", F.col("round") * F.col("source_size") + F.col("start"))
     pieces = pieces.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("take")))
     pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     lo, hi = F.greatest(F.col("rank") * block, F.col("from")), F.least((F.col("rank") + 1) * block, F.col("to"))
-    pieces = pieces.select("key", "rank", "doc_id", (lo - F.col("from")).alias("first_word"), (hi - lo).alias("n_words"))
+    pieces = pieces.select("key", "rank", "row", "doc_id", (lo - F.col("from")).alias("first_word"), (hi - lo).alias("n_words"))
     return sized, sources, pieces.join(schedule(sources, block), ["key", "rank"]).drop("rank")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how many of each document's words the mix takes, repeats counted."""
+    """row, doc_id, source, size, source_size, target, taken: how many of each document's words the mix takes, repeats counted; first_slot, last_slot: between which slots of the mix they stand."""
     sized, sources, plan = mix(docs, **options)
-    got = plan.groupBy("key", "doc_id").agg(F.sum("n_words").alias("taken"))
-    g = got.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), "taken")
-    out = sized.join(g, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").join(small(sources.select("key", "source_size", "target")), "key")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    got = plan.groupBy("row").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    out = sized.join(got, "row", "left").join(small(sources.select("key", "source_size", "target")), "key")
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """Rows of docs that the mix takes words of, with size, source_size, target, taken, first_slot and last_slot (free() names them where docs has such columns)."""
+    key = free("_row", docs)
+    rows = durable(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    named = [F.col(x).alias(free(x, docs)) for x in ("size", "source_size", "target", "taken", "first_slot", "last_slot")]
+    got = taken(rows, row=key, **options).where("taken > 0").select(F.col("row").alias(key), *named)
+    return rows.join(got, key).drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return taken(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "source")

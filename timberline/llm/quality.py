@@ -9,7 +9,8 @@ smallest hash of doc_id among the rows whose crc32(doc_id as text) mod 5 is not
 
 Defined cases: null and empty texts have all statistics 0 and get a score like any other; labels that are null or of no
 document are ignored, and of repeated labels the largest counts; with no labels or one class only, the score is that
-class's share (0.5 without labels); repeated rows are scored alike; other columns pass through.
+class's share (0.5 without labels); repeated rows are scored alike, and of rows of one doc_id one is learned from; a null
+doc_id is not held out; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from timberline.llm.common import Chunk, chunks
+from timberline.llm.common import Chunk, chunks, free, hash_sample
 
 TRAIN_ROWS, TREES, DEPTH, BINS, RATE = 20_000, 60, 4, 64, 0.2
 THRESHOLD = 0.3
@@ -148,13 +150,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = TRAIN_ROWS) -> Forest:
     """Fits on at most max_train labelled rows, which come to the driver as statistics."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    sample = hash_sample(known, "doc_id", max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,27 +164,30 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = TRAIN_ROWS) -> Fo
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample.select(F.col("doc_id").cast("long"), F.col("y").cast("double"))), "doc_id")
-    got = sorted((r.doc_id, bytes(r.x), r.y) for r in rows.mapInArrow(run, "doc_id long, y double, x binary").collect())
+    # of rows that repeat a doc_id one is learned from
+    once = rows.mapInArrow(run, "doc_id long, y double, x binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    got = sorted((r.doc_id, bytes(r.x), r.y) for r in once.collect())
     x = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(len(got), N_FEATURES)
     return fit(x, np.array([r[2] for r in got], np.float64))
 
 
 def add_score(docs: DataFrame, forest: Forest) -> DataFrame:
-    """docs with score, one pass over the texts."""
+    """docs with score (free() names it where docs has such a column), one pass over the texts."""
+    at = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = forest.score(text_features(b.column("text").to_pylist()))
+            score = forest.score(text_features(b.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(run, schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may have marks that are not passed on
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("score", DoubleType())])).toDF(*docs.columns, free("score", docs))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier) and predicted."""
-    out = add_score(docs.drop("score"), train(docs, labels, max_train))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """docs with score (0 to 1, higher: label 1 likelier) and predicted; free() names them where docs has such columns."""
+    out = add_score(docs, train(docs, labels, max_train))
+    return out.withColumn(free("predicted", docs), (F.col(free("score", docs)) >= threshold).cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
