@@ -116,6 +116,18 @@ def test_repeated_windows(spark, width, inner):
     assert got == brute_removed(rows, width)
 
 
+def test_hot_minimisers_are_split(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_BYTES", 1_000)
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(["of the and", f"w{rng.randrange(50)}"]) for _ in range(60))
+    rows = [(k, text()) for k in range(60)]
+    rows += [(100 + k, rows[k][1][20:] + " more") for k in range(20)]
+    marked = substring.marked(docs(spark, rows))
+    assert len(substring.hot_minimisers(marked, 10_000, 13, 3)) > 0
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in substring.remove_repeats(docs(spark, rows)).collect()}
+    assert got == brute_removed(rows, 13)
+
+
 def test_repeated_windows_of_odd_tables(spark):
     assert substring.remove_repeats(docs(spark, [])).count() == 0
     t = " ".join(map(str, range(20)))

@@ -8,6 +8,7 @@ super-k-mer: their words travel once, as one packed string, to the bucket of the
 equal ones (sorted by a hash, then compared byte by byte) are counted exactly. Every task packs its super-k-mers of a
 bucket together and compresses them, and sends equal strings once: an equal string in a larger doc_id is decided on the
 spot and only its place travels, to a bucket of its document, so a passage in very many documents makes no large bucket.
+Windows of a minimiser that would fill a bucket many times over go to buckets by a second one, over longer grams.
 
 Defined cases: null and blank texts have no words; fewer words than a window are kept; documents without doc_id (and
 one of 2**63 - 1) come after all others and do not judge each other; rows that repeat a doc_id do not judge each other either (their words go only for
@@ -30,6 +31,8 @@ WIDTH, INNER = 13, 3
 NO_ID = (1 << 63) - 1
 #: Packed bytes that a task gathers before it sends them, and raw bytes that a bucket should hold.
 FLUSH, BUCKET = 24 << 20, 4 << 20
+#: Raw bytes of a minimiser that is split by grams of SECOND words, and bytes of text that estimate these.
+HOT_BYTES, SECOND, SAMPLE_BYTES = 16 << 20, 8, 64 << 20
 
 PACKED = "bucket int, meta binary, body binary, gone binary"
 SPAN = "doc_id long, mark long, lo int, hi int"
@@ -50,12 +53,8 @@ def _unpack(raw: bytes, z: zstandard.ZstdDecompressor) -> list[np.ndarray]:
     return out
 
 
-def super_kmers(c: Chunk, width: int, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word and number of windows of each super-k-mer of a chunk, and its minimiser."""
-    n = len(c.hash) - width + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return none, none, np.zeros(0, np.uint64)
+def minima(c: Chunk, width: int, inner: int) -> np.ndarray:
+    """For each word the smallest hash of the `inner`-word grams in the `width` words from it on."""
     m = len(c.hash) - inner + 1
     low = c.hash[:m].copy()
     with np.errstate(over="ignore"):
@@ -66,18 +65,47 @@ def super_kmers(c: Chunk, width: int, inner: int) -> tuple[np.ndarray, np.ndarra
         step = min(have, span - have)
         low = np.minimum(low[: len(low) - step], low[step:])
         have += step
-    at = np.flatnonzero(c.doc[:n] == c.doc[width - 1 :])
+    return low
+
+
+def super_kmers(c: Chunk, width: int, inner: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and number of windows of each super-k-mer of a chunk, and its minimiser; windows whose minimiser is in hot (sorted) go by one over longer grams."""
+    n = len(c.hash) - width + 1
+    at = np.flatnonzero(c.doc[:n] == c.doc[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
     if not len(at):
-        return none, none, np.zeros(0, np.uint64)
-    v = low[at]
+        return at, at, np.zeros(0, np.uint64)
+    v = minima(c, width, inner)[at]
+    if hot is not None and len(hot):
+        often = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
+        if often.any():
+            v[often] = mix(minima(c, width, min(SECOND, width))[at][often] + np.uint64(1))
     new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (v[1:] != v[:-1]) | (c.doc[at[1:]] != c.doc[at[:-1]])])
     head = np.flatnonzero(new)
     return at[head], np.diff(np.concatenate([head, [len(at)]])), v[head]
 
 
+def hot_minimisers(rows: DataFrame, raw: int, width: int, inner: int) -> np.ndarray:
+    """Sorted minimisers whose super-k-mers are estimated to hold more than HOT_BYTES and a millionth of all. The estimate is
+    from documents chosen by a hash; it only decides which bucket a window goes to, and all equal windows go to the same."""
+    share = min(64, max(1, raw // SAMPLE_BYTES))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b.column("text").to_pylist()):
+                first, n, v = super_kmers(c, width, inner)
+                if len(first):
+                    size = c.ends[first + n + width - 2] - c.starts[first]
+                    keys, at = np.unique(v, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, weights=size).astype(np.int64))], names=["v", "size"])
+
+    sums = rows.where(F.pmod(F.xxhash64("id", "mark"), F.lit(share)) == 0).select("text").mapInArrow(count, "v long, size long").groupBy("v").agg(F.sum("size").alias("size"))
+    found = sums.where(F.col("size") * share > max(HOT_BYTES, 3 * raw // 1_000_000)).select("v").collect()  # a million at most
+    return np.sort(np.array([r["v"] for r in found], np.int64).view(np.uint64))
+
+
 class Packer:
-    def __init__(self, buckets: int):
-        self.buckets, self.z = buckets, zstandard.ZstdCompressor(level=1)
+    def __init__(self, buckets: int, hot: np.ndarray | None = None):
+        self.buckets, self.hot, self.z = buckets, hot, zstandard.ZstdCompressor(level=1)
         self.clear()
 
     def clear(self) -> None:
@@ -86,7 +114,7 @@ class Packer:
         self.size = 0
 
     def add(self, c: Chunk, ids: np.ndarray, marks: np.ndarray, width: int, inner: int) -> None:
-        first, count, v = super_kmers(c, width, inner)
+        first, count, v = super_kmers(c, width, inner, self.hot)
         if not len(first):
             return
         lo, hi = c.starts[first], c.ends[first + count + width - 2]
@@ -203,9 +231,10 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, inner: int = INNER) -> D
     """doc_id (NO_ID: none), mark, lo, hi: words lo to hi - 1 of that row of marked() are to go."""
     raw = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(3 * raw / BUCKET))
+    hot = rows.sparkSession.sparkContext.broadcast(hot_minimisers(rows, raw, width, inner))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Packer(buckets)
+        p = Packer(buckets, hot.value)
         for b in batches:
             ids, marks = b.column("id").to_numpy(zero_copy_only=False), b.column("mark").to_numpy(zero_copy_only=False)
             for c in chunks(b.column("text").to_pylist()):
