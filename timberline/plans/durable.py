@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,15 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def results(spark: SparkSession, name: str, schema: str) -> tuple[Callable[[DataFrame], None], Callable[[], DataFrame]]:
+    """(a function that adds rows to a table in the shared folder, one that reads it): results of many jobs without a plan that grows with them."""
+    path = f"{shared_dir(spark)}/timberline/{name}-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return lambda df: df.write.mode("append").parquet(path), lambda: spark.read.schema(schema).parquet(path)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, so a lost executor costs no
     recomputation of what is upstream. Shuffle files of the write go when it is done; the table goes with discard, or when
