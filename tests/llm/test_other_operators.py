@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,13 +234,14 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
 
 
-def test_recall(spark):
+def test_recall(spark, monkeypatch):
     d = "/root/testdata/sf0.01"
     t = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
     ids, x = t["vec_id"].to_numpy(), np.stack(t["embedding"]).astype(np.float64)
     want = brute(ids, x, [i for i in ids if i % 100 == 0])
     index, q = ann.build(spark.read.parquet(f"{d}/embeddings.parquet"))
-    for rerank in (400, 40):  # all of a partition reranked, and few
+    for rerank, rows in ((400, 16_384), (40, 16_384), (40, 100)):  # nearly all reranked, few, and few of short runs
+        monkeypatch.setattr(ann, "SCAN_ROWS", rows)
         got = {}
         for r in ann.search(index.repartition(2), q, F.col("vec_id") % 100 == 0, rerank=rerank, block=2).collect():
             got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
@@ -252,6 +254,19 @@ def test_recall(spark):
                 assert s == pytest.approx(math.sqrt(((x[ids == i][0] - x[ids == v][0]) ** 2).sum()), abs=1e-12)
 
 
+def test_recall_of_many_vectors(spark):
+    """50,000 vectors in one partition, whose batches Arrow may cut as it likes."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 32))[rng.integers(0, 500, 50_000)] + 0.6 * rng.normal(size=(50_000, 32))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": list(x)}))
+    want = brute(np.arange(50_000), x, range(0, 50_000, 100))
+    index, q = ann.build(df)
+    got = {}
+    for r in ann.search(index.coalesce(1), q, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[i] & {v for v, _ in want[i]}) for i in want]) >= 9
+
+
 def test_anisotropic_loss_is_what_codes_minimise():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16))

@@ -5,11 +5,13 @@ vectors y, scaled so that all coordinates matter alike. A product quantiser with
 coordinates (four bits a code, two codes a byte) is trained and applied under the anisotropic loss
     eta * |r_par|^2 + |r_orth|^2,
 where r = y - code(y) and r_par is its part parallel to y: errors that change large inner products cost more. Codes are
-improved by coordinate descent on that loss. A search adds up table entries for the codes of all rows of a partition,
-takes the best `rerank` rows or hundredth of the partition, whichever is more, and ranks these by exact distance in double precision; partitions' best are merged.
+improved by coordinate descent on that loss. A search adds up table entries for the codes of each run of SCAN_ROWS rows of
+a partition, takes the best `rerank` of the run and ranks these by exact distance in double precision; the best of all
+runs are merged.
 
 Codebooks are trained on at most `sample` vectors (TRAIN, 8,192 by default: those with the smallest hash of vec_id); every
-vector is encoded. Queries go out in blocks of at most QUERY_BLOCK vectors, which bounds what is sent with a task.
+vector is encoded. Queries go out in blocks of about QUERY_BLOCK vectors, which bounds what is sent with a task; each block
+scans all codes and adds its results to one table.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, or whose length is not the commonest
 one (the larger of equally common), take no part; neither do rows without vec_id. Ties go to the smaller vec_id; of
@@ -23,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import durable
+from timberline.llm.common import discard, durable, hash_sample, results
 
-TRAIN, QUERY_BLOCK, RERANK, K = 8_192, 1_024, 400, 10
+TRAIN, QUERY_BLOCK, SCAN_ROWS, RERANK, K = 8_192, 4_096, 16_384, 400, 10
 ETA, CODES = 4.0, 16
 
 
@@ -120,13 +123,13 @@ class Quantizer:
 
 def build(vectors: DataFrame, sample: int = TRAIN) -> tuple[DataFrame, Quantizer | None]:
     """(index with vec_id, v and code of every usable vector, quantiser)."""
-    rows = durable(usable(vectors), "vectors")
+    rows = found = durable(usable(vectors), "vectors")
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     if sizes is None:
         return rows.withColumn("code", F.lit(None).cast("binary")), None
     dim = sizes["dim"]
     rows = rows.where(F.size("v") == dim)
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    got = hash_sample(rows, "vec_id", sample).collect()
     q = Quantizer.train(np.array([r.v for r in got], np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +139,14 @@ def build(vectors: DataFrame, sample: int = TRAIN) -> tuple[DataFrame, Quantizer
                 code = q.pack(q.encode(x))
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "v", "code"])
 
-    rows = rows.select(F.col("vec_id").cast("long"), "v")
-    return durable(rows.mapInArrow(run, "vec_id long, v array<double>, code binary"), "ann-index"), q
+    index = durable(rows.select(F.col("vec_id").cast("long"), "v").mapInArrow(run, "vec_id long, v array<double>, code binary"), "ann-index")
+    discard(found)
+    return index, q
 
 
 def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, qids: np.ndarray, qx: np.ndarray, lut: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best k rows of one partition for each query: query number, vec_id, exact distance. ids ascend."""
-    n, keep = len(ids), min(len(ids), max(rerank, len(ids) // 100) + 1)  # one more: a query may find itself
+    """Best k of some rows for each query: query number, vec_id, exact distance. ids ascend."""
+    n, keep = len(ids), min(len(ids), rerank + 1)  # one more: a query may find itself
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(len(qids)):
         score = np.zeros(n, np.float32)
@@ -168,32 +172,42 @@ def search(index: DataFrame, q: Quantizer | None, is_query: Column, k: int = K,
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     wanted = index.where(is_query).select("vec_id", "v")
     blocks = max(1, -(-wanted.count() // block))
-    parts = []
+    put, found = results(index.sparkSession, "ann-found", schema)
     for n in range(blocks):  # a block's queries come to the driver and go out with the tasks
         got = sorted((r.vec_id, r.v) for r in wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect())
         if got:
-            parts.append(scan(index, q, np.array([g[0] for g in got]), np.array([g[1] for g in got], np.float64), k, rerank, schema))
-    if not parts:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+            shared = index.sparkSession.sparkContext.broadcast((q, np.array([g[0] for g in got]), np.array([g[1] for g in got], np.float64)))
+            put(scan(index, shared, k, rerank, schema))
+            shared.destroy()
+    ranked = found().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def scan(index: DataFrame, q: Quantizer, qids: np.ndarray, qx: np.ndarray, k: int, rerank: int, schema: str) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast((q, qids, qx))
+def runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of all batches in tables of `rows` rows, the last one shorter, whatever the batches' size."""
+    held, n = [], 0
+    for b in batches:
+        while b.num_rows:
+            take = min(rows - n, b.num_rows)
+            held.append(b.slice(0, take))
+            b, n = b.slice(take), n + take
+            if n == rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def scan(index: DataFrame, shared: Broadcast, k: int, rerank: int, schema: str) -> DataFrame:
+    """query_id, vec_id, score of the best k of each partition; shared holds the quantiser, the queries' ids and vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quant, ids_q, x_q = shared.value
         got: list[tuple[np.ndarray, ...]] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in runs(batches, SCAN_ROWS):
             ids = b.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            x = b.column("v").flatten().to_numpy().reshape(len(ids), -1)[order]
+            x = b.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
             codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             found = [nearest(ids[order], x, codes, ids_q[s : s + 64], x_q[s : s + 64], quant.tables(x_q[s : s + 64]), k, rerank) for s in range(0, len(ids_q), 64)]
             got.append((np.concatenate([f[0] + 64 * i for i, f in enumerate(found)]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])))

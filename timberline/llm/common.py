@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.plans.durable import discard, durable, shared_dir, small  # noqa: F401
+from timberline.plans.durable import discard, durable, results, shared_dir, small  # noqa: F401
 
 #: White space that separates words, as a Java character class and as a list for trim functions.
 SPACE_CLASS = "[ \\t-\\r]+"
