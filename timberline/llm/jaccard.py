@@ -45,7 +45,7 @@ from timberline.llm import common
 from timberline.llm.common import Chunk, chunks, discard, durable, free, mix, own
 
 SKETCH, SLICES = 1 << 20, 64
-MOST_MATCHES, VERIFY, HOT, COLD, ROUNDS = 6, 50.0, 2_000, 32, 3
+MOST_MATCHES, VERIFY, HOT, COLD, ROUNDS = 6, 50.0, 2_000, 32, 2
 #: Rows of a hot shingle that one part of a split join gets; bytes (as text) of a table that is broadcast.
 SPREAD, SMALL = 5_000, 4 << 20
 
@@ -269,39 +269,39 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     rows = docs.where("doc_id is not null")
     found = durable(entries(rows, k, num, den, sketch, partitions, others), "entries")
     held = durable(found.select("node").distinct().join(nodes.select("node", "doc_id", "th"), "node"), "held")
-    keyed = rows.select(F.col("doc_id").cast("long"), F.md5(F.col("text").cast("binary")).alias("th"), "text").join(small(held), ["doc_id", "th"]).select("node", "text")
+    keyed = rows.select(F.col("doc_id").cast("long"), F.md5(F.col("text").cast("binary")).alias("th"), "text").join(held, ["doc_id", "th"]).select("node", "text")
     texts = durable(keyed.dropDuplicates(["node"]), "texts")
     lists = durable(prefixes(found), "prefixes")
 
     comp = spark.createDataFrame([], "node long, comp long")
     tested = spark.createDataFrame([], "a long, b long")
     links, done = tested, [found, held, texts, lists]
+    live = found.withColumn("comp", F.col("node"))
     for r in range(ROUNDS + 1):
-        # entries of tokens that still meet different components
-        live = found.join(small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # entries of tokens that still meet different components; others never will again
         open_tokens = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("pop", F.xxhash64("node", F.lit(r)).alias("_h"), "node", "comp", "n")).alias("hub")).where("x <> y")
         open_tokens = durable(open_tokens.select("token", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n")), "open-tokens")
+        left = durable(live.join(open_tokens, "token"), "live")
+        discard(open_tokens, *([live] if r else []))
+        mine = [left]
         if r < ROUNDS:
-            near = live.join(open_tokens, "token").where((F.col("comp") != F.col("hub_comp")) & (F.col("n") * num <= F.col("hub_n") * den) & (F.col("hub_n") * num <= F.col("n") * den))
+            near = left.where((F.col("comp") != F.col("hub_comp")) & (F.col("n") * num <= F.col("hub_n") * den) & (F.col("hub_n") * num <= F.col("n") * den))
             near = near.select("node", "hub").groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select("node", F.col("m.hub").alias("y"))
             near = near.join(lists, "node").select(F.col("y").alias("node"), "x").join(lists.withColumnRenamed("x", "y"), "node").where(overlap_room("x", "y", num, den))
             pairs = near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-            mine = [open_tokens]
         else:
-            live = durable(live.join(open_tokens.select("token"), "token", "left_semi").select("token", "node", "comp", "n", "l", "i"), "live")
-            mine = [open_tokens, live]
-            pairs = candidates(live, num, den, mine)
+            pairs = candidates(left.select("token", "node", "comp", "n", "l", "i"), num, den, mine)
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        discard(*mine)
         done.append(pairs)
-        if pairs.limit(1).count() == 0 and r < ROUNDS:
-            continue
-        new = durable(verify(pairs, texts, k, num, den), "links")
-        tested, links = tested.unionByName(pairs), links.unionByName(new)
-        done.append(new)
-        labels = components(links)
-        comp = labels.select("node", "comp")
-        done.append(labels)
+        if r == ROUNDS or pairs.limit(1).count():
+            new = durable(verify(pairs, texts, k, num, den), "links")
+            tested, links = tested.unionByName(pairs), links.unionByName(new)
+            labels = components(links)
+            comp = labels.select("node", "comp")
+            done += [new, labels]
+        if r < ROUNDS:
+            live = durable(left.drop("comp", "hub", "hub_comp", "hub_n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "live")
+        discard(*mine)
     ids = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named_comp = durable(ids.join(least, "comp").select("node", "comp", "component_id"), "component-ids")
@@ -352,14 +352,14 @@ def candidates(live: DataFrame, num: int, den: int, made: list[DataFrame]) -> Da
     hot = durable(live.groupBy("token").agg(F.count("*").alias("k")).where(col("k") > COLD).select("token", F.ceil(col("k") / SPREAD).cast("int").alias("parts")), "hot-tokens")
     # a first shared token is in the part of a prefix that one match needs
     live = live.where((col("n") - col("i")) * den >= col("n") * num)
-    cold = live.join(small(hot), "token", "left_anti")
+    cold = live.join(hot, "token", "left_anti")
     a = cold.select("token", col("comp").alias("c"), col("node").alias("x"), col("n").alias("nx"), col("i").alias("ix"))
     b = cold.select("token", col("comp").alias("d"), col("node").alias("y"), col("n").alias("ny"), col("i").alias("iy"))
     few = a.join(b, "token").where((col("c") < col("d")) & first_here(col("nx"), col("nx") - col("ix"), col("ny"), col("ny") - col("iy"), num, den)).select(col("x").alias("node"), "y").distinct()
     few = few.join(prefix, "node").select(col("y").alias("node"), "x").join(prefix.withColumnRenamed("x", "y"), "node").where(overlap_room("x", "y", num, den))
     pairs = [few.select(col("x.node").alias("a"), col("y.node").alias("b"))]
 
-    rows = durable(live.join(small(hot), "token").select("token", "parts", "comp", "node", "i").join(prefix, "node").drop("node"), "hot-rows")
+    rows = durable(live.join(hot, "token").select("token", "parts", "comp", "node", "i").join(prefix, "node").drop("node"), "hot-rows")
     at = rows.groupBy("token", "comp", "parts").agg(F.count("*").alias("k"), F.min("x.n").alias("n"), F.max(col("x.n") - col("i")).alias("r"))
     at = durable(at, "hot-groups")
     made += [prefix, hot, rows, at]
