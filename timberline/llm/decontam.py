@@ -41,19 +41,21 @@ INSIDE = rf"[^\p{{L}}\p{{N}}%\s{NAME}{NUMBER}{START}]"
 
 
 def marked(text: Column) -> Column:
-    """The text in lower case with names, numbers and other words with a capital with their mark in front of them. Whole-text expressions: much cheaper than looking at each word."""
+    """The text in lower case with names, numbers and other words with a capital with their mark in front of them. Whole-text
+    expressions, much cheaper than looking at each word; each begins with a plain class that most places fail, and never goes back."""
     t = F.coalesce(text, F.lit(""))
     t = F.when(F.contains(t, F.lit(NAME)) | F.contains(t, F.lit(NUMBER)) | F.contains(t, F.lit(START)), F.translate(t, NAME + NUMBER + START, "")).otherwise(t)
-    t = F.regexp_replace(t, r"([\p{L}\p{N},;])[ \t]+[\"'(\[]?(?=\p{Lu}\p{Ll})", f"$1 {NAME}")
+    t = F.concat(F.lit(" "), t)
+    t = F.regexp_replace(t, r"[ \t](?<=[\p{L}\p{N},;][ \t])[ \t]*+[\"'(\[]?(?=\p{Lu}\p{Ll})", f" {NAME}")
     # other words with a capital may be names only where the text has names
-    t = F.when(F.contains(t, F.lit(NAME)), F.regexp_replace(t, r"(^|[ \t-\r])[\"'(\[]?(?=\p{Lu}\p{Ll})", f"$1{START}")).otherwise(t)
-    t = F.regexp_replace(t, r"(^|[ \t-\r])[^\p{L}\p{N}\s]*(?=\p{N})", f"$1{NUMBER}")
-    return F.concat(F.lit(" "), F.lower(t), F.lit(" "))
+    t = F.when(F.contains(t, F.lit(NAME)), F.regexp_replace(t, r"([ \t-\r])[\"'(\[]?(?=\p{Lu}\p{Ll})", f"$1{START}")).otherwise(t)
+    t = F.regexp_replace(t, r"([ \t-\r])(?![a-zA-Z])[^\p{L}\p{N}\s]*+(?=\p{N})", f"$1{NUMBER}")
+    return F.concat(F.lower(t), F.lit(" "))
 
 
 def split_words(t: Column) -> Column:
     """Words without outer punctuation."""
-    return F.array_remove(F.split(t, rf"{INSIDE}*[ \t-\r]+{INSIDE}*"), "")
+    return F.array_remove(F.split(t, rf"(?![a-z0-9]){INSIDE}*+[ \t-\r]++{INSIDE}*+"), "")
 
 
 def canonical(df: DataFrame) -> DataFrame:
