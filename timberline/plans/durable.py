@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that may be broadcast; larger tables go through a shuffled join.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of durable writes: shuffle files go when a write is done, Python gets batches of bounded size.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +47,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/timberline/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     fs, p = file_system(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
