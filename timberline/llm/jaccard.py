@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ SKETCH, SLICES = 1 << 20, 64
 MOST_MATCHES, VERIFY, HOT, COLD, ROUNDS = 6, 50.0, 2_000, 32, 2
 #: Rows of a hot shingle that one part of a split join gets; bytes (as text) of a table that is broadcast.
 SPREAD, SMALL = 5_000, 4 << 20
+#: Bytes of text that are compared at a time.
+PAIR_BYTES = 2 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -233,8 +236,10 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            size = sum(pc.binary_length(whole.column(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("ta", "tb"))
+            at = np.flatnonzero(np.diff(np.concatenate([[-1], (np.cumsum(size) - size) // PAIR_BYTES])))  # runs of pairs with so many bytes of text
+            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), whole.num_rows], strict=True):
+                b = whole.slice(lo, hi - lo)
                 (ra, ha, na), (rb, hb, nb) = (sets(b.column(x).to_pylist()) for x in ("ta", "tb"))
                 r, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
                 o = np.lexsort((h, r))
