@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from timberline.functions.losses import LOSSES
 from timberline.operators import metrics, profile, rowsets, targets
-from timberline.operators.boost import Config, Smoother, learn
+from timberline.operators.boost import Config, Smoother, learn, learn_fold
+from timberline.operators.ranges import ranked, running
 from timberline.operators.splits import Feature, Search, best_in_feature, candidates, cumulative, level_best_splits, ordered, stats
 from timberline.operators.tree import Node, Tree, grow
 from timberline.plans.learning import circle, with_terms
+from timberline.plans.training import train
 
 
 def test_merged_bins_and_ranks():
@@ -24,6 +27,54 @@ def test_merged_bins_and_ranks():
     assert profile.merged_bins(np.array([2.0, 1.0]), np.array([1, 4]), 5) == [(1, 1, 4), (2, 2, 1)]
 
 
+def plain_bins(values, counts, bins):
+    """Merging as it is told: one list of bins, all pairs looked at each time."""
+    rows = [[v, v, n] for v, n in sorted(zip(values, counts, strict=True))]
+    now, rest = rows[max(len(rows) - bins, 0) :], rows[: max(len(rows) - bins, 0)]
+    while rest:
+        now.insert(0, rest.pop())
+        k = min(range(len(now) - 1), key=lambda i: (now[i][2] + now[i + 1][2], i))
+        now[k : k + 2] = [[now[k][0], now[k + 1][1], now[k][2] + now[k + 1][2]]]
+    return [tuple(b) for b in now]
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 255])
+def test_merged_bins_against_a_plain_version(most):
+    rng = np.random.default_rng(most)
+    v, n = np.unique(rng.integers(0, 3000, 900)).astype(float), None
+    n = rng.integers(1, 30, len(v))
+    assert profile.merged_bins(v, n, most) == plain_bins(v.tolist(), n.tolist(), most)
+
+
+def test_downsample_of_several_columns(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), None if a % 7 == 0 else float(a * b % 11)) for a, b in rng.integers(0, 400, (1500, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    got = {}
+    for r in profile.downsample(df, ["a", "b", "c"], 4).collect():
+        got.setdefault(r["fid"], []).append((r["left"], r["right"], r["n"]))
+    for k in range(3):
+        v, n = np.unique([r[k] for r in rows if r[k] is not None], return_counts=True)
+        assert sorted(got[k]) == plain_bins(v.tolist(), n.tolist(), 15)
+
+
+def test_places_in_ranges(spark):
+    rng = np.random.default_rng(5)
+    v = rng.permutation(5000)
+    df = spark.createDataFrame([(int(x), int(x) % 3) for x in v], "v long, w long").repartition(7)
+    assert all(r["v"] == r["at"] for r in ranked(df, [F.col("v")], "at").collect())
+    total = np.cumsum([x % 3 for x in range(4999, -1, -1)])
+    assert all(r["s"] == total[4999 - r["v"]] for r in running(df, [F.desc("v")], s=F.col("w")).collect())
+    assert ranked(df.limit(0), [F.col("v")], "at").count() == 0
+
+
+def test_many_breakpoints(spark):
+    points = [float(k) for k in range(0, 600, 3)]
+    df = spark.createDataFrame([(k / 2,) for k in range(-5, 1300)], "v double")
+    got = profile.rank_encode(df, "v", points, "r").collect()
+    assert all(r["r"] == min(sum(p < r["v"] for p in points), len(points) - 1) for r in got)
+
+
 def test_ranks_of_breakpoints(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 3, 4, 5, 6, 9)], "v double")
     assert [r["r"] for r in profile.rank_encode(df, "v", [1, 2, 5, 6], "r").collect()] == [0, 0, 1, 2, 2, 2, 3, 3]
@@ -150,6 +201,59 @@ def test_boosting_learns_a_circle(spark):
     assert {f.stopped for f in fits} <= {"max_trees", "converged", "no split", "no errors"}
 
 
+def test_rate_is_cut_on_divergence(spark):
+    rows = [(i, 10.0 if (i % 4 < 2) == (i % 2 == 0) else -10.0, i % 2, float(i % 4 < 2)) for i in range(400)]
+    obs = spark.createDataFrame(rows, "row_id long, y double, fold int, x double")
+    fit = learn_fold(obs, 0, [Feature(0, "x")], Config(loss="square", rate=1.0, max_trees=5, sample=False), 1.0)
+    assert fit.rate == 0.25  # 400 and 225 are more than twice 100, 156.25 is not
+    assert fit.stopped == "converged"
+
+
+def xyz(spark, n=900, square=False):
+    """Points in a square: whether they are in the circle and of no class B, or the height of a bell."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(n):
+        x, y, p = round(rng.uniform(-2, 2), 5), round(rng.uniform(-2, 2), 5), "ABC"[rng.integers(3)]
+        inside = x * x + y * y <= 1 and p != "B"
+        rows.append((i, (3.0 if p == "B" else math.exp(-(x * x + y * y)) + rng.uniform(-0.05, 0.05)) if square else "NY"[inside != (rng.random() < 0.02)], float(x), float(y), None if square and p == "B" else p))
+    return spark.createDataFrame(rows, f"id long, z {'double' if square else 'string'}, x double, y double, p string").repartition(4)
+
+
+def test_learning_from_a_table(spark):
+    df = xyz(spark)
+    model, fits = train(df, ["z", "x", "y", "p"], "id", "name:z", Config(max_depth=4, rate=0.4, max_trees=12), width=5)
+    assert (model.positive, model.negative) == ("Y", "N")
+    assert set(model.columns()) <= {"x", "y", "p"}
+    got = model.score(df)
+    assert metrics.auc(got, F.when(F.col("z") == "Y", 1).otherwise(0), F.col("score")).first()["auc"] > 0.9
+    row = df.first().asDict()
+    assert model.score_one(row) == pytest.approx(model.score(df.where(F.col("id") == row["id"]), link="raw").first()["score"])
+
+
+def test_regression_from_a_table(spark):
+    df = xyz(spark, square=True)
+    model, _ = train(df, ["z", "x", "y", "p"], "id", "z", Config(loss="square", max_depth=3, rate=0.4, max_trees=10), width=5)
+    miss = model.score(df).agg(F.avg(F.pow(F.col("score") - F.col("z"), 2)).alias("m"), F.var_pop("z").alias("v")).first()
+    assert miss["m"] < 0.2 * miss["v"]
+
+
+def test_targets_are_looked_up(spark):
+    df = xyz(spark, 40).withColumn("n", (F.col("id") % 2 + 3).cast("int"))
+    columns = ["z", "x", "y", "p", "n"]
+    for target, error in (("w", "no feature"), ("x", "two values"), ("p", "two values")):
+        with pytest.raises(ValueError, match=error):
+            train(df, columns, "id", target, Config(max_trees=2))
+    with pytest.raises(ValueError, match="numeric target"):
+        train(df, columns, "id", "p", Config(loss="square", max_trees=2))
+    with pytest.raises(ValueError, match="folds"):
+        train(df, columns, "id", "z", Config(folds=40, max_trees=2))
+    with pytest.raises(ValueError, match="both ways"):
+        train(df, columns, "id", "z", Config(max_trees=2), positive=("x",), negative=("x", "y"))
+    model, _ = train(df, columns, "id", "n", Config(max_trees=2))
+    assert (model.positive, model.negative) == ("4", "3")
+
+
 def test_config_is_checked():
     for bad in ({"rate": 0}, {"folds": 1}, {"loss": "hinge"}, {"forget": 0}, {"max_trees": 0}, {"max_gamma": -1.0}, {"max_depth": 0}):
         with pytest.raises(ValueError, match="."):
@@ -176,6 +280,14 @@ def test_targets(spark):
     assert positive == "a"
     with pytest.raises(ValueError, match="two values"):
         targets.binary_target(spark.createDataFrame([("a",), ("b",), ("c",)], "v string"), "v")
+    y, positive = targets.binary_target(spark.createDataFrame([(7,)] * 3 + [(2,)], "v int"), "v")
+    assert positive == "7" and y.where("y > 0").count() == 3
+    y, positive = targets.binary_target(spark.createDataFrame([(-1.5,), (None,), (0.0,)], "v double"), "v")
+    assert positive == "0.0" and y.where("y > 0").count() == 2
+    with pytest.raises(ValueError, match="two values"):
+        targets.binary_target(spark.createDataFrame([(1,), (2,), (3,)], "v int"), "v")
+    with pytest.raises(ValueError, match="numeric target"):
+        targets.regression_target(F.lit(0), "cat", [])
     with pytest.raises(ValueError, match="folds"):
         targets.rank_folds(F.lit(1), 2, 3)
 
@@ -209,3 +321,16 @@ def test_row_sets_of_bits(spark):
     assert rowsets.packed(df, "i", "a").agg(F.sum(F.bitmap_count("bits"))).first()[0] == sum(a for _, a, _ in bits)
     with pytest.raises(ValueError, match="length"):
         rowsets.same_length(df, df.limit(3))
+
+
+def test_sleeping_features():
+    s = rowsets.FeatureSet({0: "a", 1: "b", 2: None}).deactivate("a").deactivate_if(lambda i, n: n is None)
+    assert s.active() == {1} and s.included == {0, 1, 2}
+    assert s.activate("any").exclude(1).active() == {0, 2}
+
+
+def test_lists_of_rows_ascend(spark):
+    df = spark.range(5)
+    assert [r["bit"] for r in rowsets.from_list(df, "id", [1, 4], "bit").orderBy("id").collect()] == [False, True, False, False, True]
+    with pytest.raises(ValueError, match="ascend"):
+        rowsets.from_list(df, "id", [1, 1], "bit")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import shutil
 import subprocess
 import sys
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from timberline.operators.tree import Node, Tree
 from timberline.plans import codegen
 from timberline.sources import csvio, store
-from timberline.sources.model import Model, ScoringError
+from timberline.sources.model import CategoryMissing, CategoryNotFound, Model, ScoringError, TypeMismatch, ValueMissing
 from timberline.streaming import scoring
 
 
@@ -114,10 +115,75 @@ def test_generated_c():
     text = codegen.to_c(model(), static=True)
     assert "static double f(int c, double x) {" in text
     assert "/* c: 0 = a, 1 = b, 2 = (other) */" in text
-    assert text.count("{") == text.count("}") == 5
+    assert text.count("{") == text.count("}") == 6
     assert [x.strip() for x in text.splitlines() if "+=" in x] == ["f += 0.7;", "f += 0.1;", "f += -0.4;"]
 
 
+def compiles(folder) -> bool:
+    """Whether a C compiler is there and whole."""
+    (folder / "empty.c").write_text("int main(void) { return 0; }\n")
+    return shutil.which("gcc") is not None and subprocess.run(["gcc", str(folder / "empty.c"), "-o", str(folder / "empty")], capture_output=True).returncode == 0
+
+
+def test_generated_python_keeps_names_apart():
+    m, rows = clashing()
+    space: dict = {}
+    exec(codegen.to_python(m), space)
+    assert [space["eval_by_name"](r) for r in rows] == [m.score_one(r) for r in rows]
+    assert "double a_b, double a_b_2" in codegen.to_c(m)
+
+
+def clashing():
+    """A model whose names clean up to one, and rows for it."""
+    tree = Tree({1: Node(0, fid=0, column="a.b", split=1.0), 2: Node(1.0), 3: Node(0, fid=1, column="a_b", split=2.0), 6: Node(20.0), 7: Node(300.0)})
+    cat = Tree({1: Node(0, fid=2, column="c", kind="cat", split=0.0, right_codes=[1]), 2: Node(0.25), 3: Node(0.5)})
+    rows = [{"a.b": 2, "a_b": 3, "c": 'q"\\'}, {"a.b": 2, "a_b": 1, "c": "é"}, {"a.b": 0, "a_b": 9, "c": None}]
+    return Model([tree, cat], categories={"c": ["é", 'q"\\', None]}), rows
+
+
+def test_generated_c_runs(tmp_path):
+    if not compiles(tmp_path):
+        pytest.skip("no C compiler")
+    m, rows = clashing()
+    main = '#include <stdio.h>\nint main(void) { printf("%.6f %.6f %.6f %d", f(2, 3, f_code_c("q\\"\\\\")), f(2, 1, f_code_c("\u00e9")), f(0, 9, f_code_c(0)), f_code_c("new")); return 0; }\n'
+    (tmp_path / "m.c").write_text(codegen.to_c(m) + main)
+    subprocess.run(["gcc", str(tmp_path / "m.c"), "-o", str(tmp_path / "m"), "-lm"], check=True)
+    want = " ".join(f"{m.score_one(r):.6f}" for r in rows) + " 2"
+    assert subprocess.run([str(tmp_path / "m")], capture_output=True, text=True).stdout == want
+
+
+def test_names_with_marks(spark):
+    m = Model([Tree({1: Node(0, fid=0, column="a.b", split=1.0), 2: Node(-1.0), 3: Node(1.0)})])
+    df = spark.createDataFrame([(2.0,), (0.0,), (None,)], "`a.b` double")
+    assert [r["score"] for r in df.select(m.raw().alias("score")).collect()][:2] == [1.0, -1.0]
+    assert [r[0] for r in df.selectExpr(codegen.to_sql(m)).collect()][:2] == [1.0, -1.0]
+
+
+def test_errors_of_one_row():
+    m = Model([Tree({1: Node(0, fid=0, column="c", kind="cat", split=0.0, right_codes=[0]), 2: Node(1.0), 3: Node(0, fid=1, column="x", split=0.0), 6: Node(2.0), 7: Node(3.0)})], categories={"c": ["a"]})
+    for row, error in (({"c": "z"}, CategoryNotFound), ({"c": None}, CategoryMissing), ({"c": "a", "x": "t"}, TypeMismatch)):
+        with pytest.raises(error):
+            m.score_one(row)
+    with pytest.raises(ValueMissing):
+        m.score_one({"c": "a"}, missing_ok=False)
+
+
+def test_copies_of_a_table(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.0, 'x "y"\n'), (0, 2.5, None)], "a int, b double, c string")
+    names = csvio.write_subset(df, str(tmp_path / "s"), ["i ."], form="sparse")
+    got, rows = csvio.read(spark, str(tmp_path / "s" / "header.csv"))
+    assert got == names == ["a", "b", "c"]
+    lines = spark.read.text(str(tmp_path / "s" / "part-*")).withColumnRenamed("value", "line").withColumn("line_no", F.monotonically_increasing_id())
+    cells = {tuple((c["fid"], c["value"]) for c in sorted(csvio.to_cells(csvio.parse(lines)).where(F.col("row_id") == i).collect())) for i in [r["line_no"] for r in lines.collect()]}
+    assert cells == {((0, "1"), (2, 'x "y"\n')), ((1, "2.5"),)}
+    csvio.write_subset(df, str(tmp_path / "h"), ["i ."], form="header")
+    assert spark.read.text(str(tmp_path / "h")).collect()[0][0] == '"a","b","c"'
+    csvio.write_subset(df, str(tmp_path / "n"), ["i a"], header=False)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "n")).collect()) == ["0", "1"]
+    csvio.write_predictions(df, str(tmp_path / "p"), "b", header="p")
+    assert sorted({r[0] for r in spark.read.text(str(tmp_path / "p")).collect()}) == ["0.000000", "2.500000", "p"]
+
+
 def test_streams(spark, tmp_path):
     df = spark.createDataFrame([(float(i), "ab"[i % 2]) for i in range(8)], "x double, c string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -6,6 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def named(column: str) -> Column:
+    """A column whatever marks are in its name."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def basename(path: Column) -> Column:
+    """What follows the last slash."""
+    return F.regexp_extract(path, r"([^/]*)/*$", 1)
+
+
+def timestamp_text(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+
+
 def probability(f: Column) -> Column:
     return 1 / (1 + F.exp(-2 * f))
 

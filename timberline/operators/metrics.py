@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.losses import LOSSES
-from timberline.functions.scalar import binary_log_loss
+from timberline.functions.scalar import binary_log_loss, trapezoid
+from timberline.operators.ranges import running
 
 
 def fold_table(state: DataFrame, fold: int, loss: str) -> DataFrame:
@@ -37,10 +38,11 @@ def confusion(df: DataFrame, y: Column, p: Column) -> DataFrame:
 
 
 def auc(df: DataFrame, y: Column, p: Column) -> DataFrame:
-    """auc: area under the ROC curve, tied scores as one trapezoid. Distinct scores, not rows, are ordered."""
+    """auc: area under the ROC curve, tied scores as one trapezoid. Distinct scores, not rows, are ordered, in ranges."""
     g = df.groupBy(p.alias("p")).agg(F.sum(F.when(y == 1, 1.0).otherwise(0.0)).alias("tp"), F.sum(F.when(y == 0, 1.0).otherwise(0.0)).alias("fp"))
-    w = g.withColumn("ctp", F.sum("tp").over(Window.orderBy(F.desc("p"))))
-    return w.agg(F.try_divide(F.sum(F.col("fp") * (F.col("ctp") - F.col("tp") / 2)), F.sum("tp") * F.sum("fp")).alias("auc"))
+    w = running(g, [F.desc("p")], ctp=F.col("tp"))
+    area = F.sum(trapezoid(F.lit(0.0), F.col("ctp") - F.col("tp"), F.col("fp"), F.col("ctp")))
+    return w.agg(F.try_divide(area, F.sum("tp") * F.sum("fp")).alias("auc"))
 
 
 def log_loss(df: DataFrame, y: Column, p: Column) -> DataFrame:

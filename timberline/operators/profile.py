@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.scalar import cell_kind
+from timberline.operators.ranges import ranked
+
+#: Breakpoints between two that are compared first.
+STEP = 16
 
 
 def cells(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,15 +47,15 @@ def samples(df: DataFrame, column: str, n: int = 5) -> DataFrame:
 
 
 def breakpoints(df: DataFrame, column: str) -> DataFrame:
-    """v, rank: distinct values in order, from 0. The distinct values of a column that is to be ranked exactly are few."""
+    """v, rank: distinct values in order, from 0."""
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null").distinct()
-    return values.select("v", (F.row_number().over(Window.orderBy("v")) - 1).alias("rank"))
+    return ranked(values, [F.col("v")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """v, n, code: categories by falling frequency, ties by name; missing values have one place of their own (v is null)."""
     counts = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    return counts.select("v", "n", (F.row_number().over(Window.orderBy(F.desc("n"), F.asc_nulls_last("v"))) - 1).alias("code"))
+    return ranked(counts, [F.desc("n"), F.asc_nulls_last("v")], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, out: str) -> DataFrame:
@@ -59,26 +65,50 @@ def encode(df: DataFrame, column: str, codes: DataFrame, out: str) -> DataFrame:
 
 
 def rank_encode(df: DataFrame, column: str, points: list[float], out: str) -> DataFrame:
-    """df with the rank of column among breakpoints (a short list); missing values are 0."""
-    array = F.array(*[F.lit(float(p)) for p in points])
+    """df with the rank of column among breakpoints (a short list, ascending); missing values are 0. Every STEP-th point is
+    compared first, then the points between two of these."""
     v = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
-    return df.withColumn(out, F.least(F.size(F.filter(array, lambda b: b < v)), F.lit(len(points) - 1)))
+    below = lambda some: F.size(F.filter(some, lambda b: b < v))
+    every, coarse = F.array(*[F.lit(float(p)) for p in points]), [F.lit(float(p)) for p in points[STEP - 1 :: STEP]]
+    df = df.withColumn("_at", below(F.array(*coarse)) * STEP if coarse else F.lit(0))
+    return df.withColumn(out, F.least(F.col("_at") + below(F.slice(every, F.col("_at") + 1, STEP)), F.lit(len(points) - 1))).drop("_at")
 
 
 def merged_bins(values: np.ndarray, counts: np.ndarray, bins: int) -> list[tuple[float, float, int]]:
     """Bins [left, right, count] of a histogram: the largest `bins` values start as bins of their own; the others come in
     falling order, and each time the adjacent pair with the smallest joint count (the lowest such pair) becomes one."""
-    order = np.argsort(values)
-    v, n = np.asarray(values, float)[order], np.asarray(counts, np.int64)[order]
-    if len(v) <= bins:
-        return [(float(x), float(x), int(c)) for x, c in zip(v, n, strict=True)]
-    left, right, size = (np.array(a[len(v) - bins :]) for a in (v, v, n))
-    for i in range(len(v) - bins - 1, -1, -1):
-        left, right, size = (np.concatenate([[x], a]) for x, a in ((v[i], left), (v[i], right), (n[i], size)))
-        k = int(np.argmin(size[:-1] + size[1:]))
-        right[k], size[k] = right[k + 1], size[k] + size[k + 1]
-        left, right, size = np.delete(left, k + 1), np.delete(right, k + 1), np.delete(size, k + 1)
-    return [(float(a), float(b), int(c)) for a, b, c in zip(left, right, size, strict=True)]
+    order = np.argsort(values)[::-1]
+    b = Bins(bins)
+    b.add(np.asarray(values, float)[order].tolist(), np.asarray(counts, np.int64)[order].tolist())
+    return b.rows()
+
+
+class Bins:
+    """The state of merging: at most `most` bins, whatever comes; values must fall."""
+
+    def __init__(self, most: int):
+        self.most, self.left, self.right, self.size, self.pairs = most, [], [], [], []
+
+    def add(self, values: list[float], counts: list[int]) -> None:
+        left, right, size, pairs = self.left, self.right, self.size, self.pairs
+        for v, n in zip(values, counts, strict=True):
+            if size:
+                pairs.insert(0, n + size[0])
+            left.insert(0, v)
+            right.insert(0, v)
+            size.insert(0, n)
+            if len(size) > self.most:
+                k = pairs.index(min(pairs))
+                right[k] = right.pop(k + 1)
+                size[k] += size.pop(k + 1)
+                del left[k + 1], pairs[k]
+                if k < len(pairs):
+                    pairs[k] = size[k] + size[k + 1]
+                if k:
+                    pairs[k - 1] = size[k - 1] + size[k]
+
+    def rows(self) -> list[tuple[float, float, int]]:
+        return list(zip(self.left, self.right, self.size, strict=True))
 
 
 def bin_breakpoints(bins: list[tuple[float, float, int]]) -> list[float]:
@@ -87,14 +117,23 @@ def bin_breakpoints(bins: list[tuple[float, float, int]]) -> list[float]:
 
 def downsample(df: DataFrame, columns: list[str], width: int = 8) -> DataFrame:
     """fid, left, right, n: at most 2**width - 1 bins of every numeric column. Greedy merging depends on order, so each
-    feature's histogram (distinct values, not rows) goes to one task."""
+    feature's histogram (distinct values, not rows) goes to one task, which reads it in falling order and holds the bins only."""
     h = cells(df, columns).select("fid", F.col("value").cast("double").alias("v")).where("v is not null").groupBy("fid", "v").agg(F.count("*").alias("n"))
 
-    def bins(p: pd.DataFrame) -> pd.DataFrame:
-        b = merged_bins(p["v"].to_numpy(), p["n"].to_numpy(), 2**width - 1)
-        return pd.DataFrame({"fid": p["fid"].iloc[0], "left": [x[0] for x in b], "right": [x[1] for x in b], "n": [x[2] for x in b]})
+    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fid, state = None, None
+        out = lambda: pd.DataFrame([(fid, *r) for r in state.rows()], columns=["fid", "left", "right", "n"])
+        for b in batches:
+            for f, p in b.groupby("fid", sort=True):
+                if f != fid:
+                    if state:
+                        yield out()
+                    fid, state = f, Bins(2**width - 1)
+                state.add(p["v"].tolist(), p["n"].tolist())
+        if state:
+            yield out()
 
-    return h.groupBy("fid").applyInPandas(bins, "fid int, left double, right double, n long")
+    return h.repartition("fid").sortWithinPartitions("fid", F.desc("v")).mapInPandas(bins, "fid int, left double, right double, n long")
 
 
 def runs(df: DataFrame, order: str, value: str, span: int | None = None) -> DataFrame:
@@ -108,10 +147,13 @@ def runs(df: DataFrame, order: str, value: str, span: int | None = None) -> Data
     w = Window.partitionBy("_p").orderBy("i")
     marked = rows.withColumn("_b", F.when(F.lag("i").over(w).isNull() | ~F.col("v").eqNullSafe(F.lag("v").over(w)), 1).otherwise(0)).withColumn("_g", F.sum("_b").over(w))
     part = marked.groupBy("_p", "_g").agg(F.min("i").alias("start"), F.count("*").alias("length"), F.max("v").alias("value"))
-    # few rows now: runs that continue over a range's end
+    part = part.withColumn("_last", F.col("_g") == F.max("_g").over(Window.partitionBy("_p"))).withColumn("_edge", F.col("_last") | (F.col("_g") == 1))
+    # only the first and the last run of a range, two rows a range, can go on in another range
     o = Window.orderBy("start")
-    joined = part.withColumn("_n", F.when(F.lag("start").over(o).isNull() | ~F.col("value").eqNullSafe(F.lag("value").over(o)), 1).otherwise(0)).withColumn("_k", F.sum("_n").over(o))
-    return joined.groupBy("_k").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.max("value").alias("value")).drop("_k")
+    goes_on = F.lag("_last").over(o) & (F.col("_g") == 1) & F.col("value").eqNullSafe(F.lag("value").over(o))
+    joined = part.where("_edge").withColumn("_n", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_k", F.sum("_n").over(o))
+    joined = joined.groupBy("_k").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.max("value").alias("value")).drop("_k")
+    return joined.unionByName(part.where("not _edge").select("start", "length", "value"))
 
 
 def expand(run_table: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,14 @@ def from_indexes(df: DataFrame, row_id: str, indexes: DataFrame, out: str) -> Da
     return df.join(i, F.col(row_id) == F.col("_i"), "left").withColumn(out, F.coalesce("_in", F.lit(False))).drop("_i", "_in")
 
 
+def from_list(df: DataFrame, row_id: str, indexes: list[int], out: str) -> DataFrame:
+    """df with out = whether row_id is in a list, which must ascend strictly."""
+    if any(a >= b for a, b in zip(indexes, indexes[1:], strict=False)):
+        raise ValueError("indexes must ascend")
+    rows = df.sparkSession.createDataFrame([(i,) for i in indexes], "i long")
+    return from_indexes(df, row_id, rows, out)
+
+
 def combine(a: Column, b: Column, op: str) -> Column:
     return {"and": a & b, "or": a | b, "xor": a != b, "and_not": a & ~b}[op]
 
@@ -83,10 +92,26 @@ def exclude_features(cat: DataFrame, pattern: str) -> DataFrame:
 
 
 class FeatureSet:
-    """Included and excluded feature ids; features move between both by name, id or pattern."""
+    """Included and excluded feature ids; features move between both by name, id or pattern. A feature may be put to sleep
+    without leaving its side; only included ones that are awake are active."""
 
     def __init__(self, names: dict[int, str | None], included: bool = True):
-        self.names, self.included = names, set(names) if included else set()
+        self.names, self.included, self.asleep = names, set(names) if included else set(), set()
+
+    def activate(self, what) -> FeatureSet:
+        self.asleep -= self._match(what)
+        return self
+
+    def deactivate(self, what) -> FeatureSet:
+        self.asleep |= self._match(what)
+        return self
+
+    def deactivate_if(self, test: Callable[[int, str | None], bool]) -> FeatureSet:
+        self.asleep |= {i for i, n in self.names.items() if test(i, n)}
+        return self
+
+    def active(self) -> set[int]:
+        return self.included - self.asleep
 
     def _match(self, what) -> set[int]:
         if what == "any":

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.losses import Logistic, Square, side
+from timberline.functions.scalar import named
 
 
 @dataclass(frozen=True)
@@ -33,9 +34,18 @@ class Search:
     digits: int = 6
 
 
+def constrained(features: list[Feature], positive: set[str], negative: set[str]) -> list[Feature]:
+    """features with the constraints of two sets of column names, which must not meet; names of no feature raise."""
+    if both := positive & negative:
+        raise ValueError(f"monotone both ways: {', '.join(sorted(both))}")
+    if lost := (positive | negative) - {f.column for f in features}:
+        raise ValueError(f"no feature: {', '.join(sorted(lost))}")
+    return [replace(f, monotone=1 if f.column in positive else -1 if f.column in negative else f.monotone) for f in features]
+
+
 def long_form(obs: DataFrame, features: list[Feature], *keep: str) -> DataFrame:
     """keep, fid, x: one row for each feature of each row (unpivot)."""
-    cells = F.explode(F.array(*[F.struct(F.lit(f.fid).alias("fid"), F.col(f.column).cast("double").alias("x")) for f in features]))
+    cells = F.explode(F.array(*[F.struct(F.lit(f.fid).alias("fid"), named(f.column).cast("double").alias("x")) for f in features]))
     return obs.select(*keep, cells.alias("c")).select(*keep, "c.fid", "c.x")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.scalar import named
 from timberline.operators.splits import Feature, Search, goes_right, level_best_splits
 
 
@@ -41,15 +43,16 @@ class Tree:
         n = self.nodes[i]
         if n.fid is None:
             return F.lit(float(n.gamma))
-        right = goes_right(n.kind, F.col(n.column), n.split, n.right_codes)
+        right = goes_right(n.kind, named(n.column), n.split, n.right_codes)
         return F.when(right, self.column(2 * i + 1)).otherwise(self.column(2 * i))
 
     def sql(self, i: int = 1) -> str:
-        """The same as SQL text that Spark and other engines read."""
+        """The same as SQL text that Spark and, where names need no quotes, other engines read."""
         n = self.nodes[i]
         if n.fid is None:
             return repr(float(n.gamma)) if abs(n.gamma) >= 1e-4 or n.gamma == 0 else f"{n.gamma:.18f}"
-        test = f"{n.column} > {n.split!r}" if n.kind == "ord" else f"{n.column} in ({', '.join(map(str, n.right_codes or [-1]))})"
+        name = n.column if re.fullmatch(r"[A-Za-z_][A-Za-z_0-9]*", n.column) else "`" + n.column.replace("`", "``") + "`"
+        test = f"{name} > {n.split!r}" if n.kind == "ord" else f"{name} in ({', '.join(map(str, n.right_codes or [-1]))})"
         return f"case when {test} then {self.sql(2 * i + 1)} else {self.sql(2 * i)} end"
 
     def paths(self) -> list[tuple[int, float, list[int]]]:
@@ -81,7 +84,7 @@ def node_column(tree: Tree, level: int) -> Column:
             return F.lit(i)
         if n.fid is None:
             return F.lit(None).cast("int")
-        return F.when(goes_right(n.kind, F.col(n.column), n.split, n.right_codes), at(2 * i + 1, depth + 1)).otherwise(at(2 * i, depth + 1))
+        return F.when(goes_right(n.kind, named(n.column), n.split, n.right_codes), at(2 * i + 1, depth + 1)).otherwise(at(2 * i, depth + 1))
 
     return at(1, 0)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import scalar
 from timberline.operators import profile, rowsets, targets
+from timberline.plans.durable import small
 from timberline.plans.registry import query, table
 
 PROFILED = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus"]
@@ -22,10 +23,13 @@ def column_profile(spark, sf_dir):
     return profile.column_profile(table(spark, sf_dir, "lineitem"), PROFILED)
 
 
-@query("uniform_columns", """select 0 fid, 'one' as name from customer having count(distinct 1) = 1""")
+@query("uniform_columns", """
+with d as (select 0 fid, 'one' as name, count(distinct one) d from (select 'x' one from customer) c
+  union all select 1, 'c_mktsegment', count(distinct c_mktsegment) from customer union all select 2, 'c_custkey', count(distinct c_custkey) from customer)
+select fid, name from d where d < 2""")
 def uniform_columns(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("one", F.lit("x"))
-    return profile.column_profile(c, ["one", "c_mktsegment"]).where("kind = 'uniform'").select("fid", "name")
+    return profile.column_profile(c, ["one", "c_mktsegment", "c_custkey"]).where("kind = 'uniform'").select("fid", "name")
 
 
 @query("cells_long", "select fid, name, count(*) n, count(distinct value) d from (select 0 fid, 'o_orderstatus' as name, o_orderstatus as value from orders union all select 1, 'o_orderpriority', o_orderpriority from orders) c group by fid, name")
@@ -57,7 +61,7 @@ def category_dictionary(spark, sf_dir):
 @query("category_encode", "with c as (select c_mktsegment v, row_number() over (order by count(*) desc, c_mktsegment) - 1 code from customer group by c_mktsegment) select c_custkey, cast(code as int) code from customer join c on v = c_mktsegment")
 def category_encode(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return profile.encode(c, "c_mktsegment", F.broadcast(profile.dictionary(c, "c_mktsegment")), "code").select("c_custkey", "code")
+    return profile.encode(c, "c_mktsegment", small(profile.dictionary(c, "c_mktsegment")), "code").select("c_custkey", "code")
 
 
 @query("anonymous_category_encode", """
@@ -66,7 +70,7 @@ c as (select v, row_number() over (order by count(*) desc, v nulls last) - 1 cod
 select doc_id, cast(code as int) code from t join c on t.v is not distinct from c.v""")
 def anonymous_category_encode(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") != "en", F.col("lang")).alias("v"))
-    return profile.encode(d, "v", F.broadcast(profile.dictionary(d, "v")), "code").select("doc_id", "code")
+    return profile.encode(d, "v", small(profile.dictionary(d, "v")), "code").select("doc_id", "code")
 
 
 @query("rank_breakpoints", "select v, cast(row_number() over (order by v) - 1 as int) \"rank\" from (select distinct l_discount v from lineitem) t")
@@ -138,9 +142,9 @@ def bit_width(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalar.bit_width(n).alias("w"), scalar.byte_width(n).alias("b"))
 
 
-@query("duration_seconds", "select p_partkey, p_size * 60.0::double + 30 s, cast(null as double) bad from part")
+@query("duration_seconds", "select p_partkey, (p_size + 0.5::double) * (case p_partkey % 5 when 0 then 1 when 1 then 60 when 2 then 3600 when 3 then 86400 else 1 end) s, cast(null as double) bad from part")
 def duration_seconds(spark, sf_dir):
-    text = F.concat((F.col("p_size") + 0.5).cast("string"), F.lit("m"))
+    text = F.concat((F.col("p_size") + 0.5).cast("string"), F.get(F.array(*map(F.lit, ["s", "m", "h", "d", ""])), F.pmod("p_partkey", F.lit(5)).cast("int")))
     return table(spark, sf_dir, "part").select("p_partkey", scalar.duration_seconds(text).alias("s"), scalar.duration_seconds(F.lit("soon")).alias("bad"))
 
 
@@ -186,12 +190,16 @@ def column_subset_regex(spark, sf_dir):
     return li.select(*rowsets.select_columns(li.columns, ["i key$", "x ^l_(part|supp)", "i ^l_quantity$", "i price", "i ta", "x status"]))
 
 
-@query("feature_lookup", "select * from (values ('id:5', 5, 'p_retailprice', 'double'), ('name:p_size', 4, 'p_size', 'int')) v(descriptor, fid, name, type)")
+#: A table's columns as SQL sees them.
+HAVE = "(select cast(row_number() over () - 1 as int) fid, column_name as name, case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' else lower(column_type) end as type from (describe {t})) h"
+
+
+@query("feature_lookup", f"select case name when 'p_size' then 'name:p_size' else 'id:5' end descriptor, fid, name, type from {HAVE.format(t='part')} where fid = 5 or name = 'p_size'")
 def feature_lookup(spark, sf_dir):
     return rowsets.find_features(rowsets.catalog(table(spark, sf_dir, "part")), ["id:5", "name:p_size"])
 
 
-@query("feature_exclusion", "select * from (values (0, 'p_partkey'), (1, 'p_name'), (5, 'p_retailprice')) v(fid, name)")
+@query("feature_exclusion", f"select fid, name from {HAVE.format(t='part')} where not regexp_matches(name, 'brand|type|size')")
 def feature_exclusion(spark, sf_dir):
     return rowsets.exclude_features(rowsets.catalog(table(spark, sf_dir, "part")), "brand|type|size").select("fid", "name")
 
@@ -278,7 +286,7 @@ def store_brief(spark, sf_dir):
     return store.brief(store.build(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey")[0])
 
 
-@query("missing_features", "select 'c_phone' as name")
+@query("missing_features", f"select n as name from (values ('c_phone'), ('c_acctbal')) v(n) where n not in (select name from {HAVE.format(t='customer')})")
 def missing_features(spark, sf_dir):
     have = rowsets.catalog(table(spark, sf_dir, "customer"))
     return spark.createDataFrame([("c_phone",), ("c_acctbal",)], "name string").join(have, "name", "left_anti")
@@ -286,4 +294,36 @@ def missing_features(spark, sf_dir):
 
 @query("prediction_lines", "select printf('%.6f', c_acctbal / 10000) line from customer")
 def prediction_lines(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.format_string("%.6f", F.col("c_acctbal") / 10000).alias("line"))
+    from timberline.sources import csvio
+
+    return csvio.prediction_lines(table(spark, sf_dir, "customer").withColumn("p", F.col("c_acctbal") / 10000), "p").select(F.col("value").alias("line"))
+
+
+@query("sparse_lines", """
+select '{' || concat_ws(', ', case when c_custkey <> 0 then '0 ' || c_custkey end, case when c_nationkey <> 0 then '1 ' || c_nationkey end, '2 "' || c_mktsegment || '"') || '}' line from customer""")
+def sparse_lines(spark, sf_dir):
+    from timberline.sources import csvio
+
+    c = table(spark, sf_dir, "customer")
+    return c.select(csvio.sparse_line(c, ["c_custkey", "c_nationkey", "c_mktsegment"]).alias("line"))
+
+
+@query("path_basename", "select p_partkey, p_brand as name from part")
+def path_basename(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scalar.basename(F.concat(F.lit("/a/b.c/"), "p_brand", F.lit("/"))).alias("name"))
+
+
+@query("timestamp_text", "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as \"at\" from events")
+def timestamp_text(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.timestamp_text(F.col("ts")).alias("at"))
+
+
+@query("monotone_sets", "select c_nationkey fid, 1 monotone from (select distinct c_nationkey from customer) c where c_nationkey in (select s_nationkey from supplier)")
+def monotone_sets(spark, sf_dir):
+    """Constraint sets as feature lists: nations of suppliers, as columns, among those of customers."""
+    from timberline.operators.splits import Feature, constrained
+
+    nations = [r[0] for r in table(spark, sf_dir, "customer").select("c_nationkey").distinct().collect()]
+    up = {f"f_{r[0]}" for r in table(spark, sf_dir, "supplier").select(F.col("s_nationkey")).distinct().collect()} & {f"f_{n}" for n in nations}
+    found = constrained([Feature(n, f"f_{n}") for n in nations], up, set())
+    return spark.createDataFrame([(f.fid, f.monotone) for f in found if f.monotone], "fid int, monotone int")

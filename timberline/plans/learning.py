@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.losses import LOSSES
-from timberline.functions.scalar import probability
+from timberline.functions.scalar import binary_log_loss, probability
 from timberline.operators import metrics, splits, targets
+from timberline.operators.profile import dictionary, encode
 from timberline.operators.splits import Feature, Search
 from timberline.operators.tree import Node, Tree, grow
+from timberline.plans.durable import small
 from timberline.plans.registry import query, table
 
 TARGET = "case when l_returnflag = 'R' then 1.0 else -1.0 end"
@@ -91,21 +93,17 @@ def priced(spark, sf_dir: str) -> DataFrame:
     return with_terms(o, "square")
 
 
-@query("best_stump_square", f"{BASE_O}, {RESIDUAL}, {scan_sql('square')} select x, cast(ln_ as bigint) left_n, round(gl, 4) gl, round(gr, 4) gr from (select *, row_number() over (order by round(loss / 1e6, 3), pos) rk from sp) r where rk = 1")
+@query("best_stump_square", f"{BASE_O}, {RESIDUAL}, {scan_sql('square')} select x, cast(ln_ as bigint) left_n, round(gl, 4) gl, round(gr, 4) gr from (select *, row_number() over (order by round(loss, -3), pos) rk from sp) r where rk = 1")
 def best_stump_square(spark, sf_dir):
-    s = Search(LOSSES["square"], [Feature(0, "x")])
-    st = splits.stats(priced(spark, sf_dir), s.features)
-    found = splits.candidates(splits.cumulative(splits.ordered(st, s.features)), s).withColumn("loss", F.round(F.col("loss") / 1e6, 3))
-    return splits.best_of_node(splits.best_in_feature(found)).select("x", "left_n", F.round("gl", 4).alias("gl"), F.round("gr", 4).alias("gr"))
+    best = splits.level_best_splits(priced(spark, sf_dir), Search(LOSSES["square"], [Feature(0, "x")], digits=-3))
+    return best.select("x", "left_n", F.round("gl", 4).alias("gl"), F.round("gr", 4).alias("gr"))
 
 
 CAT_CODES = "codes as (select v, row_number() over (order by n desc, v) - 1 code from (select {v} v, count(*) n from {t} group by {v}) c)"
 
 
 def coded(df: DataFrame, column: str, out: str) -> DataFrame:
-    from timberline.operators.profile import dictionary, encode
-
-    return encode(df, column, F.broadcast(dictionary(df, column)), out)
+    return encode(df, column, small(dictionary(df, column)), out)
 
 
 MEAN_KEY = "round(z / n, 12), x"
@@ -127,15 +125,16 @@ z as (select v, y - f z, (y - f) * (y - f) l from base cross join f),
 a as (select v, count(*) n, sum(z) z, sum(l) l from z group by v),
 o as (select v, n, z, l, row_number() over (order by z / n, v) - 1 s from a),
 k as (select s, v, sum(n) over w ln_, sum(z) over w lz, sum(n) over () tn, sum(z) over () tz, sum(l) over () tl
-  from o window w as (order by s rows between unbounded preceding and current row))
-select cast(s as int) s, v, cast(ln_ as bigint) left_n, round(lz / ln_, 6) gl, round((tz - lz) / (tn - ln_), 6) gr from k where ln_ < tn""")
+  from o window w as (order by s rows between unbounded preceding and current row)),
+b as (select *, row_number() over (order by round(tl - lz * lz / ln_ - (tz - lz) * (tz - lz) / (tn - ln_), 3), s) rk from k where ln_ < tn)
+select o.v, cast(b.ln_ as bigint) left_n, round(b.lz / b.ln_, 6) gl, round((b.tz - b.lz) / (b.tn - b.ln_), 6) gr from b join o on o.s > b.s where rk = 1""")
 def best_split_categorical_square(spark, sf_dir):
+    """The categories that go right at the best split, one a row."""
     c = table(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_acctbal").alias("y"), F.lit(1).alias("node"))
-    c = with_terms(coded(c, "c_mktsegment", "c"), "square")
-    s = Search(LOSSES["square"], [Feature(0, "c", "cat")])
-    found = splits.candidates(splits.cumulative(splits.ordered(splits.stats(c, s.features), s.features)), s)
-    names = c.select(F.col("c").cast("double").alias("x"), F.col("c_mktsegment").alias("v")).distinct()
-    return found.join(F.broadcast(names), "x").select(F.col("pos").alias("s"), "v", "left_n", F.round("gl", 6).alias("gl"), F.round("gr", 6).alias("gr"))
+    codes = dictionary(c, "c_mktsegment")
+    best = splits.level_best_splits(with_terms(encode(c, "c_mktsegment", small(codes), "c"), "square"), Search(LOSSES["square"], [Feature(0, "c", "cat")], digits=3))
+    right = best.select("left_n", F.round("gl", 6).alias("gl"), F.round("gr", 6).alias("gr"), F.explode("right_codes").alias("code"))
+    return right.join(codes, "code").select("v", "left_n", "gl", "gr")
 
 
 FOUR = [Feature(0, "q"), Feature(1, "d"), Feature(2, "t"), Feature(3, "k")]
@@ -301,7 +300,6 @@ def fold_metrics_square(spark, sf_dir):
 
 
 
-
 def by_length():
     """A made-up probability: longer is better."""
     return F.col("n_chars") / (F.col("n_chars") + 2000)
@@ -323,9 +321,15 @@ def auc(spark, sf_dir):
     return metrics.auc(labelled(spark, sf_dir), F.col("quality"), by_length()).select(F.round("auc", 6).alias("auc"))
 
 
-@query("log_loss", f"select round(avg(case when y = 1 then -ln(p) else -ln(1 - p) end), 6) log_loss, count(*) n from {P_SQL} t where p > 0")
+@query("log_loss", f"""
+with p as (select case when y = 1 then case when p > 1e-8 then -ln(p) end else case when p < 1 - 1e-8 then -ln(1 - p) end end l from {P_SQL} t)
+select round(avg(l), 6) finite, count(*) filter (l is null) n_infinite, count(*) n from p""")
 def log_loss(spark, sf_dir):
-    return metrics.log_loss(labelled(spark, sf_dir).where("n_chars > 0"), F.col("quality"), by_length()).select(F.round("log_loss", 6).alias("log_loss"), "n")
+    """Certain and wrong predictions cost infinitely much; the mean of the others is beside their number."""
+    l = binary_log_loss(by_length(), F.col("quality") == 1)
+    rows = labelled(spark, sf_dir).select(l.alias("l"))
+    endless = F.col("l") == float("inf")
+    return rows.agg(F.round(F.avg(F.when(~endless, F.col("l"))), 6).alias("finite"), F.count_if(endless).alias("n_infinite"), F.count("*").alias("n"))
 
 
 @query("convergence_ewma", """
@@ -342,19 +346,25 @@ FOREST = [
     Tree({1: Node(0.0, fid=0, column="c_acctbal", split=3000.0), 2: Node(-0.3), 3: Node(0, fid=1, column="c_nationkey", split=11.0), 6: Node(0.2), 7: Node(0.4)}),
     Tree({1: Node(0.0, fid=1, column="c_nationkey", split=5.0), 2: Node(0.1), 3: Node(0, fid=1, column="c_nationkey", split=17.0), 6: Node(-0.25), 7: Node(0.05)}),
 ]
-PATHS = [(n, g, ids) for n, t in enumerate(FOREST) for _, g, ids in t.paths()]
+
+#: Leaves of the tree grown on lineitem: number, gamma, the features on the path (f2: none where a child of the root is a leaf).
+LEAVES_SQL = f"""{_N1}, leaves as (
+  select 2 * node leaf, gl gamma, (select fid from b1) f1, fid f2 from b2 union all select 2 * node + 1, gr, (select fid from b1), fid from b2
+  union all select 2, gl, fid, null from b1 where 2 not in (select node from b2) union all select 3, gr, fid, null from b1 where 3 not in (select node from b2))"""
 
 
-@query("feature_importance", f"""
-with p as (select * from (values {', '.join(f'({g}, {len(ids)}, {i})' for _, g, ids in PATHS for i in ids)}) v(g, k, fid)),
+@query("feature_importance", f"""{LEAVES_SQL},
+p as (select gamma g, case when f2 is null then 1 else 2 end k, f1 fid from leaves union all select gamma, 2, f2 from leaves where f2 is not null),
 s as (select fid, sum(abs(g) / k) u, sum(case when g > 0 then g / k else 0 end) p, sum(case when g < 0 then -g / k else 0 end) m from p group by fid)
 select cast(fid as int) fid, round(cast(u / sum(u) over () as double), 6) unsigned_, round(cast(p / sum(p) over () as double), 6) positive, round(cast(m / sum(m) over () as double), 6) negative from s""")
 def feature_importance(spark, sf_dir):
-    paths = spark.createDataFrame([(i, g, ids) for i, (_, g, ids) in enumerate(PATHS)], "leaf int, gamma double, fids array<int>")
+    paths = spark.createDataFrame(depth2(spark, sf_dir).paths(), "leaf int, gamma double, fids array<int>")
     return metrics.importance(paths).select("fid", *(F.round(c, 6).alias(c) for c in ("unsigned_", "positive", "negative")))
 
 
-F_SQL = " + ".join(t.sql() for t in FOREST)
+#: FOREST, written down by hand.
+F_SQL = """case when c_acctbal > 3000 then case when c_nationkey > 11 then 0.4::double else 0.2::double end else -0.3::double end
+  + case when c_nationkey > 5 then case when c_nationkey > 17 then 0.05::double else -0.25::double end else 0.1::double end"""
 
 
 @query("forest_score_case", f"select c_custkey, round(cast(1 / (1 + exp(-2 * ({F_SQL}))) as double), 6) p from customer")
@@ -389,6 +399,21 @@ def rank_tree_to_values(spark, sf_dir):
     return li.groupBy(F.round(t.column(), 6).alias("score")).agg(F.count("*").alias("n"))
 
 
-@query("tree_shrunk_leaves", "select cast(i as int) leaf, round(cast(g * 0.05 as double), 8) gamma from (values (2, -0.3), (6, 0.2), (7, 0.4)) v(i, g)")
+@query("tree_shrunk_leaves", f"{LEAVES_SQL} select cast(leaf as int) leaf, round(cast(gamma * 0.05 as double), 8) gamma from leaves")
 def tree_shrunk_leaves(spark, sf_dir):
-    return spark.createDataFrame([(i, round(n.gamma, 8)) for i, n in FOREST[0].shrink(0.05).leaves().items()], "leaf int, gamma double")
+    return spark.createDataFrame([(i, round(n.gamma, 8)) for i, n in depth2(spark, sf_dir).shrink(0.05).leaves().items()], "leaf int, gamma double")
+
+
+@query("target_regression", "select l_orderkey, l_linenumber, cast(l_quantity as double) y from lineitem")
+def target_regression(spark, sf_dir):
+    """A regression target read back from its breakpoints."""
+    from timberline.operators.profile import breakpoints, rank_encode
+
+    li = table(spark, sf_dir, "lineitem")
+    points = [r["v"] for r in breakpoints(li, "l_quantity").orderBy("v").collect()]
+    return rank_encode(li, "l_quantity", points, "r").select("l_orderkey", "l_linenumber", targets.regression_target(F.col("r"), "ord", points).alias("y"))
+
+
+@query("target_binary_ordinal", "select doc_id, case when quality = 1 then cast(1 as double) else cast(-1 as double) end y from labels")
+def target_binary_ordinal(spark, sf_dir):
+    return targets.binary_target(table(spark, sf_dir, "labels"), "quality")[0].select("doc_id", "y")

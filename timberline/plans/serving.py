@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from timberline.operators.tree import Node, Tree
 from timberline.plans import codegen
 from timberline.plans.durable import shared_dir
-from timberline.plans.learning import F_SQL, FOREST
+from timberline.plans.learning import F_SQL, FOREST, LEAVES_SQL, depth2
 from timberline.plans.registry import query, table
 from timberline.sources.model import Model
 from timberline.streaming import scoring
@@ -48,17 +49,23 @@ def score_model_document(spark, sf_dir):
     return Model.from_json(Model(FOREST).to_json()).score(table(spark, sf_dir, "customer")).select("c_custkey", F.round("score", 6).alias("p"))
 
 
-@query("forest_feature_ids", "select cast(f as int) fid, n trees from (values (0, 1::bigint), (1, 2::bigint)) v(f, n)")
+@query("forest_feature_ids", f"{LEAVES_SQL} select cast(f as int) fid, count(*) leaves from (select f1 f from leaves union all select f2 from leaves where f2 is not null and f2 <> f1) p group by f")
 def forest_feature_ids(spark, sf_dir):
-    rows = [(i, n) for n, t in enumerate(FOREST) for i in sorted(t.feature_ids())]
-    return spark.createDataFrame(rows, "fid int, tree int").groupBy("fid").agg(F.count("*").alias("trees"))
+    """Features of the tree grown on lineitem, with the leaves that they lead to."""
+    t = depth2(spark, sf_dir)
+    rows = [(f,) for _, _, ids in t.paths() for f in set(ids) & t.feature_ids()]
+    return spark.createDataFrame(rows, "fid int").groupBy("fid").agg(F.count("*").alias("leaves"))
 
 
-@query("forest_leaves", "select cast(t as int) tree, n leaves from (values (0, 3::bigint), (1, 3::bigint)) v(t, n)")
+@query("forest_leaves", f"{LEAVES_SQL} select count(*) leaves, round(sum(gamma), 6) total from leaves")
 def forest_leaves(spark, sf_dir):
-    return spark.createDataFrame([(n, len(t.leaves())) for n, t in enumerate(FOREST)], "tree int, leaves long")
+    leaves = depth2(spark, sf_dir).leaves().values()
+    return spark.createDataFrame([(len(leaves), round(sum(n.gamma for n in leaves), 6))], "leaves long, total double")
 
 
-@query("model_longest_name", "select cast(max(length(n)) as int) longest from (values ('c_acctbal'), ('c_nationkey')) v(n)")
+@query("model_longest_name", f"{LEAVES_SQL} select cast(max(length(case f when 0 then 'l_quantity' when 1 then 'l_discount' when 2 then 'l_tax' else 'l_linenumber' end)) as int) longest from (select f1 f from leaves union select f2 from leaves where f2 is not null) n")
 def model_longest_name(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in Model(FOREST).columns()], "n string").agg(F.max(F.length("n")).alias("longest"))
+    names = {0: "l_quantity", 1: "l_discount", 2: "l_tax", 3: "l_linenumber"}
+    t = depth2(spark, sf_dir)
+    m = Model([Tree({i: replace(n, column=names.get(n.fid)) for i, n in t.nodes.items()})])
+    return spark.createDataFrame([(c,) for c in m.columns()], "n string").agg(F.max(F.length("n")).alias("longest"))

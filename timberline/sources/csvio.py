@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from timberline.functions.scalar import named, quoted
 from timberline.operators.rowsets import select_columns
+from timberline.plans.durable import file_system
 
 #: What a backslash and a letter stand for inside quotes.
 ESCAPES = {'"': '"', "'": "'", "\\": "\\", "b": "\b", "f": "\f", "r": "\r", "t": "\t", "n": "\n"}
@@ -157,13 +160,51 @@ def to_cells(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", F.explode("cells").alias("fid", "c")).select("fid", "row_id", "c.kind", "c.value")
 
 
-def write_subset(df: DataFrame, path: str, program: list[str], start: str = "none") -> list[str]:
-    """Writes the columns that the program selects as CSV with a header; their names."""
+def write_subset(df: DataFrame, path: str, program: list[str], start: str = "none", header: bool = True, form: str = "dense") -> list[str]:
+    """Writes the columns that the program selects as CSV; their names. form: dense, sparse ({i v, ...} of the cells that are
+    neither missing nor 0; the header is a file of its own, header.csv) or header (that file only)."""
     names = select_columns(df.columns, program, start)
-    df.select(*names).write.mode("overwrite").option("header", True).csv(path)
+    if form == "dense":
+        df.select(*map(named, names)).write.mode("overwrite").option("header", header).csv(path)
+        return names
+    if form not in ("sparse", "header"):
+        raise ValueError(f"unknown form {form}")
+    lines = df.select(sparse_line(df, names).alias("value")) if form == "sparse" else df.sparkSession.createDataFrame([], "value string")
+    lines.write.mode("overwrite").text(path)
+    if header or form == "header":
+        fs, at = file_system(df.sparkSession, f"{path}/header.csv")
+        out = fs.create(at, True)
+        out.write((",".join(quote(n) for n in names) + "\n").encode())
+        out.close()
     return names
 
 
+def quote(text: str) -> str:
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+
+
+def sparse_line(df: DataFrame, names: list[str]) -> Column:
+    """A row in the sparse form."""
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
+    text = lambda c: named(c).cast("string") if c in numeric else F.replace(quoted(named(c).cast("string")), F.lit("\n"), F.lit("\\n"))
+    cell = lambda i, c: F.when(named(c).isNotNull() & (named(c) != 0) if c in numeric else named(c).isNotNull(), F.concat(F.lit(f"{i} "), text(c)))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[cell(i, c) for i, c in enumerate(names)]), F.lit("}"))
+
+
+def prediction_lines(scored: DataFrame, column: str = "score") -> DataFrame:
+    """value: a prediction a line, with six digits."""
+    return scored.select(F.format_string("%.6f", named(column).cast("double")).alias("value"))
+
+
+def write_predictions(scored: DataFrame, path: str, column: str = "score", header: str | None = None) -> None:
+    """Writes predictions as text, one a line; header, if given, is the first line of every file."""
+    lines = prediction_lines(scored, column)
+    if header is None:
+        lines.write.mode("overwrite").text(path)
+    else:
+        lines.withColumnRenamed("value", header).write.mode("overwrite").option("header", True).csv(path)
+
+
 def pairs(spark: SparkSession, path: str) -> DataFrame:
     """label, prob of a file with two fields a line between white space; other lines raise."""
     f = F.split(F.trim("value"), r"\s+")

@@ -19,6 +19,22 @@ class ScoringError(ValueError):
     """A row or a table does not fit a model."""
 
 
+class TypeMismatch(ScoringError):
+    """Text where the model needs a number."""
+
+
+class CategoryNotFound(ScoringError):
+    """A category that the model does not know, without an anonymous one."""
+
+
+class CategoryMissing(ScoringError):
+    """A missing category, without an anonymous one."""
+
+
+class ValueMissing(ScoringError):
+    """A missing value that may not be missing."""
+
+
 @dataclass
 class Model:
     """A forest in value space. positive and negative label the classes of a logistic model; regression has none."""
@@ -38,6 +54,7 @@ class Model:
         return cls([Tree({int(i): Node(**n) for i, n in t.items()}) for t in d["trees"]], d["positive"], d["negative"], d["categories"])
 
     def save(self, path: str) -> None:
+        """Writes the document to a path that Python can open on the driver."""
         with open(path, "w") as f:
             f.write(self.to_json())
 
@@ -59,7 +76,7 @@ class Model:
         for c in self.columns():
             if c not in self.categories:
                 if dict(df.dtypes)[c] == "string":
-                    raise ScoringError(f"{c} is text, the model needs a number")
+                    raise TypeMismatch(f"{c} is text, the model needs a number")
                 df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
                 continue
             known = self.categories[c]
@@ -98,14 +115,14 @@ class Model:
         def value(n: Node) -> float:
             v = row.get(n.column)
             if v is None and not missing_ok:
-                raise ScoringError(f"{n.column} is missing")
+                raise ValueMissing(f"{n.column} is missing")
             if n.column in self.categories:
                 known = self.categories[n.column]
                 if v not in known and None not in known:
-                    raise ScoringError(f"unknown category of {n.column}: {v}")
+                    raise CategoryMissing(f"category of {n.column} is missing") if v is None else CategoryNotFound(f"unknown category of {n.column}: {v}")
                 return known.index(v) if v in known else known.index(None)
             if isinstance(v, str):
-                raise ScoringError(f"{n.column} is text, the model needs a number")
+                raise TypeMismatch(f"{n.column} is text, the model needs a number")
             return v or 0
 
         total = 0.0

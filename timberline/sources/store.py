@@ -5,28 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.operators.profile import bin_breakpoints, column_profile, dictionary, encode, merged_bins, rank_encode, require_pure
+from timberline.functions.scalar import named
+from timberline.operators.profile import bin_breakpoints, column_profile, dictionary, downsample, encode, rank_encode, require_pure
+from timberline.plans.durable import small
 
 CATALOG = "fid int, name string, kind string, cardinality int, is_int boolean, breakpoints array<double>, categories array<string>"
 
 
 def build(df: DataFrame, columns: list[str], row_id: str, width: int = 8) -> tuple[DataFrame, DataFrame]:
     """(catalogue, rows with row_id and f_<fid>): mixed columns raise, uniform ones go, numeric ones are ranked (down-sampled
-    beyond 2**width - 1 values; missing is 0), others coded by frequency. Distinct values of a column come to the driver."""
+    beyond 2**width - 1 values; missing is 0), others coded by frequency. The catalogue, with at most 2**width breakpoints of
+    a numeric column and all names of a categorical one, comes to the driver."""
     profile = column_profile(df, columns)
     require_pure(profile)
+    kept = sorted(profile.where("kind <> 'uniform'").collect(), key=lambda r: r["fid"])
+    numeric = [p["name"] for p in kept if p["kind"] != "cat"]
+    bins: dict[str, list] = {n: [] for n in numeric}
+    if numeric:
+        for r in downsample(df.select(*[F.coalesce(named(n).cast("double"), F.lit(0.0)).alias(n) for n in numeric]), numeric, width).collect():
+            bins[numeric[r["fid"]]].append((r["left"], r["right"], r["n"]))
     rows, out = [], df
-    for p in sorted(profile.where("kind <> 'uniform'").collect(), key=lambda r: r["fid"]):
+    for p in kept:
         f = f"f_{p['fid']}"
         if p["kind"] == "cat":
             codes = dictionary(df, p["name"])
             names = [r["v"] for r in codes.orderBy("code").collect()]
-            out = encode(out, p["name"], F.broadcast(codes), f)
+            out = encode(out, p["name"], small(codes), f)
             rows.append((p["fid"], p["name"], "cat", len(names), False, None, names))
         else:
-            h = df.groupBy(F.coalesce(F.col(p["name"]).cast("double"), F.lit(0.0)).alias("v")).agg(F.count("*").alias("n")).orderBy("v").toPandas()
-            most = 2**width - 1
-            points = sorted(h["v"]) if len(h) <= most else bin_breakpoints(merged_bins(h["v"].to_numpy(), h["n"].to_numpy(), most))
+            points = bin_breakpoints(sorted(bins[p["name"]]))
             out = rank_encode(out, p["name"], points, f)
             rows.append((p["fid"], p["name"], "ord", len(points), p["n_float"] == 0, [float(x) for x in points], None))
     catalog = df.sparkSession.createDataFrame(rows, CATALOG)
