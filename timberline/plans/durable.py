@@ -41,15 +41,16 @@ def results(spark: SparkSession, name: str, schema: str) -> tuple[Callable[[Data
     return lambda df: df.write.mode("append").parquet(path), lambda: spark.read.schema(schema).parquet(path)
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, little: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, so a lost executor costs no
-    recomputation of what is upstream. Shuffle files of the write go when it is done; the table goes with discard, or when
-    the driver ends."""
+    recomputation of what is upstream. Shuffle files of the write go when it is done (if little, when Spark's cleaner comes
+    to them: many small requests to executors take threads); the table goes with discard, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/timberline/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in WRITING}
+    setting = {k: v for k, v in WRITING.items() if not (little and k.endswith("fileCleanup.enabled"))}
+    before = {k: spark.conf.get(k) for k in setting}
     try:
-        for k, v in WRITING.items():
+        for k, v in setting.items():
             spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
@@ -70,8 +71,13 @@ def discard(*tables: DataFrame) -> None:
         fs.cancelDeleteOnExit(p)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks df for broadcast if it is within rows and size (bytes of its rows as text, which are counted first); beyond that
-    Spark shuffles both sides. df should be a durable table or otherwise cheap to run twice."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES, of: DataFrame | None = None) -> DataFrame:
+    """Marks df for broadcast if it is within rows and size; beyond that Spark shuffles both sides. A durable table is judged by
+    its files, which may hold an eighth of size; so is df if it has no more rows and columns than the durable table `of`.
+    Anything else is run for its count and the bytes of its rows as text."""
+    t = of if of is not None else df
+    if hasattr(t, "durable_path"):
+        fs, p = file_system(t.sparkSession, t.durable_path)
+        return F.broadcast(df) if fs.getContentSummary(p).getLength() * 8 <= size else df
     n, width = df.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*")))) if df.columns else F.lit(0)).first()
     return F.broadcast(df) if n <= rows and (width or 0) <= size else df
