@@ -134,24 +134,24 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: in
     key = ["doc_id", "item_id", "part"]
     # items of one item_id with different texts are matched each for itself
     items = canonical(benchmark.select("item_id", "text").where("item_id is not null").distinct()).withColumn("part", F.xxhash64("text"))
-    items = durable(items.select("item_id", "part", "c", "b", "v", "p", "l"), "benchmark-words")
-    index = durable(seeds(items, width, literals), "benchmark-windows")
+    items = durable(items.select("item_id", "part", "c", "b", "v", "p", "l"), "benchmark-words", little=True)
+    index = durable(seeds(items, width, literals), "benchmark-windows", little=True)
     kinds = sorted((r["k"], r["exact"]) for r in index.select("k", "exact").distinct().collect())  # of a few values
     all_windows = F.concat(F.array().cast("array<bigint>"), *both_forms(kinds, lambda x: x))
     sizes = index.groupBy("item_id", "part", "exact").agg(F.count_distinct("h").alias("item_windows"))
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     hashes = index.select("h").distinct()
-    found = canonical(texts).select("doc_id", F.explode(all_windows).alias("h")).join(small(hashes), "h").distinct()
+    found = canonical(texts).select("doc_id", F.explode(all_windows).alias("h")).join(small(hashes, of=index), "h").distinct()
     hits = found.join(small(index), "h").groupBy(*key, "n").agg(F.count_distinct("h").alias("n_windows"), F.flatten(F.collect_list(F.expr("sequence(i, least(i + k, n) - 1)"))).alias("at"))
-    enough = durable(hits.where(F.size(F.array_distinct("at")) >= F.ceil(F.col("n") * SEEDED)).select(*key, "n_windows"), "leak-candidates")
+    enough = durable(hits.where(F.size(F.array_distinct("at")) >= F.ceil(F.col("n") * SEEDED)).select(*key, "n_windows"), "leak-candidates", little=True)
 
-    near = texts.join(small(enough.select("doc_id").distinct()), "doc_id", "left_semi")
+    near = texts.join(small(enough.select("doc_id").distinct(), of=enough), "doc_id", "left_semi")
     placed = F.concat(F.array().cast("array<struct<j:int,h:bigint>>"), *both_forms(kinds, lambda x: F.transform(x, lambda h, j: F.struct(j.alias("j"), h.alias("h")))))
-    ours = canonical(near).select("doc_id", "c", "v", "p", F.explode(placed).alias("w")).select("doc_id", "c", "v", "p", "w.*").join(small(index), "h").join(small(enough.select(*key)), key)
+    ours = canonical(near).select("doc_id", "c", "v", "p", F.explode(placed).alias("w")).select("doc_id", "c", "v", "p", "w.*").join(small(index), "h").join(small(enough.select(*key), of=enough), key)
     ours = ours.withColumn("offset", F.col("j") - F.col("i")).withColumn("skip", F.greatest(-F.col("offset"), F.lit(0)))
     ours = ours.withColumns({x: F.slice(x, F.col("offset") + F.col("skip") + 1, F.col("n") - F.col("skip")) for x in ("c", "v", "p")})
     ours = ours.groupBy(*key, "offset", "skip").agg(F.max(F.struct("c", "v", "p")).alias("d"), F.collect_set(F.struct("i", "k")).alias("seeds"))
-    rows = ours.join(small(items.select("item_id", "part", F.col("c").alias("ic"), F.col("v").alias("iv"), F.col("p").alias("ip"))), ["item_id", "part"])
+    rows = ours.join(small(items.select("item_id", "part", F.col("c").alias("ic"), F.col("v").alias("iv"), F.col("p").alias("ip")), of=items), ["item_id", "part"])
     reached = lambda p: F.exists("seeds", lambda s: (p >= s["i"] - SHORT) & (p < s["i"] + s["k"] + SHORT))
     ours_at = lambda x, p: F.get(f"d.{x}", p - F.col("skip"))
 
@@ -164,11 +164,11 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: in
     rows = let(rows, "cells", F.filter(cells, lambda x: x["same"])).withColumn("rank", F.struct(F.size("cells"), F.size(F.filter("cells", lambda x: x["theirs"] == x["ours"])), -F.col("offset")))
     # a word of the item is taken at the offset where most of the item is
     words = rows.select(*key, "rank", F.explode("cells").alias("x")).groupBy(*key, "x.p").agg(F.max_by(F.struct("x.theirs", "x.ours"), "rank").alias("x")).select(*key, "x.*")
-    words = durable(words, "leak-words")
+    words = durable(words, "leak-words", little=True)
     counts = words.groupBy(*key).agg(F.count("*").alias("n_words"))
     slots = words.where(F.startswith("theirs", F.lit("<"))).groupBy(*key, "theirs").agg(F.min("ours").alias("a"), F.max("ours").alias("b"))
     slots = slots.groupBy(*key).agg(F.count("*").alias("n_slots"), F.count_if(F.col("a") == F.col("b")).alias("n_consistent"), F.count_if((F.col("a") == F.col("theirs")) & (F.col("b") == F.col("theirs"))).alias("n_same"))
-    out = enough.join(small(sizes.join(items.select("item_id", "part", F.size("c").alias("item_words")), ["item_id", "part"])), ["item_id", "part"]).join(counts, key).join(slots, key, "left").fillna(0, ["n_slots", "n_consistent", "n_same"])
+    out = enough.join(small(sizes.join(items.select("item_id", "part", F.size("c").alias("item_words")), ["item_id", "part"]), of=items), ["item_id", "part"]).join(counts, key).join(slots, key, "left").fillna(0, ["n_slots", "n_consistent", "n_same"])
     whole = F.col("n_words") >= F.ceil(F.col("item_words") * share)
     quote = (F.col("n_words") >= PART_WORDS) & (F.col("n_words") >= F.ceil(F.col("item_words") * part))
     exact = F.col("exact") & ((F.col("n_words") < F.col("item_words")) | (F.col("n_same") < F.col("n_slots")))
@@ -179,7 +179,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: in
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that match an item; null doc_ids stay."""
-    bad = durable(find(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
+    bad = durable(find(docs, benchmark, **options).select("doc_id").distinct(), "leaks", little=True)
     return docs.join(small(bad), "doc_id", "left_anti").select(own(docs))
 
 

@@ -32,6 +32,7 @@ used whole; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -46,15 +47,15 @@ from timberline.llm import common
 from timberline.llm.common import Chunk, chunks, discard, durable, free, mix, own
 
 SKETCH, SLICES = 1 << 20, 64
-MOST_MATCHES, VERIFY, HOT, COLD, ROUNDS = 6, 50.0, 2_000, 32, 2
-#: Rows of a hot shingle that one part of a split join gets; bytes (as text) of a table that is broadcast.
-SPREAD, SMALL = 5_000, 4 << 20
+MOST_MATCHES, VERIFY, HOT, COLD, ROUNDS = 6, 50.0, 2_000, 32, 1
+#: Rows of a hot shingle that one part of a split join gets; bytes of a table that is broadcast.
+SPREAD, SMALL = 5_000, 32 << 20
 #: Bytes of text that are compared at a time.
 PAIR_BYTES = 2 << 20
 
 
-def small(df: DataFrame) -> DataFrame:
-    return common.small(df, size=SMALL)
+def small(df: DataFrame, of: DataFrame) -> DataFrame:
+    return common.small(df, size=SMALL, of=of)
 
 
 def digests(c: Chunk) -> np.ndarray:
@@ -199,14 +200,14 @@ def entries(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray, par
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (smallest node it is connected with), old of all nodes of edges a, b: smallest labels spread over the edges, then labels of labels are followed, until nothing changes."""
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"), F.col("node").alias("old")), "labels")
+    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", little=True)
+    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"), F.col("node").alias("old")), "labels", little=True)
     while True:
         now = labels.select("node", "comp")
         near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = durable(now.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "labels")
+        step = durable(now.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "labels", little=True)
         up = step.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = durable(step.join(up, "comp").select("node", F.least("comp", "up").alias("comp"), "old"), "labels")
+        new = durable(step.join(up, "comp").select("node", F.least("comp", "up").alias("comp"), "old"), "labels", little=True)
         discard(labels, step)
         labels = new
         if new.where("old <> comp").limit(1).count() == 0:
@@ -259,13 +260,13 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     spark = docs.sparkSession
     everything = durable(fingerprints(docs, k), "fingerprints")
     prints = everything.where("slice is null").select("doc_id", "th", "n", "node", "alt")
-    nodes = durable(named_nodes(prints), "nodes")
+    nodes = durable(named_nodes(prints), "nodes", little=True)
     others: set[tuple[int, int]] = set()
     if nodes.where("lo <> hi").limit(1).count():  # two digests share their first half: hardly ever, and then a few
         clash = prints.join(nodes.where("lo <> hi").select("node", "lo"), "node").where("alt <> lo").select("node", "alt").distinct()
         others = {(r["node"], r["alt"]) for r in clash.collect()}
         prints = prints.join(F.broadcast(clash.withColumn("o", F.lit(True))), ["node", "alt"], "left").withColumn("node", F.when(F.col("o"), F.col("alt")).otherwise(F.col("node")))
-        nodes = durable(named_nodes(prints), "nodes")
+        nodes = durable(named_nodes(prints), "nodes", little=True)
         if nodes.where("lo <> hi").limit(1).count():
             raise ValueError("two digests share both halves with others")
     sizes = prints.agg(F.sum("n")).first()[0] or 0
@@ -273,10 +274,10 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sizes * 0.2 / 500_000) + 1)
     rows = docs.where("doc_id is not null")
     found = durable(entries(rows, k, num, den, sketch, partitions, others), "entries")
-    held = durable(found.select("node").distinct().join(nodes.select("node", "doc_id", "th"), "node"), "held")
+    held = durable(found.select("node").distinct().join(nodes.select("node", "doc_id", "th"), "node"), "held", little=True)
     keyed = rows.select(F.col("doc_id").cast("long"), F.md5(F.col("text").cast("binary")).alias("th"), "text").join(held, ["doc_id", "th"]).select("node", "text")
     texts = durable(keyed.dropDuplicates(["node"]), "texts")
-    lists = durable(prefixes(found), "prefixes")
+    lists = durable(prefixes(found), "prefixes", little=True)
 
     comp = spark.createDataFrame([], "node long, comp long")
     tested = spark.createDataFrame([], "a long, b long")
@@ -285,7 +286,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     for r in range(ROUNDS + 1):
         # entries of tokens that still meet different components; others never will again
         open_tokens = live.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("pop", F.xxhash64("node", F.lit(r)).alias("_h"), "node", "comp", "n")).alias("hub")).where("x <> y")
-        open_tokens = durable(open_tokens.select("token", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n")), "open-tokens")
+        open_tokens = durable(open_tokens.select("token", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"), F.col("hub.n").alias("hub_n")), "open-tokens", little=True)
         left = durable(live.join(open_tokens, "token"), "live")
         discard(open_tokens, *([live] if r else []))
         mine = [left]
@@ -309,7 +310,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
         discard(*mine)
     ids = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named_comp = durable(ids.join(least, "comp").select("node", "comp", "component_id"), "component-ids")
+    named_comp = durable(ids.join(least, "comp").select("node", "comp", "component_id"), "component-ids", little=True)
     discard(*done)
     out = prints.join(named_comp, "node", "left")
     own_id = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
@@ -353,8 +354,8 @@ def candidates(live: DataFrame, num: int, den: int, made: list[DataFrame]) -> Da
     made only at its first token and only if there is room for a link.
     """
     col = F.col
-    prefix = durable(prefixes(live), "prefixes")
-    hot = durable(live.groupBy("token").agg(F.count("*").alias("k")).where(col("k") > COLD).select("token", F.ceil(col("k") / SPREAD).cast("int").alias("parts")), "hot-tokens")
+    prefix = durable(prefixes(live), "prefixes", little=True)
+    hot = durable(live.groupBy("token").agg(F.count("*").alias("k")).where(col("k") > COLD).select("token", F.ceil(col("k") / SPREAD).cast("int").alias("parts")), "hot-tokens", little=True)
     # a first shared token is in the part of a prefix that one match needs
     live = live.where((col("n") - col("i")) * den >= col("n") * num)
     cold = live.join(hot, "token", "left_anti")
@@ -366,7 +367,7 @@ def candidates(live: DataFrame, num: int, den: int, made: list[DataFrame]) -> Da
 
     rows = durable(live.join(hot, "token").select("token", "parts", "comp", "node", "i").join(prefix, "node").drop("node"), "hot-rows")
     at = rows.groupBy("token", "comp", "parts").agg(F.count("*").alias("k"), F.min("x.n").alias("n"), F.max(col("x.n") - col("i")).alias("r"))
-    at = durable(at, "hot-groups")
+    at = durable(at, "hot-groups", little=True)
     made += [prefix, hot, rows, at]
 
     def dealt(x: DataFrame, by: str) -> DataFrame:
@@ -396,7 +397,9 @@ def candidates(live: DataFrame, num: int, den: int, made: list[DataFrame]) -> Da
     g = dealt(groups.select("token", "parts", col("d").alias("c"), col("k").alias("k1"), col("n").alias("n1"), col("r").alias("r1")), "c")
     both = g.join(copied(groups), ["token", "part"]).where((col("c") != col("d")) & (F.struct("k1", "c") < F.struct("k", "d")) & first_here(col("n1"), col("r1"), col("n"), col("r"), num, den)).select("token", "c", "d")
     pairs.append(meets(both.join(rows.withColumnRenamed("comp", "c"), ["token", "c"]).select("token", "d", "x", "i").join(other, ["token", "d"])))
-    found = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).unionByName(pairs[3])
+    parts = [durable(p, "pairs-part") for p in pairs]  # one job each: four small plans
+    made += parts
+    found = functools.reduce(DataFrame.unionByName, parts)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -406,16 +409,16 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     key = [free("_id", docs), free("_th", docs)]
     keyed = docs.withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: F.md5(F.col("text").cast("binary"))})
     found = link(docs.select("doc_id", "text"), k, num, den).where("n_shingles > 0 and doc_id is not null")
-    found = durable(found.groupBy("comp", "doc_id", "th").agg(F.count("*").alias("n")), "components")
+    found = durable(found.groupBy("comp", "doc_id", "th").agg(F.count("*").alias("n")), "components", little=True)
     first = found.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("m"))
     ranked = found.join(first, "comp").withColumn("gone", F.struct("doc_id", "th") > F.col("m"))
-    ranked = durable(ranked.select(F.col("doc_id").alias(key[0]), F.col("th").alias(key[1]), "gone", "n"), "copies")
+    ranked = durable(ranked.select(F.col("doc_id").alias(key[0]), F.col("th").alias(key[1]), "gone", "n"), "copies", little=True)
     discard(found)
-    out = keyed.join(small(ranked.where("gone").select(*key)), key, "left_anti")
+    out = keyed.join(small(ranked.where("gone").select(*key), ranked), key, "left_anti")
     again = ranked.where("not gone and n > 1").select(*key)
     if again.limit(1).count():
-        twice = out.join(small(again), key, "left_semi").dropDuplicates(key)
-        out = out.join(small(again), key, "left_anti").unionByName(twice)
+        twice = out.join(small(again, ranked), key, "left_semi").dropDuplicates(key)
+        out = out.join(small(again, ranked), key, "left_anti").unionByName(twice)
     return out.select(own(docs))
 
 

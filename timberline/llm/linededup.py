@@ -46,16 +46,16 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
     low, high = min(min_sites * (1 - band), min_sites - 2), max(min_sites * (1 + band), min_sites + 2)
     # lines of one site are far below any threshold above 2; their sketches need no estimate
     spread = spread.where((F.col("lo") != F.col("hi")) | F.lit(min_sites <= 3)).select("h", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
-    spread = durable(spread.where(F.col("sites") >= low), "line-spread")
+    spread = durable(spread.where(F.col("sites") >= low), "line-spread", little=True)
     near = spread.where(F.col("sites") < high).select("h", "first_doc")
-    exact = lines.join(small(near), "h").groupBy("h", "first_doc").agg(F.count_distinct("source").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = lines.join(small(near, of=spread), "h").groupBy("h", "first_doc").agg(F.count_distinct("source").alias("sites")).where(F.col("sites") >= min_sites)
     return spread.where(F.col("sites") >= high).select("h", "first_doc").unionByName(exact.select("h", "first_doc"))
 
 
 def remove_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with text after removal, and n_lines and n_removed (free() names them where docs has such columns)."""
     min_chars = options.get("min_chars", MIN_CHARS)
-    gone = durable(boilerplate(docs, **options), "line-boilerplate")
+    gone = durable(boilerplate(docs, **options), "line-boilerplate", little=True)
     lines = candidate_lines(docs, min_chars)
     hashes, key, left, n_lines, n_removed = (free(x, docs) for x in ("_drop", "_doc", "_kept", "n_lines", "n_removed"))
     drop = lines.join(small(gone), "h").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first_doc")))

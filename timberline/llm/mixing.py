@@ -84,10 +84,10 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
 def mix(docs: DataFrame, pattern: tuple[int, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, block: int = 4096, seed: int = 7, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with row, key and size, sources with source_size, target and take, mix). The mix has a row for each piece of
     a document in a block: slot, key, row, doc_id, first_word, n_words; slot gives the order."""
-    sized = durable(sized_documents(docs, row), "mix-sizes")
+    sized = durable(sized_documents(docs, row), "mix-sizes", little=True)
     sources = targets(sized, pattern, total, most)
     sources = sources.withColumn("take", F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(float(most)))).cast("long"))
-    sources = durable(sources.withColumn("slots", F.ceil(F.col("take") / block)), "mix-sources")
+    sources = durable(sources.withColumn("slots", F.ceil(F.col("take") / block)), "mix-sources", little=True)
     buckets = max(1, int(sized.count() ** 0.5))
     h = sized.where("size > 0").withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_b", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
     placed = running_start(h, "key", "_b", ["h", "doc_id", "th", "row"], F.col("size"), "start").join(small(sources), "key")
@@ -104,14 +104,14 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     """row, doc_id, source, size, source_size, target, taken: how many of each document's words the mix takes, repeats counted; first_slot, last_slot: between which slots of the mix they stand."""
     sized, sources, plan = mix(docs, **options)
     got = plan.groupBy("row").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
-    out = sized.join(got, "row", "left").join(small(sources.select("key", "source_size", "target")), "key")
+    out = sized.join(got, "row", "left").join(small(sources.select("key", "source_size", "target"), of=sources), "key")
     return out.select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs that the mix takes words of, with size, source_size, target, taken, first_slot and last_slot (free() names them where docs has such columns)."""
     key = free("_row", docs)
-    rows = durable(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    rows = durable(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows", little=True)
     named = [F.col(x).alias(free(x, docs)) for x in ("size", "source_size", "target", "taken", "first_slot", "last_slot")]
     got = taken(rows, row=key, **options).where("taken > 0").select(F.col("row").alias(key), *named)
     return rows.join(got, key).drop(key)
