@@ -27,14 +27,13 @@ from timberline.llm.common import Chunk, chunks, free, hash_sample
 
 TRAIN_ROWS, TREES, DEPTH, BINS, RATE = 20_000, 60, 4, 64, 0.2
 THRESHOLD = 0.3
-KINDS = ["upper", "lower", "digit", "bang", "bar", "symbol", "mark", "high"]
+KINDS = ["upper", "lower", "digit", "symbol", "mark", "high"]
 
 
 def _classes() -> np.ndarray:
     c = np.full(256, KINDS.index("mark"), np.int64)
     c[65:91], c[97:123], c[48:58], c[128:] = 0, 1, 2, KINDS.index("high")
-    c[ord("!")], c[ord("|")] = KINDS.index("bang"), KINDS.index("bar")
-    for s in b"#$%&*@^~_=+<>{}[]\\/`":
+    for s in b"#$%&*@^~_=+<>{}[]\\/|`":
         c[s] = KINDS.index("symbol")
     return c
 
