@@ -8,6 +8,8 @@ super-k-mer: their words travel once, as one packed string, to the bucket of the
 equal ones (sorted by a hash, then compared byte by byte) are counted exactly. Every task packs its super-k-mers of a
 bucket together and compresses them, and sends equal strings once: an equal string in a larger doc_id is decided on the
 spot and only its place travels, to a bucket of its document, so a passage in very many documents makes no large bucket.
+Packed strings are compressed with a dictionary trained on slices of some documents, so few strings of a bucket shrink as
+much as many, however many buckets a large table has. Buckets are dealt to partitions in turn.
 Windows of a minimiser that would fill a bucket many times over go to buckets by a second one, over longer grams.
 
 Defined cases: null and blank texts have no words; fewer words than a window are kept; documents without doc_id (and
@@ -18,6 +20,7 @@ a smaller doc_id); long texts are cut like any other; empty tables give no rows;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +33,34 @@ from timberline.llm.common import Chunk, chunks, mix, small
 WIDTH, INNER = 13, 3
 NO_ID = (1 << 63) - 1
 #: Packed bytes that a task gathers before it sends them, and raw bytes that a bucket should hold.
-FLUSH, BUCKET = 24 << 20, 4 << 20
+FLUSH, BUCKET = 16 << 20, 4 << 20
 #: Raw bytes of a minimiser that is split by grams of SECOND words, and bytes of text that estimate these.
 HOT_BYTES, SECOND, SAMPLE_BYTES = 16 << 20, 8, 64 << 20
+#: Level of compression, bytes of its dictionary, and the documents and characters of each that it is trained on.
+LEVEL, DICTIONARY, SLICES, SLICE = 3, 112 << 10, 2_000, 2_048
 
 PACKED = "bucket int, meta binary, body binary, gone binary"
 SPAN = "doc_id long, mark long, lo int, hi int"
 
 
+@lru_cache(maxsize=2)
+def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(raw) if raw else None
+
+
+def compression(rows: DataFrame, n: int) -> bytes:
+    """A dictionary for the compression of strings like those of n rows; empty where there is too little to train it on. What
+    is sampled has no part in the result, only in the size of what travels."""
+    h = F.pmod(F.xxhash64("id", "mark"), F.lit(1 << 30))
+    some = rows.where(h < int((1 << 30) * (SLICES + 6 * SLICES**0.5 + 10) / max(n, 1)) + 1)
+    at = F.pmod(h, F.greatest(F.length("text") - SLICE, F.lit(1))).cast("int") + 1
+    got = some.select(F.substring("text", at, F.lit(SLICE)).alias("t")).where(F.length("t") > 0).limit(2 * SLICES).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [r["t"].encode("utf-8", "surrogatepass") for r in got], level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 def _pack(cols: list[np.ndarray], z: zstandard.ZstdCompressor) -> bytes:
     """Columns doc_id and mark (int64), first and count (int32)."""
     return z.compress(b"".join(c.astype(t).tobytes() for c, t in zip(cols, ("<i8", "<i8", "<i4", "<i4"), strict=True)))
@@ -104,8 +127,9 @@ def hot_minimisers(rows: DataFrame, raw: int, width: int, inner: int) -> np.ndar
 
 
 class Packer:
-    def __init__(self, buckets: int, hot: np.ndarray | None = None):
-        self.buckets, self.hot, self.z = buckets, hot, zstandard.ZstdCompressor(level=1)
+    def __init__(self, buckets: int, hot: np.ndarray | None = None, dictionary: bytes = b""):
+        self.buckets, self.hot, self.z = buckets, hot, zstandard.ZstdCompressor(level=LEVEL)
+        self.text_z = zstandard.ZstdCompressor(level=LEVEL, dict_data=d) if (d := _dictionary(dictionary)) else self.z
         self.clear()
 
     def clear(self) -> None:
@@ -144,7 +168,7 @@ class Packer:
             sent, gone = i[keep[i]], i[~keep[i]]
             rows.append((
                 int(where[i[0]]), _pack([x[sent] for x in (doc, mark, first, count)], self.z) if len(sent) else None,
-                self.z.compress(b"\n".join([self.pieces[k] for k in sent.tolist()])) if len(sent) else None,
+                self.text_z.compress(b"\n".join([self.pieces[k] for k in sent.tolist()])) if len(sent) else None,
                 _pack([x[gone] for x in (doc, mark, first, count)], self.z) if len(gone) else None,
             ))
         self.clear()
@@ -186,9 +210,10 @@ def equal_windows(c: Chunk, key: np.ndarray, at: np.ndarray, piece: np.ndarray,
     return order, np.concatenate([[True], of[order][1:] != of[order][:-1]])
 
 
-def judge(table: pa.Table, width: int) -> pa.Table:
+def judge(table: pa.Table, width: int, dictionary: bytes = b"") -> pa.Table:
     """Spans of words to remove, from all super-k-mers of one bucket."""
     z = zstandard.ZstdDecompressor()
+    text_z = zstandard.ZstdDecompressor(dict_data=d) if (d := _dictionary(dictionary)) else z
     out: list[pa.Table] = [_spans(*(np.zeros(0, np.int64),) * 4)]
     split: list[bytes] = []
     metas: list[list[np.ndarray]] = []
@@ -198,7 +223,7 @@ def judge(table: pa.Table, width: int) -> pa.Table:
             out.append(_spans(doc, mark, first, first + count + (width - 1)))
         if meta is not None:
             metas.append(_unpack(meta, z))
-            split += z.decompress(body).split()
+            split += text_z.decompress(body).split()
     if not metas:
         return pa.concat_tables(out)
     doc, mark, first, count = (np.concatenate(x) for x in zip(*metas, strict=True))
@@ -229,12 +254,15 @@ def judge(table: pa.Table, width: int) -> pa.Table:
 
 def repeated_spans(rows: DataFrame, width: int = WIDTH, inner: int = INNER) -> DataFrame:
     """doc_id (NO_ID: none), mark, lo, hi: words lo to hi - 1 of that row of marked() are to go."""
-    raw = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spark = rows.sparkSession
+    raw, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(1, int(3 * raw / BUCKET))
-    hot = rows.sparkSession.sparkContext.broadcast(hot_minimisers(rows, raw, width, inner))
+    parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = spark.sparkContext.broadcast(hot_minimisers(rows, raw, width, inner))
+    shared = spark.sparkContext.broadcast(compression(rows, n))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Packer(buckets, hot.value)
+        p = Packer(buckets, hot.value, shared.value)
         for b in batches:
             ids, marks = b.column("id").to_numpy(zero_copy_only=False), b.column("mark").to_numpy(zero_copy_only=False)
             for c in chunks(b.column("text").to_pylist()):
@@ -244,8 +272,8 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, inner: int = INNER) -> D
         if (out := p.flush()) is not None:
             yield out
 
-    packed = rows.select("id", "mark", "text").mapInArrow(pack, PACKED)
-    return packed.groupBy("bucket").applyInArrow(lambda t: judge(t, width), SPAN)
+    packed = rows.select("id", "mark", "text").mapInArrow(pack, PACKED).withColumn("part", (F.col("bucket") % parts).cast("int"))
+    return packed.repartitionById(parts, F.col("part")).groupBy("part", "bucket").applyInArrow(lambda t: judge(t, width, shared.value), SPAN)
 
 
 def marked(docs: DataFrame) -> DataFrame:
