@@ -80,28 +80,31 @@ def test_ranks_of_breakpoints(spark):
     assert [r["r"] for r in profile.rank_encode(df, "v", [1, 2, 5, 6], "r").collect()] == [0, 0, 1, 2, 2, 2, 3, 3]
 
 
-def test_sparse_runs():
-    assert profile.sparse_runs([(2, 7), (3, 7), (4, 1), (8, 0)], 10) == [(2, 0), (2, 7), (1, 1), (5, 0)]
-    with pytest.raises(ValueError, match="not above"):
-        profile.sparse_runs([(3, 1), (3, 2)], 5)
-    with pytest.raises(ValueError, match="bounds"):
-        profile.sparse_runs([(5, 1)], 5)
-
-
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 19)), max_size=16))
-def test_sparse_runs_round_trip(gaps):
-    at, pairs = -1, []
-    for g, v in gaps:
-        at += g
-        if at < 50:
-            pairs.append((at, v))
-    dense = [0] * 50
+def sparse(spark, pairs, length, span=None):
+    df = spark.createDataFrame(pairs, "i long, v long")
+    return sorted((r["start"], r["length"], r["value"]) for r in profile.sparse_runs(df, "i", "v", length, F.lit(0).cast("long"), span).collect())
+
+
+def test_sparse_runs(spark):
+    assert sparse(spark, [(2, 7), (3, 7), (4, 1), (8, 0)], 10) == [(0, 2, 0), (2, 2, 7), (4, 1, 1), (5, 5, 0)]
+    assert sparse(spark, [], 4) == [(0, 4, 0)]
+    assert sparse(spark, [], 0) == []
+    assert sparse(spark, [(0, 5)], 1) == [(0, 1, 5)]
+    for pairs, error in (([(3, 1), (3, 2)], "twice"), ([(5, 1)], "bounds"), ([(-1, 1)], "bounds"), ([(None, 1)], "bounds")):
+        with pytest.raises(Exception, match=error):
+            sparse(spark, pairs, 5)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sparse_runs_round_trip(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(i, rng.randrange(3)) for i in range(200) if rng.random() < (0.05, 0.3, 0.7, 1.0)[seed]]
+    dense = [0] * 200
     for i, v in pairs:
         dense[i] = v
-    out = profile.sparse_runs(pairs, 50)
-    assert [v for n, v in out for _ in range(n)] == dense
-    assert all(a[1] != b[1] for a, b in zip(out, out[1:], strict=False))
+    out = sparse(spark, rng.sample(pairs, len(pairs)), 200, span=16)
+    assert [v for _, n, v in out for _ in range(n)] == dense
+    assert all(a[2] != b[2] and a[0] + a[1] == b[0] for a, b in zip(out, out[1:], strict=False))
 
 
 def test_runs_meet_over_ranges(spark):

@@ -119,6 +119,17 @@ def test_generated_c():
     assert [x.strip() for x in text.splitlines() if "+=" in x] == ["f += 0.7;", "f += 0.1;", "f += -0.4;"]
 
 
+def test_generated_code_shares_direction_sets():
+    right = lambda codes: Tree({1: Node(0, fid=0, column="c", kind="cat", split=0.0, right_codes=codes), 2: Node(1.0), 3: Node(2.0)})
+    m = Model([right([1]), right([0, 2]), right([2, 0]), right([])], categories={"c": ["a", "b", None]})
+    assert codegen.direction_sets(m) == {(1,): 0, (0, 2): 1, (): 2}
+    assert codegen.to_c(m).count("#define") == 3
+    text, space = codegen.to_python(m), {}
+    exec(text, space)
+    assert text.count("frozenset") == 3
+    assert [space["eval_by_name"]({"c": c}) for c in ("a", "b", "x")] == [m.score_one({"c": c}) for c in ("a", "b", "x")]
+
+
 def compiles(folder) -> bool:
     """Whether a C compiler is there and whole."""
     (folder / "empty.c").write_text("int main(void) { return 0; }\n")

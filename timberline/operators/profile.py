@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.scalar import cell_kind
@@ -14,6 +14,8 @@ from timberline.operators.ranges import ranked
 
 #: Breakpoints between two that are compared first.
 STEP = 16
+#: Positions of a range in which runs are found by one task.
+SPAN = 100_000
 
 
 def cells(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -142,11 +144,15 @@ def runs(df: DataFrame, order: str, value: str, span: int | None = None) -> Data
     The order column is cut into ranges of `span`; runs are found inside them and joined where they meet, so no task
     holds the whole column.
     """
-    span = span or 100_000
-    rows = df.select(F.col(order).cast("long").alias("i"), F.col(value).alias("v")).withColumn("_p", F.floor(F.col("i") / span))
-    w = Window.partitionBy("_p").orderBy("i")
-    marked = rows.withColumn("_b", F.when(F.lag("i").over(w).isNull() | ~F.col("v").eqNullSafe(F.lag("v").over(w)), 1).otherwise(0)).withColumn("_g", F.sum("_b").over(w))
-    part = marked.groupBy("_p", "_g").agg(F.min("i").alias("start"), F.count("*").alias("length"), F.max("v").alias("value"))
+    return merged(df.select(F.col(order).cast("long").alias("start"), F.lit(1).cast("long").alias("length"), F.col(value).alias("value")), span)
+
+
+def merged(pieces: DataFrame, span: int | None = None) -> DataFrame:
+    """start, length, value of the maximal runs of pieces (start, length, value) that lie end to end."""
+    rows = pieces.withColumn("_p", F.floor(F.col("start") / (span or SPAN)))
+    w = Window.partitionBy("_p").orderBy("start")
+    marked = rows.withColumn("_b", F.when(F.lag("start").over(w).isNull() | ~F.col("value").eqNullSafe(F.lag("value").over(w)), 1).otherwise(0)).withColumn("_g", F.sum("_b").over(w))
+    part = marked.groupBy("_p", "_g").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.max("value").alias("value"))
     part = part.withColumn("_last", F.col("_g") == F.max("_g").over(Window.partitionBy("_p"))).withColumn("_edge", F.col("_last") | (F.col("_g") == 1))
     # only the first and the last run of a range, two rows a range, can go on in another range
     o = Window.orderBy("start")
@@ -161,25 +167,20 @@ def expand(run_table: DataFrame) -> DataFrame:
     return run_table.select(F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("i"), "value")
 
 
-def sparse_runs(pairs: list[tuple[int, int]], length: int, default: int = 0) -> list[tuple[int, int]]:
-    """(length, value) runs of a vector given as ascending (index, value) pairs and a default."""
-    out: list[list[int]] = []
-
-    def put(n: int, v: int) -> None:
-        if n and out and out[-1][1] == v:
-            out[-1][0] += n
-        elif n:
-            out.append([n, v])
-
-    at = 0
-    for i, v in pairs:
-        if i < at:
-            raise ValueError(f"index {i} is not above the one before")
-        if i >= length:
-            raise ValueError(f"index {i} is out of bounds")
-        put(i - at, default)
-        put(1, v)
-        at = i + 1
-    put(length - at, default)
-    return [(n, v) for n, v in out]
-
+def sparse_runs(pairs: DataFrame, index: str, value: str, length: int, default: Column, span: int | None = None) -> DataFrame:
+    """start, length, value of the runs of a vector of `length` places: value at the places of pairs, default elsewhere. A
+    place that is out of bounds or comes twice raises when the rows are made."""
+    i = F.col(index).cast("long")
+    inside = F.when((i >= 0) & (i < length), i).otherwise(F.raise_error(F.concat(F.lit("index out of bounds: "), F.coalesce(i.cast("string"), F.lit("null")))).cast("long"))
+    rows = pairs.select(inside.alias("i"), F.col(value).alias("v")).withColumn("_p", F.floor(F.col("i") / (span or SPAN)))
+    # the next place: in the same range, or the first one of the next range that has any (one row a range)
+    firsts = rows.groupBy("_p").agg(F.min("i").alias("_first"))
+    firsts = firsts.select("_p", F.coalesce(F.lead("_first").over(Window.orderBy("_p")), F.lit(length)).alias("_beyond"))
+    after = F.lead("i").over(Window.partitionBy("_p").orderBy("i"))
+    rows = rows.withColumn("_next", F.when(after == F.col("i"), F.raise_error(F.concat(F.lit("index comes twice: "), F.col("i").cast("string"))).cast("long")).otherwise(after))
+    rows = rows.join(firsts, "_p").withColumn("_next", F.coalesce("_next", "_beyond"))
+    piece = lambda start, n, v: F.struct(start.cast("long").alias("start"), n.cast("long").alias("length"), v.alias("value"))
+    own, gap = piece(F.col("i"), F.lit(1), F.col("v")), piece(F.col("i") + 1, F.col("_next") - F.col("i") - 1, default)
+    pieces = rows.select(F.explode(F.array(own, gap)).alias("p")).select("p.*")
+    head = rows.agg(F.coalesce(F.min("i"), F.lit(length)).alias("n")).select(piece(F.lit(0), F.col("n"), default).alias("p")).select("p.*")
+    return merged(pieces.unionByName(head).where("length > 0"), span)

@@ -110,6 +110,15 @@ def rle_runs(spark, sf_dir):
     return profile.runs(table(spark, sf_dir, "events"), "event_id", "event_type", 1000)
 
 
+@query("rle_sparse_runs", f"""{RUNS.replace("event_type", "coalesce(k.n, 0)").replace("from events", "from events left join k on event_id = k.i").replace("with s as", "with k as (select event_id i, cast(floor(value) as bigint) n from events where event_type = 'click'), s as")}
+select min(i) "start", count(*) length, max(v) as value from g group by g""")
+def rle_sparse_runs(spark, sf_dir):
+    """The vector of whole values of clicks, 0 at other events, given by its clicks alone."""
+    events = table(spark, sf_dir, "events")
+    clicks = events.where("event_type = 'click'").select("event_id", F.floor("value").cast("long").alias("n"))
+    return profile.sparse_runs(clicks, "event_id", "n", events.count(), F.lit(0).cast("long"), 1000)
+
+
 @query("rle_expand", "select event_id i, event_type as value from events")
 def rle_expand(spark, sf_dir):
     return profile.expand(profile.runs(table(spark, sf_dir, "events"), "event_id", "event_type", 1000))
