@@ -12,6 +12,7 @@ from timberline.plans import codegen
 from timberline.plans.durable import shared_dir
 from timberline.plans.learning import F_SQL, FOREST, LEAVES_SQL, depth2
 from timberline.plans.registry import query, table
+from timberline.sources.document import from_document, to_document
 from timberline.sources.model import Model
 from timberline.streaming import scoring
 
@@ -49,6 +50,12 @@ def score_model_document(spark, sf_dir):
     return Model.from_json(Model(FOREST).to_json()).score(table(spark, sf_dir, "customer")).select("c_custkey", F.round("score", 6).alias("p"))
 
 
+@query("score_exchange_document", EVENT_SQL)
+def score_exchange_document(spark, sf_dir):
+    """A model that went through the document that evaluators exchange."""
+    return from_document(to_document(EVENT_MODEL)).score(table(spark, sf_dir, "events")).select("event_id", F.round("score", 6).alias("p"))
+
+
 @query("forest_feature_ids", f"{LEAVES_SQL} select cast(f as int) fid, count(*) leaves from (select f1 f from leaves union all select f2 from leaves where f2 is not null and f2 <> f1) p group by f")
 def forest_feature_ids(spark, sf_dir):
     """Features of the tree grown on lineitem, with the leaves that they lead to."""
