@@ -244,7 +244,46 @@ def circle(spark, n: int = 4000) -> DataFrame:
     return df.withColumn("y", F.when((F.col("x1") - 20) * (F.col("x1") - 20) + (F.col("x2") - 20) * (F.col("x2") - 20) <= 100, 1.0).otherwise(-1.0))
 
 
-@query("boost_3_trees_score")
+def _boosted(folds: int = 2, trees: int = 3, rate: float = 0.3, least: float = 0.001, forget: float = 0.9) -> str:
+    """SQL that unrolls boosting of stumps: for each fold a constant and trees - 1 splits, each learned from half of the other
+    folds' rows, up to the one whose smoothed gain on the fold is less than `least`. A loss that doubles, and a fold without
+    errors, are not in it."""
+    h = "cast(floor((doc_id + {seed}) % 2147483648 * 2654435761 % 4294967296 / 65536) as bigint)"
+    code = "select {v} v, row_number() over (order by count(*) desc, {v} nulls last) - 1 code from b group by {v}"
+    out = [
+        "b as (select d.doc_id, lang, source, cast(case when quality = 1 then 1 else -1 end as double) y, floor(ln(greatest(n_chars, 1)) / ln(2) * 4) size from documents d join labels l on d.doc_id = l.doc_id)",
+        f"cl as ({code.format(v='lang')})", f"cs as ({code.format(v='source')})",
+        f"o as (select doc_id, y, cl.code f0, cs.code f1, size f2, {h.format(seed=0)} % {folds} fold from b join cl on lang is not distinct from cl.v join cs on source is not distinct from cs.v)",
+    ]
+    for k in range(folds):
+        out.append(f"s{k}_0 as (select o.*, (select 0.5 * ln(count(*) filter (y > 0) / count(*) filter (y < 0)) from o where fold <> {k}) f from o)")
+        out.append(f"h{k}_0 as (select true kept, cast(0 as double) theta, avg(ln(1 + exp(-2 * y * f))) v from s{k}_0 where fold = {k})")
+        weight = 1.0
+        for i in range(1, trees):
+            at = f"{k}_{i}"
+            out += [
+                f"z{at} as (select *, 2 * y / (1 + exp(2 * y * f)) z, ln(1 + exp(-2 * y * f)) l from s{k}_{i - 1} where fold <> {k} and {h.format(seed=i * 7919)} % 2 = 0)",
+                f"u{at} as (" + " union all ".join(f"select {j} fid, cast(f{j} as double) x, z, abs(z) * (2 - abs(z)) w, l from z{at}" for j in range(3)) + ")",
+                f"a{at} as (select fid, x, count(*) n, sum(z) z, sum(w) w, sum(l) l from u{at} group by fid, x)",
+                f"""c{at} as (select fid, x, row_number() over a pos, sum(n) over a ln_, sum(z) over a lz, sum(w) over a lw, sum(l) over a ll,
+  sum(n) over p tn, sum(z) over p tz, sum(w) over p tw, sum(l) over p tl from a{at}
+  window a as (partition by fid order by case when fid < 2 then round(z / n, 12) else x end, x rows between unbounded preceding and current row), p as (partition by fid))""",
+                f"g{at} as (select *, lz / lw gl, (tz - lz) / (tw - lw) gr from c{at} where ln_ < tn and lw <> 0 and tw <> lw)",
+                f"t{at} as (select * from g{at} order by round(tl - gl * lz + 0.5 * gl * gl * lw - gr * (tz - lz) + 0.5 * gr * gr * (tw - lw), 6), fid desc, pos limit 1)",
+                f"r{at} as (select c.x from c{at} c join t{at} t on c.fid = t.fid and c.pos > t.pos)",
+                f"""s{at} as (select s.doc_id, y, f0, f1, f2, fold, f + {rate} * case when case t.fid when 2 then f2 > t.x when 0 then f0 in (from r{at}) else f1 in (from r{at}) end then gr else gl end f
+  from s{k}_{i - 1} s cross join t{at} t)""",
+                f"v{at} as (select avg(ln(1 + exp(-2 * y * f))) v from s{at} where fold = {k})",
+                f"""h{at} as (select kept and theta >= {least} kept, theta, v
+  from (select kept, theta + {weight!r} * ((h.v - n.v) / n.v - theta) theta, n.v from h{k}_{i - 1} h cross join v{at} n) x)""",
+            ]
+            weight /= forget + weight
+    mean = " + ".join("case " + " ".join(f"when (select kept from h{k}_{i}) then m{k}_{i}.f" for i in reversed(range(trees))) + " end" for k in range(folds))
+    joins = " ".join(f"join s{k}_{i} m{k}_{i} on o.doc_id = m{k}_{i}.doc_id" for k in range(folds) for i in range(trees))
+    return "with " + ",\n".join(out) + f"\nselect o.doc_id, round(cast(1 / (1 + exp(-2 * ({mean}) / {folds})) as double), 6) p from o {joins}"
+
+
+@query("boost_3_trees_score", _boosted())
 def boost_3_trees_score(spark, sf_dir):
     """Scores of a small ensemble over the labelled documents."""
     from timberline.operators.boost import Config, learn
