@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import io
 import shutil
 import subprocess
 import sys
@@ -52,6 +53,17 @@ def test_file(spark, tmp_path):
         csvio.read(spark, str(p))[1].collect()
 
 
+def test_standard_input(spark, monkeypatch):
+    text = "x,y\n" + "".join(f"{i},'é{i}'\n" for i in range(500))
+    monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(text.encode())))
+    names, rows = csvio.read(spark)
+    assert names == ["x", "y"]
+    assert sorted(int(r["value"]) for r in csvio.to_cells(rows).where("fid = 0").collect()) == list(range(500))
+    path = csvio.spooled(spark, io.BytesIO(b"1\n2\n3"), block=2)
+    assert [r["line"] for r in csvio.numbered_lines(spark, path).orderBy("line_no").collect()] == ["1", "2", "3"]
+    assert csvio.read(spark, csvio.spooled(spark, io.BytesIO(b"")))[0] == []
+
+
 def test_pairs_and_subsets(spark, tmp_path):
     (tmp_path / "p").write_text("1 0.5\n\n  0\t0.25 \n")
     assert [tuple(r) for r in csvio.pairs(spark, str(tmp_path / "p")).collect()] == [("1", 0.5), ("0", 0.25)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +14,7 @@ from pyspark.sql.types import NumericType
 
 from timberline.functions.scalar import named, quoted
 from timberline.operators.rowsets import select_columns
-from timberline.plans.durable import file_system
+from timberline.plans.durable import file_system, shared_dir
 
 #: What a backslash and a letter stand for inside quotes.
 ESCAPES = {'"': '"', "'": "'", "\\": "\\", "b": "\b", "f": "\f", "r": "\r", "t": "\t", "n": "\n"}
@@ -143,9 +146,23 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
-def read(spark: SparkSession, path: str, header: bool = True) -> tuple[list[str], DataFrame]:
-    """(names, rows as parse gives them) of a file in the dialect."""
-    lines = numbered_lines(spark, path)
+def spooled(spark: SparkSession, stream: BinaryIO, block: int = 1 << 20) -> str:
+    """Path of a file in the shared folder with the bytes of a stream of the driver; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/timberline/spool-{uuid.uuid4().hex}.csv"
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
+    out = fs.create(p)
+    try:
+        while got := stream.read(block):
+            out.write(bytearray(got))
+    finally:
+        out.close()
+    return path
+
+
+def read(spark: SparkSession, path: str | None = None, header: bool = True) -> tuple[list[str], DataFrame]:
+    """(names, rows as parse gives them) of a file in the dialect; without a path, of the driver's standard input."""
+    lines = numbered_lines(spark, spooled(spark, sys.stdin.buffer) if path is None else path)
     if not header:
         return [], parse(lines)
     first = lines.where(~F.ltrim(F.regexp_replace("line", "#.*", "")).eqNullSafe("")).orderBy("line_no").first()
